@@ -159,7 +159,7 @@ WITH = {
     # --- language model
     "listed": "SELECT dataset_name, id_num, seen, "
     "regexp_extract_all(lower(instruction_text), '[^ \\t\\n\\r\\f]+') AS words FROM items",
-    "positions": "SELECT dataset_name, id_num, seen, at_pos - 1 AS pos, words[at_pos] AS tok, "
+    "positions": "SELECT dataset_name, id_num, seen, (at_pos - 1)::INTEGER AS pos, words[at_pos] AS tok, "
     "CASE WHEN at_pos = 1 THEN '' ELSE words[at_pos - 1] END AS prev FROM "
     "(SELECT *, unnest(range(1, len(words) + 1)) AS at_pos FROM listed)",
     "cells": "SELECT *, sum(n) OVER (PARTITION BY dataset_name, id_num, prev) AS n_prev FROM "
@@ -315,7 +315,7 @@ def _reads(sql: str) -> set[str]:
 
 
 def _round(columns: list[str]) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    return ", ".join(f"round({c} + 1e-10, 6) AS {c}" for c in columns)
 
 
 def _chat(source: str, answer: str) -> str:
@@ -400,11 +400,11 @@ FINAL = {
     "label_join": "SELECT lang AS dataset_name, doc_id AS id_num, coalesce(quality = 1, false) AS seen "
     "FROM documents LEFT JOIN labels USING (doc_id)",
     "apply_thresholds": "SELECT s.dataset_name, s.id_num, s.seen, s.num_tokens, "
-    + ", ".join(f"round(max(s.min_k_{k}), 6) AS min_k_{k}" for k in K_VALUES)
+    + ", ".join(f"round(max(s.min_k_{k}) + 1e-10, 6) AS min_k_{k}" for k in K_VALUES)
     + ", "
     + ", ".join(
-        f"round(max(threshold) FILTER (WHERE k = {k}), 6) AS epsilon_k_{k}, "
-        f"round(max(train_auc) FILTER (WHERE k = {k}), 6) AS auc_k_{k}, "
+        f"round(max(threshold) FILTER (WHERE k = {k}) + 1e-10, 6) AS epsilon_k_{k}, "
+        f"round(max(train_auc) FILTER (WHERE k = {k}) + 1e-10, 6) AS auc_k_{k}, "
         f"max(s.min_k_{k}) < max(threshold) FILTER (WHERE k = {k}) AS pred_k_{k}"
         for k in K_VALUES
     )
@@ -424,12 +424,12 @@ FINAL = {
     "FROM prepared WHERE split = 'contam' GROUP BY ROLLUP (dataset_name)",
     "split_report": "SELECT dataset_name, split, count(*) AS n_rows, "
     "count(*) FILTER (WHERE seen) AS n_seen FROM prepared GROUP BY ALL",
-    "seen_means": "SELECT dataset_name, k, round(avg(score) FILTER (WHERE seen), 6) AS seen_mean, "
-    "round(avg(score) FILTER (WHERE NOT seen), 6) AS unseen_mean FROM long GROUP BY ALL",
+    "seen_means": "SELECT dataset_name, k, round(avg(score) FILTER (WHERE seen) + 1e-10, 6) AS seen_mean, "
+    "round(avg(score) FILTER (WHERE NOT seen) + 1e-10, 6) AS unseen_mean FROM long GROUP BY ALL",
     "strata_quota": "SELECT dataset_name, count(DISTINCT level) AS n_strata, "
     f"({SAMPLE_ROWS} // count(DISTINCT level))::BIGINT AS quota FROM math_kept GROUP BY dataset_name",
     "ngram_model": "SELECT prev, tok, c_pair, c_prev, c_tok FROM model WHERE c_pair > 0",
-    "token_logprobs": "SELECT dataset_name, id_num, pos, token, round(logprob, 6) AS logprob FROM logprobs",
+    "token_logprobs": "SELECT dataset_name, id_num, pos, token, round(logprob + 1e-10, 6) AS logprob FROM logprobs",
     "sample_perplexity": "SELECT dataset_name, id_num, "
     + _round(["perplexity", "avg_nll"])
     + ", num_tokens FROM sample_scores",
@@ -447,7 +447,7 @@ FINAL = {
     + _round(["loss", "grad_norm", *[f"e{i}" for i in range(DIM)]])
     + " FROM states",
     "auc_by_k": "SELECT dataset_name, k, round(CASE WHEN sum(pos) * sum(neg) = 0 THEN 0.5e0 ELSE "
-    "sum(pos * (total_neg - cum_neg + neg / 2e0)) / (sum(pos) * sum(neg))::DOUBLE END, 6) AS auc "
+    "sum(pos * (total_neg - cum_neg + neg / 2e0)) / (sum(pos) * sum(neg))::DOUBLE END + 1e-10, 6) AS auc "
     "FROM (SELECT *, sum(neg) OVER (PARTITION BY dataset_name, k ORDER BY score) AS cum_neg, "
     "sum(neg) OVER (PARTITION BY dataset_name, k) AS total_neg FROM (SELECT dataset_name, k, score, "
     "count(*) FILTER (WHERE seen) AS pos, count(*) FILTER (WHERE NOT seen) AS neg FROM long GROUP BY ALL)) "
@@ -455,36 +455,36 @@ FINAL = {
     "best_threshold": "SELECT dataset_name, k, "
     + _round(["threshold", "train_accuracy", "train_auc"])
     + " FROM thresholds",
-    "eval_accuracy": "SELECT dataset_name, k, round(eval_accuracy, 6) AS eval_accuracy FROM judged",
-    "roc_points": "SELECT dataset_name, k, round(cum_neg / total_neg::DOUBLE, 6) AS fpr, "
-    "round(cum_pos / total_pos::DOUBLE, 6) AS tpr FROM eval_counts UNION ALL "
+    "eval_accuracy": "SELECT dataset_name, k, round(eval_accuracy + 1e-10, 6) AS eval_accuracy FROM judged",
+    "roc_points": "SELECT dataset_name, k, round(cum_neg / total_neg::DOUBLE + 1e-10, 6) AS fpr, "
+    "round(cum_pos / total_pos::DOUBLE + 1e-10, 6) AS tpr FROM eval_counts UNION ALL "
     "SELECT DISTINCT dataset_name, k, 0e0, 0e0 FROM eval_counts",
     "metrics_summary": METRICS,
     "step_l2": "SELECT 'vectors' AS dataset_name, id_num, step::INTEGER AS step, round(sqrt("
     + SQUARE.format("(p[1] - p[2])")
-    + "), 6) AS l2 FROM vector_pairs",
+    + ") + 1e-10, 6) AS l2 FROM vector_pairs",
     "step_angle": "SELECT 'vectors' AS dataset_name, id_num, step::INTEGER AS step, "
     "round(acos(greatest(-1e0, least(1e0, list_sum(list_transform(ab, lambda p: p[1] * p[2])) / ((sqrt("
     + SQUARE.format("p[1]")
     + ") + 1e-8) * (sqrt("
     + SQUARE.format("p[2]")
-    + ") + 1e-8))))), 6) AS angle FROM vector_pairs",
+    + ") + 1e-8))))) + 1e-10, 6) AS angle FROM vector_pairs",
     "trace_features": f"SELECT dataset_name, split, id_num, seen, {_round(FEATURES)} FROM features",
     "scaled_features": "SELECT dataset_name, split, id_num, seen, "
-    + ", ".join(f"round(({f} - m_{f}) / d_{f}, 6) AS {f}" for f in FEATURES)
+    + ", ".join(f"round(({f} - m_{f}) / d_{f} + 1e-10, 6) AS {f}" for f in FEATURES)
     + " FROM features JOIN scaler USING (dataset_name)",
     "bar_series": " UNION ALL ".join(
         f"SELECT upper(dataset_name) AS dataset, '{m}' AS method, '{x}' AS measure, "
-        f"round(coalesce({m}_{x}, 0e0), 6) AS value FROM compared"
+        f"round(coalesce({m}_{x}, 0e0) + 1e-10, 6) AS value FROM compared"
         for m in METHODS
         for x in ("auc", "accuracy")
     ),
-    "k_sweep": "SELECT d.dataset_name, d.k, round(coalesce(m.eval_auc, 0e0), 6) AS eval_auc, "
-    "round(coalesce(m.eval_accuracy, 0e0), 6) AS eval_accuracy FROM (SELECT *, "
+    "k_sweep": "SELECT d.dataset_name, d.k, round(coalesce(m.eval_auc, 0e0) + 1e-10, 6) AS eval_auc, "
+    "round(coalesce(m.eval_accuracy, 0e0) + 1e-10, 6) AS eval_accuracy FROM (SELECT *, "
     f"unnest({SWEEP_K}) AS k FROM (SELECT DISTINCT dataset_name FROM metrics)) d "
     "LEFT JOIN metrics m ON m.dataset_name = d.dataset_name AND m.k = d.k",
-    "min_k_representative": "SELECT dataset_name, round(eval_auc, 6) AS auc, "
-    "round(eval_accuracy, 6) AS accuracy FROM metrics WHERE k = 30",
+    "min_k_representative": "SELECT dataset_name, round(eval_auc + 1e-10, 6) AS auc, "
+    "round(eval_accuracy + 1e-10, 6) AS accuracy FROM metrics WHERE k = 30",
 }
 
 ORACLE_SQL = {name: _twin(sql) for name, sql in FINAL.items()}

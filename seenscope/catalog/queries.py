@@ -2,7 +2,8 @@
 
 Every query runs over whole tables. Doubles are rounded to 6 places, and perplexity, whose
 size varies widely, to single precision, so that results do not depend on the order of
-summation.
+summation. Scores already have 9 places; the shift keeps them off the midpoint between two
+values of 6 places, which Spark and DuckDB do not round alike.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from seenscope.sources import items as item_tables
 from seenscope.sources import metrics as metric_tables
 from seenscope.sources import paths, schemas, trajectories
 
+OFF_MIDPOINT = 1e-10
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -48,7 +51,9 @@ def query(function: Query) -> Query:
         df = function(spark, sf_dir)
         return df.select(
             *[
-                F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, DoubleType) else f.name
+                F.round(F.col(f.name) + OFF_MIDPOINT, 6).alias(f.name)
+                if isinstance(f.dataType, DoubleType)
+                else f.name
                 for f in df.schema
             ]
         )

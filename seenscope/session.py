@@ -13,6 +13,7 @@ def build_session(
 ) -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
+        .config("spark.ui.showConsoleProgress", "false")
         .appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
