@@ -13,6 +13,7 @@ from seenscope.sources.items import (
     labeled_choice_source,
     math_source,
     read_table,
+    spread,
     with_prompt,
 )
 
@@ -118,7 +119,8 @@ def prompted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as items; the language is the dataset."""
-    return table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents"))
+    return rows.select(
         F.col("lang").alias("dataset_name"),
         F.col("doc_id").alias("id_num"),
         F.col("text").alias("instruction_text"),

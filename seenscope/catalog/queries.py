@@ -110,21 +110,19 @@ def _all_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items, their cells, and the model fitted on the seen ones."""
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items and the model fitted on the seen ones."""
     items = fixtures.split_documents(spark, sf_dir)
-    cells = materialize(language_model.sample_cells(items), "cells")
-    return items, cells, language_model.fit(cells)
+    return items, language_model.fit(items)
 
 
-def _logprobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items, cells, model = _model(spark, sf_dir)
-    return items, language_model.cell_logprobs(cells, model)
+def _score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, model = _model(spark, sf_dir)
+    return scores.score_table(items, language_model.sample_logprobs(items, model))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, logprobs = _logprobs(spark, sf_dir)
-    return materialize(scores.score_table(items, logprobs), "scores")
+    return materialize(_score_table(spark, sf_dir), "scores")
 
 
 def _long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +130,16 @@ def _long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, logprobs = _logprobs(spark, sf_dir)
-    return trajectory.with_split(trajectory.trajectory(logprobs), items)
+    items, model = _model(spark, sf_dir)
+    cells = language_model.model_cells(items, model)
+    return trajectory.with_split(trajectory.trajectory(cells), items)
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, logprobs = _logprobs(spark, sf_dir)
+    items, model = _model(spark, sf_dir)
+    cells = language_model.model_cells(items, model)
     found = features.trace_features(
-        trajectory.with_split(trajectory.trajectory(logprobs), items), SAMPLE_KEYS
+        trajectory.with_split(trajectory.trajectory(cells), items), SAMPLE_KEYS
     )
     labels = items.select("dataset_name", "id_num", "seen")
     return features.label_join(found, labels, ["dataset_name", "id_num"])
@@ -521,19 +521,19 @@ def strata_quota(spark, sf_dir):
 
 @query
 def ngram_model(spark, sf_dir):
-    return language_model.fitted_pairs(_model(spark, sf_dir)[2])
+    return language_model.fitted_pairs(_model(spark, sf_dir)[1])
 
 
 @query
 def token_logprobs(spark, sf_dir):
-    items, _, model = _model(spark, sf_dir)
+    items, model = _model(spark, sf_dir)
     return language_model.token_logprobs(items, model)
 
 
 @query
 def sample_perplexity(spark, sf_dir):
-    _, logprobs = _logprobs(spark, sf_dir)
-    found = scores.sample_scores(logprobs)
+    items, model = _model(spark, sf_dir)
+    found = scores.sample_scores(language_model.sample_logprobs(items, model))
     perplexity = F.col("perplexity").cast("float").cast("double").alias("perplexity")
     # Rounding to 6 places would not hide the last digits of a large value.
     return found.select("dataset_name", "id_num", perplexity, "avg_nll", "num_tokens")
@@ -541,14 +541,12 @@ def sample_perplexity(spark, sf_dir):
 
 @query
 def min_k_scores(spark, sf_dir):
-    items, logprobs = _logprobs(spark, sf_dir)
-    return scores.score_table(items, logprobs).drop("perplexity", "avg_nll", "seen", "split")
+    return _score_table(spark, sf_dir).drop("perplexity", "avg_nll", "seen", "split")
 
 
 @query
 def score_table(spark, sf_dir):
-    items, logprobs = _logprobs(spark, sf_dir)
-    found = scores.score_table(items, logprobs)
+    found = _score_table(spark, sf_dir)
     return found.withColumn("perplexity", F.col("perplexity").cast("float").cast("double"))
 
 

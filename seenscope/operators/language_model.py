@@ -1,8 +1,7 @@
 """A bigram language model fitted on the seen rows, and word log-probabilities.
 
-Samples are reduced to *cells* ``(dataset_name, id_num, prev, tok, n)`` before anything
-else is done with them: fitting, scoring and trajectories all read cells. The first word
-of a sample follows the empty word.
+Everything starts from *word pairs*: each word with the word before it. The first word of
+a sample follows the empty word.
 
     base(t)   = (c(t) + 1) / (N + V + 1)
     p(t | u)  = (c(u, t) + base(t)) / (c(u) + 1)
@@ -40,24 +39,23 @@ def sample_cells(items: DataFrame, max_length: int | None = None) -> DataFrame:
 
     One shuffle by sample and first word serves both counts.
     """
-    pairs = word_pairs(items, max_length, keep=("seen",)).repartition(*SAMPLE, "prev")
-    cells = pairs.groupBy(*SAMPLE, "seen", "prev", "tok").agg(F.count("*").alias("n"))
+    pairs = word_pairs(items, max_length).where("pos > 0").repartition(*SAMPLE, "prev")
+    cells = pairs.groupBy(*SAMPLE, "prev", "tok").agg(F.count("*").alias("n"))
     return cells.withColumn("n_prev", F.sum("n").over(Window.partitionBy(*SAMPLE, "prev")))
 
 
-def fit(cells: DataFrame) -> DataFrame:
+def fit(items: DataFrame, max_length: int | None = None) -> DataFrame:
     """The model: one row per word pair of any sample, with counts on the seen rows.
 
     ``c_pair``, ``c_prev`` and ``c_tok`` count the pair, its first word as a context, and
     its second word; ``base`` is the smoothed share of the second word; ``uses`` is the
-    number of cells that will look the pair up. Pairs of unseen rows are included with
+    number of places that will look the pair up. Pairs of unseen rows are included with
     count 0, so scoring needs one join instead of three.
     """
-    seen_n = F.when(F.col("seen"), F.col("n")).otherwise(0)
     pairs = materialize(
-        cells.groupBy("prev", "tok").agg(
-            F.count("*").alias("uses"), F.sum(seen_n).alias("c_pair")
-        ),
+        word_pairs(items, max_length, keep=("seen",))
+        .groupBy("prev", "tok")
+        .agg(F.count("*").alias("uses"), F.count_if("seen").alias("c_pair")),
         "pairs",
     )
     contexts = materialize(
@@ -87,18 +85,29 @@ def fitted_pairs(model: DataFrame) -> DataFrame:
     return model.where("c_pair > 0").select("prev", "tok", "c_pair", "c_prev", "c_tok")
 
 
+def _pair_logprobs(model: DataFrame) -> DataFrame:
+    # One value per pair travels through the join instead of its counts.
+    return model.select("prev", "tok", "uses", F.log(probability()).alias("logprob"))
+
+
 def token_logprobs(
     items: DataFrame, model: DataFrame, max_length: int | None = None
 ) -> DataFrame:
     """Log-probability of each word but the first of each sample."""
     following = word_pairs(items, max_length).where("pos > 0")
-    return lookup_join(following, model, ["prev", "tok"]).select(
-        *SAMPLE, "pos", F.col("tok").alias("token"), F.log(probability()).alias("logprob")
+    return lookup_join(following, _pair_logprobs(model), ["prev", "tok"]).select(
+        *SAMPLE, "pos", F.col("tok").alias("token"), "logprob"
     )
 
 
-def cell_logprobs(cells: DataFrame, model: DataFrame) -> DataFrame:
-    """Cells of words that follow another word, with the model's counts."""
-    return lookup_join(cells.where(F.col("prev") != START), model, ["prev", "tok"]).withColumn(
-        "logprob", F.log(probability())
-    )
+def sample_logprobs(
+    items: DataFrame, model: DataFrame, max_length: int | None = None
+) -> DataFrame:
+    """The log-probabilities alone, which is what scores need."""
+    return token_logprobs(items, model, max_length).select(*SAMPLE, "logprob")
+
+
+def model_cells(items: DataFrame, model: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Cells with the model's counts."""
+    counts = model.select("prev", "tok", "uses", "c_pair", "c_prev", "base")
+    return lookup_join(sample_cells(items, max_length), counts, ["prev", "tok"])

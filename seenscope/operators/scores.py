@@ -31,12 +31,13 @@ def sample_scores(logprobs: DataFrame, k_ratios: list[float] | None = None) -> D
     """Mean negative log-likelihood, perplexity, word count and, for each ratio, minus the
     mean of the lowest ``max(1, int(num_tokens * ratio))`` log-probabilities.
 
-    ``logprobs`` has ``logprob`` and its number of occurrences ``n``. Equal values of a
-    sample are merged before the sort, and the sort is a window that can spill, so whole
-    texts of any length are scored.
+    One shuffle by sample; there, equal values are merged and the rest sorted in a window
+    that can spill, so whole texts of any length are scored.
     """
     k_ratios = K_RATIOS if k_ratios is None else k_ratios
-    values = logprobs.groupBy(*SAMPLE, "logprob").agg(F.sum("n").alias("n"))
+    values = (
+        logprobs.repartition(*SAMPLE).groupBy(*SAMPLE, "logprob").agg(F.count("*").alias("n"))
+    )
     sample = Window.partitionBy(*SAMPLE)
     upto = sample.orderBy("logprob").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = values.withColumn("_upto", F.sum("n").over(upto)).withColumn(

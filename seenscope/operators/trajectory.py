@@ -22,11 +22,11 @@ DIM = 16
 DIGITS = 9
 
 
-def trajectory(logprobs: DataFrame, num_steps: int = NUM_STEPS, weight: float = 1.0) -> DataFrame:
+def trajectory(model_cells: DataFrame, num_steps: int = NUM_STEPS, weight: float = 1.0) -> DataFrame:
     """Rows ``(sample, step)`` for step 0 to ``num_steps``: the embedding after ``step``
     updates, and the loss and gradient norm just before the last of them (none at step 0).
 
-    ``logprobs`` holds cells joined with the model. Cells are summed to 16 rows per sample
+    Cells (``language_model.model_cells``) are summed to 16 rows per sample
     before the steps are spread over rows.
     """
     steps = range(num_steps + 1)
@@ -37,7 +37,7 @@ def trajectory(logprobs: DataFrame, num_steps: int = NUM_STEPS, weight: float =
     pair_hash = F.md5(F.concat_ws(" ", "prev", "tok"))
     # One hex digit: 16 buckets.
     bucket = F.conv(F.substring(pair_hash, 1, 1), 16, 10).cast("int")
-    per_cell = logprobs.select(
+    per_cell = model_cells.select(
         *SAMPLE,
         "n",
         bucket.alias("bucket"),

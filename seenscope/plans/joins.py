@@ -26,17 +26,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], max_hot: int = MAX_HOT_KEYS
-) -> DataFrame:
-    """Inner join with a table that has one row per key and a count ``uses`` of the rows
-    that need it.
-
-    Rows of a hot key meet it in a broadcast of at most ``max_hot`` short keys, and are
-    never shuffled; all others are joined by shuffle, where no key is left with more than
-    1/``max_hot`` of the rows. (Hot keys longer than the byte limit stay on the shuffle
-    side, where adaptive skew handling splits them.)
-    """
+def _hot(lookup: DataFrame, keys: list[str], max_hot: int) -> Column:
     key_bytes = reduce(
         Column.__add__,
         [
@@ -45,8 +35,37 @@ def lookup_join(
         ],
     )
     total = lookup.agg(F.sum("uses")).scalar()
-    is_hot = (F.col("uses") * F.lit(max_hot) > total) & (key_bytes <= MAX_HOT_KEY_BYTES)
-    hot = F.broadcast(lookup.where(is_hot).drop("uses"))
-    cold = lookup.where(~is_hot).drop("uses")
-    rest = rows.join(F.broadcast(lookup.where(is_hot).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+    return (F.col("uses") * F.lit(max_hot) > total) & (key_bytes <= MAX_HOT_KEY_BYTES)
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], max_hot: int = MAX_HOT_KEYS
+) -> DataFrame:
+    """Inner join with a table that has one row per key and a count ``uses`` of the rows
+    that need it.
+
+    Rows of a hot key take their values from a broadcast of at most ``max_hot`` short keys;
+    in the shuffle join that follows they are spread by a hash of the whole row, so no key
+    sends more than 1/``max_hot`` of the rows to one task. (Hot keys longer than the byte
+    limit are left to adaptive skew handling.) ``rows`` is read once.
+    """
+    values = [c for c in lookup.columns if c not in keys and c != "uses"]
+    is_hot = _hot(lookup, keys, max_hot)
+    hot = lookup.where(is_hot).select(*keys, F.struct(*values).alias("_hot"))
+    # Always 0, but not a literal: the optimizer would move a literal out of the join key,
+    # and hot rows would no longer be spread.
+    zero = F.col("uses").bitwiseAND(F.lit(0))
+    cold = lookup.where(~is_hot).select(
+        *keys, zero.alias("_spread"), F.struct(*values).alias("_cold")
+    )
+    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
+        F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))
+    )
+    joined = (
+        rows.join(F.broadcast(hot), keys, "left")
+        .withColumn("_spread", spread)
+        .join(cold, [*keys, "_spread"], "left")
+        .withColumn("_found", F.coalesce("_hot", "_cold"))
+        .where("_found IS NOT NULL")
+    )
+    return joined.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
