@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seenscope.functions.prompts import FIXED_LABELS
 from seenscope.operators.sampling import label_seen, split_half
 from seenscope.plans.joins import lookup_join
+from seenscope.plans.materialize import materialize
 from seenscope.sources.items import (
     fixed_choice_source,
     labeled_choice_source,
@@ -44,11 +45,16 @@ def _strings(values: list[str]):
 def first_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's first user turn and the first assistant turn after it, if any."""
     turns = table(spark, sf_dir, "conversations")
-    asked = turns.groupBy("conv_id").agg(
-        F.count_if(F.col("role") == "assistant").alias("uses"),
-        F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("asked_at"),
-        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("problem"),
-    ).where("asked_at IS NOT NULL")
+    asked = materialize(
+        turns.groupBy("conv_id")
+        .agg(
+            F.count_if(F.col("role") == "assistant").alias("uses"),
+            F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("asked_at"),
+            F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("problem"),
+        )
+        .where("asked_at IS NOT NULL"),
+        "asked",
+    )
     answered = (
         lookup_join(
             turns.where("role = 'assistant'"), asked.select("conv_id", "uses", "asked_at"), ["conv_id"]

@@ -102,12 +102,11 @@ def _numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _all_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["dataset_name", "id_num", "messages"]
-    return tasks.union_tasks(
-        [
-            _messages(_numbered(spark, sf_dir, name), name).select(*columns)
-            for name in ("math", "choice_fixed", "choice_labeled")
-        ]
-    )
+    numbered = {
+        name: materialize(_numbered(spark, sf_dir, name), f"{name}-numbered")
+        for name in ("math", "choice_fixed", "choice_labeled")
+    }
+    return tasks.union_tasks([_messages(t, name).select(*columns) for name, t in numbered.items()])
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

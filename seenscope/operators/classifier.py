@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 # Most iterations, and rows shown of the coefficient ranking.
 MAX_ITER = 2000
 TOP_FEATURES = 15
+# Models fitted at the same time, each by its own Spark jobs.
+PARALLEL_FITS = 8
 COEFFICIENTS = "dataset_name STRING, intercept DOUBLE, coefficients ARRAY<DOUBLE>"
 
 
@@ -22,7 +26,7 @@ def class_weights(train: DataFrame) -> DataFrame:
     )
 
 
-def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-9) -> DataFrame:
+def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-8) -> DataFrame:
     """Coefficients per dataset, in the order of ``names``.
 
     The penalty is half the squared norm of the coefficients against the weighted sum of
@@ -30,9 +34,8 @@ def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-9) -> Da
     rows. Fitting is one distributed job per dataset; only gradients reach the driver.
     ``train`` is read many times, so pass a written or cached table.
     """
-    rows = []
-    # One row per dataset: the models to fit.
-    for group in class_weights(train).collect():
+
+    def fit_one(group: Row) -> tuple[str, float, list[float]]:
         weighted = train.where(F.col("dataset_name").eqNullSafe(group["dataset_name"])).select(
             array_to_vector(F.array(*names)).alias("features"),
             F.col("seen").cast("double").alias("label"),
@@ -48,9 +51,12 @@ def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-9) -> Da
             standardization=False,
             weightCol="weight",
         ).fit(weighted)
-        rows.append(
-            (group["dataset_name"], float(model.intercept), [float(c) for c in model.coefficients])
-        )
+        return group["dataset_name"], float(model.intercept), [float(c) for c in model.coefficients]
+
+    # One row per dataset: the models to fit.
+    groups = class_weights(train).collect()
+    with ThreadPool(PARALLEL_FITS) as pool:
+        rows = pool.map(fit_one, groups)
     return train.sparkSession.createDataFrame(rows, COEFFICIENTS)
 
 

@@ -26,8 +26,9 @@ def trajectory(model_cells: DataFrame, num_steps: int = NUM_STEPS, weight: float
     """Rows ``(sample, step)`` for step 0 to ``num_steps``: the embedding after ``step``
     updates, and the loss and gradient norm just before the last of them (none at step 0).
 
-    Cells (``language_model.model_cells``) are summed to 16 rows per sample
-    before the steps are spread over rows.
+    Cells (``language_model.model_cells``) are shuffled by sample with their counts only;
+    the step values are computed after that, summed to 16 rows per sample, and spread over
+    one row per step, all without another shuffle.
     """
     steps = range(num_steps + 1)
     p = [
@@ -37,10 +38,13 @@ def trajectory(model_cells: DataFrame, num_steps: int = NUM_STEPS, weight: float
     pair_hash = F.md5(F.concat_ws(" ", "prev", "tok"))
     # One hex digit: 16 buckets.
     bucket = F.conv(F.substring(pair_hash, 1, 1), 16, 10).cast("int")
-    per_cell = model_cells.select(
+    by_sample = model_cells.select(
+        *SAMPLE, "n", "n_prev", "c_pair", "c_prev", "base", bucket.alias("bucket")
+    ).repartition(*SAMPLE)
+    per_cell = by_sample.select(
         *SAMPLE,
         "n",
-        bucket.alias("bucket"),
+        "bucket",
         *[(F.col("n") * F.log(p[s])).alias(f"ll_{s}") for s in steps],
         *[F.pow(F.col("n_prev") * p[s] - F.col("n"), 2).alias(f"g_{s}") for s in steps[:-1]],
     )
