@@ -53,7 +53,7 @@ def sample_scores(logprobs: DataFrame, k_ratios: list[float] | None = None) -> D
     nll = -F.sum(F.col("n") * F.col("logprob")) / F.sum("n")
     return placed.groupBy(*SAMPLE).agg(
         F.exp(nll).alias("perplexity"),
-        _rounded(nll).alias("avg_nll"),
+        nll.alias("avg_nll"),
         F.sum("n").alias("num_tokens"),
         *[lowest(r).alias(min_k_name(r)) for r in k_ratios],
     )

@@ -23,18 +23,18 @@ def running_sums(
 ) -> DataFrame:
     """Add ``cum_x`` (inclusive, by rising ``order``) and ``total_x`` for each ``x`` in ``sums``.
 
-    ``order`` must be unique within a group.
+    ``order`` must be unique within a group. Without ``partitions``, adaptive execution joins
+    small neighbouring ranges.
     """
-    if partitions is None:
-        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*groups, order]
+    by_range = (
+        rows.repartitionByRange(*columns)
+        if partitions is None
+        else rows.repartitionByRange(partitions, *columns)
+    )
     # Range bounds come from a sample, so the partition number is stored: both uses below
     # must see the same one.
-    ranged = materialize(
-        rows.repartitionByRange(partitions, *groups, order).withColumn(
-            "_part", F.spark_partition_id()
-        ),
-        "ranged",
-    )
+    ranged = materialize(by_range.withColumn("_part", F.spark_partition_id()), "ranged")
     # At most one row per partition and group.
     parts = ranged.groupBy(*groups, "_part").agg(*[F.sum(x).alias(x) for x in sums])
     group = Window.partitionBy(*groups)

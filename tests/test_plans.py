@@ -21,7 +21,7 @@ def _hot_rows(n=3000, seed=1):
     ]
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 16])
+@pytest.mark.parametrize("partitions", [None, 1, 3, 16])
 def test_running_sums(spark, partitions):
     totals = Counter()
     for group, _, value in _hot_rows():
