@@ -115,46 +115,40 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return items, language_model.fit(items)
 
 
-def _score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, model = _model(spark, sf_dir)
+def _score_table(items: DataFrame, model: DataFrame) -> DataFrame:
     return scores.score_table(items, language_model.sample_logprobs(items, model))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(_score_table(spark, sf_dir), "scores")
+def _scores(items: DataFrame, model: DataFrame) -> DataFrame:
+    return materialize(_score_table(items, model), "scores")
 
 
-def _long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.by_k(_scores(spark, sf_dir))
+def _long_scores(items: DataFrame, model: DataFrame) -> DataFrame:
+    return scores.by_k(_scores(items, model))
 
 
-def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, model = _model(spark, sf_dir)
+def _trajectories(items: DataFrame, model: DataFrame) -> DataFrame:
     cells = language_model.model_cells(items, model)
     return trajectory.with_split(trajectory.trajectory(cells), items)
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, model = _model(spark, sf_dir)
-    cells = language_model.model_cells(items, model)
-    found = features.trace_features(
-        trajectory.with_split(trajectory.trajectory(cells), items), SAMPLE_KEYS
-    )
+def _features(items: DataFrame, model: DataFrame) -> DataFrame:
+    found = features.trace_features(_trajectories(items, model), SAMPLE_KEYS)
     labels = items.select("dataset_name", "id_num", "seen")
     return features.label_join(found, labels, ["dataset_name", "id_num"])
 
 
-def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = materialize(_features(spark, sf_dir), "features")
+def _scaled(items: DataFrame, model: DataFrame) -> DataFrame:
+    found = materialize(_features(items, model), "features")
     names = features.feature_names()
     parameters = features.scaler(found.where("split = 'train'"), names)
     return features.scale(found, parameters, names)
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _classified(items: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coefficients, and eval rows with probability and predicted class."""
     names = features.feature_names()
-    scaled = materialize(_scaled(spark, sf_dir), "scaled")
+    scaled = materialize(_scaled(items, model), "scaled")
     coefficients = classifier.fit_classifiers(scaled.where("split = 'train'"), names)
     return coefficients, classifier.predict(scaled.where("split = 'eval'"), coefficients, names)
 
@@ -176,13 +170,13 @@ def _eval_counts(long_scores: DataFrame) -> DataFrame:
     return evaluate.score_counts(long_scores.where("split = 'eval'"), evaluate.BY_K)
 
 
-def _representative(spark: SparkSession, sf_dir: str, long_scores: DataFrame) -> DataFrame:
+def _representative(long_scores: DataFrame) -> DataFrame:
     metrics = evaluate.metrics_summary(long_scores)
     return report.representative(_eval_counts(long_scores), metrics)
 
 
 def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = materialize(evaluate.metrics_summary(_long_scores(spark, sf_dir)), "metrics")
+    metrics = materialize(evaluate.metrics_summary(_long_scores(*_model(spark, sf_dir))), "metrics")
     a, b = (
         metrics.where(F.col("k") == k).select(
             "dataset_name",
@@ -264,7 +258,7 @@ def paired_datasets(spark, sf_dir):
 @query
 def trajectory_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "trajectory")
-    trajectories.write_trajectory(_trajectories(spark, sf_dir), path)
+    trajectories.write_trajectory(_trajectories(*_model(spark, sf_dir)), path)
     found = trajectories.read_trajectory(spark, path)
     return found.select(
         *SAMPLE_KEYS, "step", "loss", "grad_norm", F.get("embedding", F.lit(0)).alias("e0")
@@ -284,13 +278,13 @@ def complete_datasets(spark, sf_dir):
 
 @query
 def trajectory_summary(spark, sf_dir):
-    return trajectories.summarize(_trajectories(spark, sf_dir))
+    return trajectories.summarize(_trajectories(*_model(spark, sf_dir)))
 
 
 @query
 def metrics_json(spark, sf_dir):
     path = scratch_path(spark, "metrics-json")
-    metric_tables.write_metrics(evaluate.metrics_summary(_long_scores(spark, sf_dir)), path)
+    metric_tables.write_metrics(evaluate.metrics_summary(_long_scores(*_model(spark, sf_dir))), path)
     return metric_tables.read_metrics(spark, path)
 
 
@@ -437,7 +431,7 @@ def label_join(spark, sf_dir):
 
 @query
 def apply_thresholds(spark, sf_dir):
-    wide = _scores(spark, sf_dir)
+    wide = _scores(*_model(spark, sf_dir))
     train = scores.by_k(wide.where("split = 'train'"))
     thresholds = evaluate.learn_thresholds(evaluate.score_counts(train, evaluate.BY_K))
     applied = evaluate.apply_thresholds(wide.where("split = 'eval'"), thresholds, K_VALUES)
@@ -506,7 +500,7 @@ def split_report(spark, sf_dir):
 
 @query
 def seen_means(spark, sf_dir):
-    return evaluate.seen_means(_long_scores(spark, sf_dir))
+    return evaluate.seen_means(_long_scores(*_model(spark, sf_dir)))
 
 
 @query
@@ -540,12 +534,12 @@ def sample_perplexity(spark, sf_dir):
 
 @query
 def min_k_scores(spark, sf_dir):
-    return _score_table(spark, sf_dir).drop("perplexity", "avg_nll", "seen", "split")
+    return _score_table(*_model(spark, sf_dir)).drop("perplexity", "avg_nll", "seen", "split")
 
 
 @query
 def score_table(spark, sf_dir):
-    found = _score_table(spark, sf_dir)
+    found = _score_table(*_model(spark, sf_dir))
     return found.withColumn("perplexity", F.col("perplexity").cast("float").cast("double"))
 
 
@@ -562,7 +556,7 @@ def last_content_token(spark, sf_dir):
 
 @query
 def trajectory_steps(spark, sf_dir):
-    found = _trajectories(spark, sf_dir)
+    found = _trajectories(*_model(spark, sf_dir))
     return found.select(
         *SAMPLE_KEYS,
         "step",
@@ -580,19 +574,19 @@ QUERIES["trajectory"] = QUERIES.pop("trajectory_steps")
 
 @query
 def auc_by_k(spark, sf_dir):
-    counts = evaluate.score_counts(_long_scores(spark, sf_dir), evaluate.BY_K)
+    counts = evaluate.score_counts(_long_scores(*_model(spark, sf_dir)), evaluate.BY_K)
     return evaluate.auc(counts, evaluate.BY_K)
 
 
 @query
 def best_threshold(spark, sf_dir):
-    train = _long_scores(spark, sf_dir).where("split = 'train'")
+    train = _long_scores(*_model(spark, sf_dir)).where("split = 'train'")
     return evaluate.learn_thresholds(evaluate.score_counts(train, evaluate.BY_K))
 
 
 @query
 def eval_accuracy(spark, sf_dir):
-    long = _long_scores(spark, sf_dir)
+    long = _long_scores(*_model(spark, sf_dir))
     counts = evaluate.score_counts(long.where("split = 'train'"), evaluate.BY_K)
     thresholds = evaluate.learn_thresholds(counts)
     found = evaluate.accuracy(long.where("split = 'eval'"), thresholds)
@@ -601,12 +595,12 @@ def eval_accuracy(spark, sf_dir):
 
 @query
 def roc_points(spark, sf_dir):
-    return evaluate.roc_points(_eval_counts(_long_scores(spark, sf_dir)), evaluate.BY_K)
+    return evaluate.roc_points(_eval_counts(_long_scores(*_model(spark, sf_dir))), evaluate.BY_K)
 
 
 @query
 def metrics_summary(spark, sf_dir):
-    return evaluate.metrics_summary(_long_scores(spark, sf_dir))
+    return evaluate.metrics_summary(_long_scores(*_model(spark, sf_dir)))
 
 
 # --- features and classifier ------------------------------------------------------------
@@ -631,29 +625,29 @@ def step_angle(spark, sf_dir):
 
 @query
 def trace_features(spark, sf_dir):
-    return _features(spark, sf_dir)
+    return _features(*_model(spark, sf_dir))
 
 
 @query
 def scaled_features(spark, sf_dir):
-    return _scaled(spark, sf_dir)
+    return _scaled(*_model(spark, sf_dir))
 
 
 @query
 def trace_coefficients(spark, sf_dir):
-    coefficients, _ = _classified(spark, sf_dir)
+    coefficients, _ = _classified(*_model(spark, sf_dir))
     return classifier.feature_coefficients(coefficients, features.feature_names())
 
 
 @query
 def trace_eval(spark, sf_dir):
-    _, predicted = _classified(spark, sf_dir)
+    _, predicted = _classified(*_model(spark, sf_dir))
     return _trace_results(predicted, _trace_counts(predicted))
 
 
 @query
 def top_coefficients(spark, sf_dir):
-    coefficients, _ = _classified(spark, sf_dir)
+    coefficients, _ = _classified(*_model(spark, sf_dir))
     return classifier.top_coefficients(coefficients, features.feature_names())
 
 
@@ -662,8 +656,9 @@ def top_coefficients(spark, sf_dir):
 
 @query
 def roc_series(spark, sf_dir):
-    _, predicted = _classified(spark, sf_dir)
-    at_k = _eval_counts(_long_scores(spark, sf_dir)).where(F.col("k") == report.REPRESENTATIVE_K)
+    items, model = _model(spark, sf_dir)
+    _, predicted = _classified(items, model)
+    at_k = _eval_counts(_long_scores(items, model)).where(F.col("k") == report.REPRESENTATIVE_K)
     return report.roc_series({"trace": _trace_counts(predicted), "min_k": at_k})
 
 
@@ -674,21 +669,22 @@ def bar_series(spark, sf_dir):
 
 @query
 def k_sweep(spark, sf_dir):
-    metrics = materialize(evaluate.metrics_summary(_long_scores(spark, sf_dir)), "metrics")
+    metrics = materialize(evaluate.metrics_summary(_long_scores(*_model(spark, sf_dir))), "metrics")
     return report.k_sweep(metrics, SWEEP_K)
 
 
 @query
 def min_k_representative(spark, sf_dir):
-    return _representative(spark, sf_dir, _long_scores(spark, sf_dir))
+    return _representative(_long_scores(*_model(spark, sf_dir)))
 
 
 @query
 def summary(spark, sf_dir):
-    _, predicted = _classified(spark, sf_dir)
+    items, model = _model(spark, sf_dir)
+    _, predicted = _classified(items, model)
     return report.summary(
         {
             "trace": _trace_results(predicted, _trace_counts(predicted)),
-            "min_k": _representative(spark, sf_dir, _long_scores(spark, sf_dir)),
+            "min_k": _representative(_long_scores(items, model)),
         }
     )
