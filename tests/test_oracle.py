@@ -4,14 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from seenscope.catalog.oracle import ORACLE_SQL as ORACLE
+from seenscope.catalog.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
 ROWS_ONLY = {
     "trace_coefficients": 80,
     "trace_eval": 4,
@@ -53,6 +53,8 @@ def test_without_twin(spark, name):
 
 def test_every_query_is_covered():
     assert set(QUERIES) == set(ORACLE) | set(ROWS_ONLY)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLE) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):
