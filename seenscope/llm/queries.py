@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seenscope.llm import dartminhash
+from seenscope.llm import cgk, dartminhash, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def op7_near_duplicates(spark, sf_dir):
     """Class of every document: near duplicates have shingle similarity 0.8 or more."""
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op8_contaminated(spark, sf_dir):
+    """Benchmark items that each document contains, up to an edit distance of a tenth."""
+    return cgk.contaminated(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        table(spark, sf_dir, "benchmark", "item_id", "text"),
+    )
+
+
+@query
+def op9_packed_pieces(spark, sf_dir):
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
