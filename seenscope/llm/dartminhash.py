@@ -100,7 +100,7 @@ def signatures(
     return out
 
 
-def _throw(out, doc, element, weight, limit, k, seed, max_cells: int = 1 << 21) -> None:
+def _throw(out, doc, element, weight, limit, k, seed, max_cells: int = 1 << 19) -> None:
     """Throw the darts below ``limit`` and keep the earliest per document and coordinate."""
     wide = np.ceil(weight).astype(np.int64)
     cells = wide * np.ceil(limit[doc]).astype(np.int64)
@@ -136,7 +136,7 @@ def _throw(out, doc, element, weight, limit, k, seed, max_cells: int = 1 << 21)
 
 def _signed(texts: pa.Array, bands: int, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, 32-bit signature, band keys)`` for some texts at a time."""
-    for words in split_words(texts):
+    for words in split_words(texts, 1 << 20):
         doc, element, weight = weighted(*shingles(words))
         found = signatures(words.n_docs, doc, element, weight, bands * rows)
         keys = np.zeros((words.n_docs, bands), np.uint64)
@@ -292,7 +292,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """``(doc_id, class_id, class_size)`` per input row.
+    """``(doc_id, class_id)`` per input row.
 
     ``class_id`` is the smallest id among the documents linked to it, directly or through
     others; equal texts are always in one class. A null text counts as an empty one, and
@@ -334,8 +334,6 @@ def near_duplicates(
             links = materialize(links.union(_verified(pairs, texts, least)), "links")
         if links is not labelled:
             labels, labelled = components(links), links
-    found = members.join(
+    return members.join(
         labels.select(F.col("node").alias("rep"), "label"), "rep", "left"
     ).select(F.col("id").alias("doc_id"), F.coalesce("label", "rep").alias("class_id"))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
