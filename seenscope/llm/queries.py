@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seenscope.llm import cgk, dartminhash, language, packing
+from seenscope.llm import cgk, dartminhash, language, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query
+def op4_personal_data(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op5_language(spark, sf_dir):
     """Predicted language of every document."""
