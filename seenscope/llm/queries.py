@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seenscope.llm import cgk, dartminhash, language, packing, pii
+from seenscope.llm import cgk, dartminhash, language, packing, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@query
+def op1_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts; near ones are counted for the
+    documents whose id is divisible by 20, against all documents."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return simhash.with_near_counts(simhash.fingerprint_documents(docs))
+
+
 @query
 def op4_personal_data(spark, sf_dir):
     """Personal data in every document."""
