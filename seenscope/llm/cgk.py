@@ -4,7 +4,8 @@ The CGK random walk reads a string of words: at each step it writes the word und
 and moves on by a random bit that depends on the step and the word. Two strings at a small
 edit distance meet again soon after an edit, so their outputs differ in few places. Some
 places of the output are sampled, and equal samples make a candidate; this is repeated with
-fresh walks and samples until the target recall is reached.
+fresh walks and samples until the target recall is reached. Candidates whose whole embeddings
+differ too much are given up.
 
 Windows are as long as the shortest item less the stride. Documents are read at every
 ``stride``-th word only; items are read at every word, so whatever an item's place in a
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ STRIDE = 4
 SAMPLES = 4  # places compared by one repetition
 AGREE = 0.8  # share of equal places assumed of a window within the edit limit
 RECALL = 0.98
+DIFFER = 0.5  # candidates whose embeddings differ in more than this share are not verified
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 20
 
@@ -45,24 +48,54 @@ def repetitions(recall: float = RECALL, agree: float = AGREE, samples: int = SAM
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**samples)))
 
 
-def walk_keys(hashes: np.ndarray, starts: np.ndarray, length: int, seed: int, samples: int = SAMPLES) -> np.ndarray:
-    """One key per window of ``length`` words: the sampled places of its CGK embedding."""
-    rng = np.random.default_rng([seed, length])
-    # The head moves by half a word a step; beyond the window it would read padding only.
-    places = np.sort(rng.choice(2 * length, min(samples, 2 * length), replace=False))
-    odd = rng.integers(0, 1 << 63, places[-1] + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    head = starts.copy()
-    stop = starts + length
-    key = np.full(len(starts), seed, np.uint64)
-    padded = np.append(hashes, np.zeros(length + 1, np.uint64))
-    for step in range(places[-1] + 1):
-        word = padded[head]
-        if step >= length:
-            word = np.where(head < stop, word, np.uint64(0))
-        if step in places:
-            key = mix(key + word)
-        head += ((word * odd[step]) >> np.uint64(63)).astype(np.int64)
-    return key
+@dataclass(frozen=True)
+class Walk:
+    """A random walk over windows of ``length`` words and the places it samples.
+
+    The head moves by half a word a step, so ``steps`` of 1.75 times the length rarely leave
+    the window; beyond it, padding is written. One place is sampled from each of ``samples``
+    stretches of the output, so that they fall on different words.
+    """
+
+    length: int
+    steps: int
+    places: tuple[int, ...]
+    odd: np.ndarray
+
+    @staticmethod
+    def make(length: int, seed: int, samples: int = SAMPLES) -> Walk:
+        rng = np.random.default_rng([seed, length])
+        steps = max(samples, (7 * length) // 4)
+        edges = [steps * i // samples for i in range(samples + 1)]
+        places = tuple(int(rng.integers(x, y)) for x, y in zip(edges, edges[1:], strict=False))
+        odd = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return Walk(length, steps, places, odd)
+
+    def words(self, hashes: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[np.ndarray]:
+        """What the walk writes at each step, for windows that begin at ``starts``."""
+        head, stop = starts.copy(), starts + self.length
+        padded = np.append(hashes, np.zeros(self.length + 1, np.uint64))
+        for step in range(steps):
+            word = padded[head]
+            if step >= self.length:
+                word = np.where(head < stop, word, np.uint64(0))
+            yield word
+            head += ((word * self.odd[step]) >> np.uint64(63)).astype(np.int64)
+
+    def keys(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """One key per window: the sampled places of its embedding."""
+        key = np.zeros(len(starts), np.uint64)
+        for step, word in enumerate(self.words(hashes, starts, self.places[-1] + 1)):
+            if step in self.places:
+                key = mix(key + word)
+        return key
+
+    def distances(self, a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+        """Share of places in which the embeddings of two windows differ."""
+        differ = np.zeros(len(at_a))
+        for x, y in zip(self.words(a, at_a, self.steps), self.words(b, at_b, self.steps), strict=True):
+            differ += x != y
+        return differ / self.steps
 
 
 def within(item: str, text: str, most: int) -> int | None:
@@ -110,13 +143,14 @@ class Items:
         self.most = [int(edits * len(t)) for t in texts]
         found = list(split_words(pa.array(texts, pa.string()), 1 << 62))
         self.words = found[0] if found else None
-        self.stride, self.length, self.keys, self.phrases = stride, 0, [], {}
+        self.stride, self.length, self.keys, self.phrases, self.short = stride, 0, [], {}, set()
         if self.words is None:
             return
         counts, hashes = self.words.counts, self.words.hashes()
         begin = np.cumsum(counts) - counts
         long = np.flatnonzero(counts >= max(short, stride + 1))
-        for i in np.flatnonzero((counts > 0) & (counts < max(short, stride + 1))):
+        self.short = set(np.flatnonzero((counts > 0) & (counts < max(short, stride + 1))).tolist())
+        for i in self.short:
             sizes = self.phrases.setdefault(int(counts[i]), {})
             key = phrase_keys(hashes[begin[i] : begin[i] + counts[i]], int(counts[i]))
             sizes.setdefault(int(key[0]), []).append(int(i))
@@ -125,11 +159,12 @@ class Items:
         self.length = int(counts[long].min()) - stride + 1
         starts = np.concatenate([np.arange(begin[i], begin[i] + counts[i] - self.length + 1) for i in long])
         for seed in range(1, repetitions() + 1):
-            key = walk_keys(hashes, starts, self.length, seed)
+            walk = Walk.make(self.length, seed)
+            key = walk.keys(hashes, starts)
             order = np.argsort(key, kind="stable")
             maybe = np.zeros(1 << _FILTER_BITS, bool)
             maybe[(key & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-            self.keys.append((key[order], starts[order], maybe))
+            self.keys.append((walk, key[order], starts[order], maybe))
 
     def candidates(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
         """``(document, item, first byte, last byte)`` where the item may lie."""
@@ -146,13 +181,16 @@ class Items:
         place = np.arange(len(hashes)) - begin[words.doc]
         starts = np.flatnonzero((place % self.stride == 0) & (counts[words.doc] - place >= self.length))
         seen = set()
-        for seed, (known, at, maybe) in enumerate(self.keys, 1):
-            key = walk_keys(hashes, starts, self.length, seed)
+        of_items = self.words.hashes()
+        for walk, known, at, maybe in self.keys:
+            key = walk.keys(hashes, starts)
             hits = np.flatnonzero(maybe[(key & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
             low = np.searchsorted(known, key[hits], "left")
             n = np.searchsorted(known, key[hits], "right") - low
             window = np.repeat(starts[hits], n)
             of_item = at[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            near = walk.distances(hashes, window, of_items, of_item) <= DIFFER
+            window, of_item = window[near], of_item[near]
             item = self.words.doc[of_item]
             # Bytes of the item before the window, and where the item would begin.
             before = self.words.starts[of_item] - self.words.offsets[item]
@@ -174,7 +212,7 @@ class Items:
             part = words.data[max(low, first) : min(high, last)].tobytes().decode(errors="ignore")
             most = found[d].get(i, self.most[i] + 1) - 1
             distance = within(self.texts[i], fold(part), most)
-            if distance is None and self.words.counts[i] < max(SHORT, self.stride + 1):
+            if distance is None and i in self.short:
                 distance = self.most[i]  # the same words with other white space
             if distance is not None:
                 found[d][i] = distance
