@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seenscope.llm import cgk, dartminhash, language, packing, pii, simhash
+from seenscope.llm import cgk, chat, dartminhash, language, packing, pii, simhash, trust, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,50 @@ def op1_fingerprints(spark, sf_dir):
     return simhash.with_near_counts(simhash.fingerprint_documents(docs))
 
 
+@query
+def op2_url_verdicts(spark, sf_dir):
+    """Verdict of every URL by rule, else by trust over the host graph."""
+    found = trust.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
+def crawl(pages: DataFrame) -> DataFrame:
+    """A crawl log derived from pages: one to four captures of each, some of them full
+    responses, the others revisits, with fragments, missing or wrong validators."""
+    page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    captures = pages.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.pmod(page, F.lit(4)))).alias("n"))
+    n = F.col("n")
+    full = ((n == 0) & (page % 5 != 0)) | ((n == 2) & (page % 3 == 0))
+    version = F.when((n >= 2) & (page % 3 == 0), "2").otherwise("1")
+    tag = F.when((page % 7 == 0) & ~full, F.lit('"other"')).otherwise(
+        F.concat(F.when(full, "").otherwise("W/"), F.lit('"'), F.md5(html), F.lit("-"), version, F.lit('"'))
+    )
+    headers = F.map_filter(
+        F.create_map(
+            F.lit("ETag"), F.when(page % 11 != 0, tag),
+            F.lit("Last-Modified"), F.concat(F.lit("day "), (page % 28).cast("string")),
+            F.lit("Cache-Control"), F.concat(F.lit("max-age="), n.cast("string")),
+            F.lit("Content-Length"), F.when(full, F.length(html)).otherwise(0).cast("string"),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    return captures.select(
+        (page * 4 + n).alias("record_id"),
+        F.when(full, "response").otherwise("revisit").alias("kind"),
+        F.when(n % 2 == 1, F.concat("url", F.lit("#r"), n.cast("string"))).otherwise(F.col("url")).alias("uri"),
+        F.timestamp_seconds(F.lit(1704067200) + page * 60 + n * 86400).alias("date"),
+        headers.alias("headers"),
+        F.when(full, html).alias("payload"),
+    )
+
+
+@query
+def op3_revisits(spark, sf_dir):
+    """Every revisit of the crawl log derived from all pages, with the response it stands for."""
+    found = warc.resolve(crawl(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    return found.withColumn("headers", warc.headers_text(F.col("headers"))).drop("date")
+
+
 @query
 def op4_personal_data(spark, sf_dir):
     """Personal data in every document."""
@@ -61,3 +106,16 @@ def op8_contaminated(spark, sf_dir):
 def op9_packed_pieces(spark, sf_dir):
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_chats(spark, sf_dir):
+    """All conversations formatted for training, and one that holds control strings."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(chat.format_chats(chat.canonical_table(turns.union(tricky))))
