@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seenscope.llm import cgk, chat, dartminhash, language, packing, pii, simhash, trust, warc
+from seenscope.llm import cgk, chat, dartminhash, hpyp, language, packing, pii, simhash, trust, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +87,12 @@ def op5_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+@query
+def op6_scores(spark, sf_dir):
+    """Log-probability of every document under the hierarchical Pitman-Yor model."""
+    return hpyp.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op7_near_duplicates(spark, sf_dir):
     """Class of every document: near duplicates have shingle similarity 0.8 or more."""
