@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seenscope.llm import cgk, chat, dartminhash, hpyp, language, packing, pii, simhash, trust, warc
+from seenscope.llm import cgk, chat, dartminhash, hpyp, language, oracle, packing, pii, simhash, trust, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_url_verdicts": oracle.verdicts(),
+    "op3_revisits": oracle.revisits(),
+    "op10_chats": oracle.chats(),
+}
 
 
 def query(function: Query) -> Query:
