@@ -122,8 +122,8 @@ def _throw(out, doc, element, weight, limit, k, seed, max_cells: int = 1 << 19)
         of = np.repeat(np.arange(len(one)), hits)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(hits) - hits, hits)
         dart = mix(cell[of] + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        rank = row[one[of]] + (dart & np.uint64(0xFFFFFF)).astype(float) * 2.0**-24
-        height = column[one[of]] + ((dart >> np.uint64(24)) & np.uint64(0xFFFF)).astype(float) * 2.0**-16
+        rank = row[of] + (dart & np.uint64(0xFFFFFF)).astype(float) * 2.0**-24
+        height = column[of] + ((dart >> np.uint64(24)) & np.uint64(0xFFFF)).astype(float) * 2.0**-16
         d = doc[one[of]]
         keep = (rank < limit[d]) & (height < weight[one[of]])
         d, dart, rank = d[keep], dart[keep], rank[keep]
