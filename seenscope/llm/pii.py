@@ -132,16 +132,15 @@ def graph(texts: list[str], bases: list[list[Span]]) -> Graph:
             node = len(doc)
             token = m[0].strip(".,;:!?\"'")
             shape = _shapes(token)
-            if before is not None and text[end[before] : m.start()] == " ":
+            beside = before is not None and text[end[before] : m.start()] == " "
+            if beside:
                 edges.append((before, node, NEXT))
-            for key, kind_of_edge in (((token,), EQUAL), (shape, SIMILAR)):
-                other = last.get(key)
-                if other is not None and other != before:
-                    edges.append((other, node, kind_of_edge))
-                    last[key] = node
-                    break
-                last[key] = node
-            last[shape] = last[(token,)] = node
+            # The last equal token or else the last of equal shape, if it is a distant one.
+            equal, similar = last.get(token), last.get(shape)
+            other, kind_of_edge = (similar, SIMILAR) if equal is None else (equal, EQUAL)
+            if other is not None and not (beside and other == before):
+                edges.append((other, node, kind_of_edge))
+            last[shape] = last[token] = node
             inside = [kind.get(i, 0) for i in range(m.start(), m.end()) if text[i].isdigit() or text[i] == "@"]
             doc.append(d)
             start.append(m.start())
