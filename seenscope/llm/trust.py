@@ -7,7 +7,8 @@ suspect. A host whose distrust exceeds its trust is blocked, for URLs that no ru
 
 Edges are links of pages to other hosts, counted per pair of hosts, and one edge either way
 between a host and its parent domain (down to two labels), as they are run together. Both
-scores of all hosts take one join and one aggregation a round; ranks are written each round.
+scores of all hosts take one join and one aggregation a round, with one shuffle of the ranks;
+the edges are dealt once for several rounds, after which ranks are written.
 Everything is DataFrame functions. Hot hosts only meet aggregations with map-side combine and
 joins that adaptive execution can split. The mass of hosts without edges is not passed on.
 """
@@ -21,6 +22,7 @@ from seenscope.plans.materialize import materialize
 
 DAMPING = 0.85
 ROUNDS = 10
+WRITE_EVERY = 5  # rounds between two written tables of ranks
 # Scores below this are taken as none.
 LEAST = 1e-12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,11 +113,13 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     )
     start = materialize(start.where("seed > 0"), "seeds")
     ranks = start.select("kind", "host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
+    for i in range(rounds):
         moved = ranks.join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         back = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
         ranks = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        ranks = materialize(ranks.where(F.col("rank") >= LEAST), "ranks")
+        ranks = ranks.where(F.col("rank") >= LEAST)
+        if (i + 1) % WRITE_EVERY == 0:
+            ranks = materialize(ranks, "ranks")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
