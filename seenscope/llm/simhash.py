@@ -31,7 +31,7 @@ RADIUS = 4
 BLOCKS = 6
 LIST = 512
 QUERY_EVERY = 20
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 16
 _SMALLEST = -(1 << 63)
 _SIGNS = 2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) - 1
 
