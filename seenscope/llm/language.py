@@ -36,7 +36,7 @@ CALIBRATION = 5  # one in so many sampled documents is used for the temperature
 EPOCHS = 3
 # Follow the regularised leader: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
-CHUNK_CHARS = 2 << 20
+CHUNK_BYTES = 1 << 19
 _SALTS = mix(np.arange(1, 1 + 3, dtype=np.uint64))  # one per n-gram length
 
 
@@ -70,7 +70,7 @@ class Features:
 def features(texts: pa.Array) -> Iterator[Features]:
     lower, letter = _letters()
     data, offsets = text_bytes(texts)
-    for first, last in pieces(offsets, CHUNK_CHARS):
+    for first, last in pieces(offsets, CHUNK_BYTES):
         n = last - first
         raw = data[offsets[first] : offsets[last]]
         # Code points begin at bytes that do not continue another.
