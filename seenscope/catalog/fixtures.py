@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from seenscope.functions.prompts import FIXED_LABELS
 from seenscope.operators.sampling import label_seen, split_half
-from seenscope.plans.joins import lookup_join
+from seenscope.plans.carry import last_before
+from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize
 from seenscope.sources.items import (
     fixed_choice_source,
     labeled_choice_source,
     math_source,
     read_table,
-    spread,
     with_prompt,
 )
 
@@ -22,6 +22,8 @@ from seenscope.sources.items import (
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 CHOICE_LABELS = [*FIXED_LABELS, "E"]
+# Ids of exchanges: room for so many turns per conversation.
+TURNS_PER_ID = 1_000_000
 
 SCHEMAS = {
     "documents": "doc_id LONG, text STRING, lang STRING, source STRING",
@@ -42,35 +44,22 @@ def _strings(values: list[str]):
     return F.array(*[F.lit(v) for v in values])
 
 
-def first_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's first user turn and the first assistant turn after it, if any."""
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the next assistant turn of its conversation, if any."""
     turns = table(spark, sf_dir, "conversations")
-    asked = materialize(
-        turns.groupBy("conv_id")
-        .agg(
-            F.count_if(F.col("role") == "assistant").alias("uses"),
-            F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("asked_at"),
-            F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("problem"),
-        )
-        .where("asked_at IS NOT NULL"),
-        "asked",
-    )
-    answered = (
-        lookup_join(
-            turns.where("role = 'assistant'"), asked.select("conv_id", "uses", "asked_at"), ["conv_id"]
-        )
-        .where("turn > asked_at")
-        .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("solution"))
-    )
-    return asked.select("conv_id", "problem").join(answered, "conv_id", "left")
+    answer = F.when(F.col("role") == "assistant", F.col("text"))
+    # In falling order of the turns, the next one is the last before.
+    answered = last_before(turns, "conv_id", -F.col("turn"), answer, "solution")
+    return answered.where("role = 'user'").withColumnRenamed("text", "problem")
 
 
 def math_items(spark: SparkSession, sf_dir: str, complete: bool = True) -> DataFrame:
     """Problem, solution and level (0 to 6) from conversations."""
-    exchanges = first_exchanges(spark, sf_dir)
     level = F.concat(F.lit("Level "), (F.col("conv_id") % 7).cast("string"))
-    items = math_source(exchanges, F.col("conv_id"), F.col("problem"), F.col("solution"), level)
+    src_id = F.col("conv_id") * TURNS_PER_ID + F.col("turn")
+    items = math_source(
+        exchanges(spark, sf_dir), src_id, F.col("problem"), F.col("solution"), level
+    )
     return items.where("solution IS NOT NULL") if complete else items
 
 
@@ -125,8 +114,7 @@ def prompted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as items; the language is the dataset."""
-    rows = spread(table(spark, sf_dir, "documents"))
-    return rows.select(
+    return table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset_name"),
         F.col("doc_id").alias("id_num"),
         F.col("text").alias("instruction_text"),
@@ -138,7 +126,10 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_half(labelled_documents(spark, sf_dir))
+    """Documents with label and split. Labels are made and written once, without texts."""
+    items = documents(spark, sf_dir)
+    labels = split_half(label_seen(items.select("dataset_name", "id_num")))
+    return null_safe_join(items, materialize(labels, "labels"), ["dataset_name", "id_num"], "inner")
 
 
 def stored_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,14 +93,11 @@ FEATURES = feature_names()
 
 WITH = {
     # --- items from the source tables
-    "asked": "SELECT conv_id, min(turn) AS asked_at, arg_min(text, turn) AS problem "
-    "FROM conversations WHERE role = 'user' GROUP BY conv_id",
-    "answered": "SELECT c.conv_id, arg_min(c.text, c.turn) AS solution FROM conversations c "
-    "JOIN asked a ON c.conv_id = a.conv_id AND c.turn > a.asked_at "
-    "WHERE c.role = 'assistant' GROUP BY c.conv_id",
-    "math_all": "SELECT 'math' AS dataset_name, a.conv_id AS src_id, problem, solution, "
-    "'Level ' || (a.conv_id % 7) AS level FROM asked a LEFT JOIN answered s "
-    "ON a.conv_id = s.conv_id",
+    "turns": "SELECT *, first_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER "
+    "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS solution "
+    "FROM conversations",
+    "math_all": "SELECT 'math' AS dataset_name, conv_id * 1000000 + turn AS src_id, text AS problem, "
+    "solution, 'Level ' || (conv_id % 7) AS level FROM turns WHERE role = 'user'",
     "math": "SELECT *, "
     + f"{_text(prompts.MATH_HEAD)} || problem || {_text(prompts.ANSWER_TAIL)} AS instruction_text "
     + "FROM math_all WHERE solution IS NOT NULL",
@@ -130,15 +127,11 @@ WITH = {
     "labeled_numbered": _numbered("labeled"),
     "fixed_numbered": _numbered("fixed"),
     "labeled_sample": _sampled("labeled"),
-    "fixed_sample": _sampled("fixed"),
     "labeled_sample_numbered": _numbered("labeled_sample"),
-    "fixed_sample_numbered": _numbered("fixed_sample"),
-    "math_sample": _stratified(SAMPLE_ROWS),
-    "math_sample_numbered": _numbered("math_sample"),
     "prepared": _labelled(
-        "(SELECT dataset_name, id_num, split FROM math_sample_numbered UNION ALL "
-        "SELECT dataset_name, id_num, split FROM labeled_sample_numbered UNION ALL "
-        "SELECT dataset_name, id_num, split FROM fixed_sample_numbered)"
+        "(SELECT dataset_name, id_num, split FROM math_numbered UNION ALL "
+        "SELECT dataset_name, id_num, split FROM labeled_numbered UNION ALL "
+        "SELECT dataset_name, id_num, split FROM fixed_numbered)"
     ),
     "tasks": "SELECT row_number() OVER (ORDER BY task, id_num) - 1 AS global_index, * FROM ("
     "SELECT 0 AS task, dataset_name, id_num, instruction_text AS first_content, "
@@ -190,6 +183,41 @@ WITH = {
         f"SELECT dataset_name, id_num, split, seen, {k} AS k, min_k_{k} AS score FROM scores"
         for k in K_VALUES
     ),
+    # --- the same for texts that had no part in the model
+    "other_pairs": "SELECT prev, tok, count(*) AS c_pair FROM positions JOIN "
+    "(SELECT dataset_name, id_num, split FROM items) USING (dataset_name, id_num) "
+    "WHERE seen AND split = 'train' GROUP BY ALL",
+    "other_contexts": "SELECT prev, sum(c_pair)::BIGINT AS c_prev FROM other_pairs GROUP BY prev",
+    "other_unigrams": "SELECT tok, sum(c_pair)::BIGINT AS c_tok FROM other_pairs GROUP BY tok",
+    "other_cells": "SELECT c.dataset_name, c.id_num, c.n, c.n_prev, c.prev, c.tok, "
+    "coalesce(c_pair, 0) AS c_pair, coalesce(c_prev, 0) AS c_prev, "
+    "(coalesce(c_tok, 0) + 1e0) / (SELECT sum(c_tok) + count(*) + 1 FROM other_unigrams)::DOUBLE AS base, "
+    "instr('0123456789abcdef', substr(md5(c.prev || ' ' || c.tok), 1, 1)) - 1 AS bucket "
+    "FROM cells c JOIN (SELECT dataset_name, id_num, split FROM items) i USING (dataset_name, id_num) "
+    "LEFT JOIN other_pairs USING (prev, tok) LEFT JOIN other_contexts USING (prev) "
+    "LEFT JOIN other_unigrams USING (tok) WHERE i.split = 'eval' AND c.prev <> ''",
+    "other_ordered": "SELECT *, sum(n) OVER (PARTITION BY dataset_name, id_num ORDER BY logprob, prev, tok) "
+    "AS upto, sum(n) OVER (PARTITION BY dataset_name, id_num) AS tokens FROM "
+    "(SELECT *, ln((c_pair + base) / (c_prev + 1e0)) AS logprob FROM other_cells)",
+    "other_scores": "SELECT dataset_name, id_num, -sum(n * logprob) / sum(n) AS avg_nll, sum(n)::BIGINT AS num_tokens, "
+    + ", ".join(
+        f"-sum(greatest(0, least(n, greatest(1, floor(tokens * {r}e0)) - upto + n)) * logprob) / "
+        f"greatest(1, floor(max(tokens) * {r}e0)) AS min_k_{k}"
+        for r, k in zip(K_RATIOS, K_VALUES, strict=True)
+    )
+    + " FROM other_ordered GROUP BY ALL",
+    "other_steps": " UNION ALL ".join(
+        f"SELECT dataset_name, id_num, {s} AS step, bucket, n, n * ln({P[s]}) AS ll, "
+        + (
+            f"n * ln({P[s - 1]}) AS prior_ll, (n_prev * {P[s - 1]} - n) ** 2 AS prior_g"
+            if s
+            else "NULL::DOUBLE AS prior_ll, NULL::DOUBLE AS prior_g"
+        )
+        + " FROM other_cells"
+        for s in STEPS
+    ),
+    "corners": "SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg "
+    "FROM eval_counts WINDOW w AS (PARTITION BY dataset_name, k ORDER BY score)",
     # --- evaluation
     "train_counts": "SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg, "
     "sum(pos) OVER g AS total_pos, sum(neg) OVER g AS total_neg FROM (SELECT dataset_name, k, score, "
@@ -421,7 +449,7 @@ FINAL = {
     "dataset_name IS NOT NULL AS found FROM benchmark LEFT JOIN tasks "
     "ON item_id * 450 = global_index",
     "composition": "SELECT coalesce(dataset_name, 'total') AS dataset_name, count(*) AS n_rows "
-    "FROM prepared WHERE split = 'contam' GROUP BY ROLLUP (dataset_name)",
+    "FROM prepared GROUP BY ROLLUP (dataset_name)",
     "split_report": "SELECT dataset_name, split, count(*) AS n_rows, "
     "count(*) FILTER (WHERE seen) AS n_seen FROM prepared GROUP BY ALL",
     "seen_means": "SELECT dataset_name, k, round(avg(score) FILTER (WHERE seen) + 1e-10, 6) AS seen_mean, "
@@ -437,8 +465,25 @@ FINAL = {
     "score_table": "SELECT dataset_name, id_num, split, seen, num_tokens, "
     + _round(["perplexity", "avg_nll", *MIN_K])
     + " FROM scores",
-    "rejected_rows": f"SELECT dataset_name, id_num, len(words)::INTEGER AS n_words FROM listed "
-    f"WHERE len(words) > {MAX_LENGTH}",
+    "score_other_texts": "SELECT dataset_name, id_num, coalesce(num_tokens, 0) AS num_tokens, "
+    "round(avg_nll + 1e-10, 6) AS avg_nll, "
+    + ", ".join(f"round(round(coalesce(min_k_{k}, 0e0), 9) + 1e-10, 6) AS min_k_{k}" for k in K_VALUES)
+    + " FROM (SELECT * FROM items WHERE split = 'eval') LEFT JOIN other_scores USING (dataset_name, id_num)",
+    "trajectory_other_texts": "SELECT dataset_name, 'eval' AS split, id_num, step, "
+    "round(round(-sum(prior_ll) / sum(n), 9) + 1e-10, 6) AS loss, "
+    "round(round(sqrt(sum(prior_g)) / sum(n), 9) + 1e-10, 6) AS grad_norm, "
+    "round(round(coalesce(sum(ll) FILTER (WHERE bucket = 0), 0e0) / sum(n), 9) + 1e-10, 6) AS e0 "
+    "FROM other_steps GROUP BY dataset_name, id_num, step",
+    "complete_parts": "SELECT dataset_name, split, count(*) AS n_states FROM states WHERE dataset_name IN "
+    "(SELECT dataset_name FROM states GROUP BY dataset_name HAVING count(DISTINCT split) = 2 "
+    "AND bool_and(e0 IS NOT NULL)) GROUP BY ALL",
+    "summary_of_nothing": "SELECT 'all' AS part, count(*) FILTER (WHERE step = 0) AS num_samples, "
+    "min(id_num) AS id_num_min, max(id_num) AS id_num_max, false AS has_losses, false AS has_grad_norms "
+    "FROM vectors UNION ALL SELECT 'beyond', 0, 0, 0, false, false",
+    "roc_corners": "SELECT dataset_name, k, round(cum_neg / total_neg::DOUBLE + 1e-10, 6) AS fpr, "
+    "round(cum_pos / total_pos::DOUBLE + 1e-10, 6) AS tpr FROM corners "
+    "WHERE before IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg "
+    "UNION ALL SELECT DISTINCT dataset_name, k, 0e0, 0e0 FROM corners",
     "last_content_token": "SELECT dataset_name, id_num, coalesce(max(pos) FILTER (WHERE content), "
     "max(pos))::INTEGER AS last_pos, coalesce(arg_max(tok, pos) FILTER (WHERE content), "
     "arg_max(tok, pos)) AS last_token FROM (SELECT *, regexp_matches(tok, '[\\p{L}\\p{N}]') AS content "

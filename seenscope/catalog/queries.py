@@ -2,8 +2,9 @@
 
 Every query runs over whole tables. Doubles are rounded to 6 places, and perplexity, whose
 size varies widely, to single precision, so that results do not depend on the order of
-summation. Scores already have 9 places; the shift keeps them off the midpoint between two
-values of 6 places, which Spark and DuckDB do not round alike.
+summation. Scores and trajectories are rounded to 9 places here, so that equal texts tie in
+what follows; the shift keeps them off the midpoint between two values of 6 places, which
+Spark and DuckDB do not round alike.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from seenscope.operators import (
     tasks,
     trajectory,
 )
+from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize, scratch_path
 from seenscope.sources import items as item_tables
 from seenscope.sources import metrics as metric_tables
 from seenscope.sources import paths, schemas, trajectories
 
 OFF_MIDPOINT = 1e-10
+DIGITS = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,17 +68,6 @@ def query(function: Query) -> Query:
 # --- shared steps -----------------------------------------------------------------------
 
 
-def _prepared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Sampled, numbered and labelled items of one source."""
-    source = materialize(fixtures.prompted(spark, sf_dir, name), name)
-    if name == "math":
-        sampled = sampling.sample_stratified(checks.keep_levels(source))
-    else:
-        sampled = sampling.sample_exact(source)
-    numbered = materialize(sampling.split_positional(sampled), f"{name}-numbered")
-    return sampling.label_seen(numbered, ["dataset_name", "split"])
-
-
 def _messages(items: DataFrame, name: str) -> DataFrame:
     answer = {
         "math": lambda: F.col("solution"),
@@ -110,13 +102,26 @@ def _all_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items and the model fitted on the seen ones."""
+    """Items, and what the model fitted on the seen ones says about their word pairs."""
     items = fixtures.split_documents(spark, sf_dir)
-    return items, language_model.fit(items)
+    return items, language_model.lookup(items, language_model.fit(items))
+
+
+def _other_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Eval items, and what a model fitted on the train items alone says about them."""
+    items = fixtures.split_documents(spark, sf_dir)
+    model = language_model.fit(items.where("split = 'train'"))
+    rest = items.where("split = 'eval'")
+    return rest, language_model.lookup(rest, model)
+
+
+def _nine_places(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
 
 def _score_table(items: DataFrame, model: DataFrame) -> DataFrame:
-    return scores.score_table(items, language_model.sample_logprobs(items, model))
+    found = scores.score_table(items, language_model.sample_logprobs(items, model))
+    return _nine_places(found, [scores.min_k_name(r) for r in scores.K_RATIOS])
 
 
 def _scores(items: DataFrame, model: DataFrame) -> DataFrame:
@@ -129,7 +134,9 @@ def _long_scores(items: DataFrame, model: DataFrame) -> DataFrame:
 
 def _trajectories(items: DataFrame, model: DataFrame) -> DataFrame:
     cells = language_model.model_cells(items, model)
-    return trajectory.with_split(trajectory.trajectory(cells), items)
+    states = _nine_places(trajectory.trajectory(cells), ["loss", "grad_norm"])
+    embedding = F.transform("embedding", lambda x: F.round(x, DIGITS))
+    return trajectory.with_split(states.withColumn("embedding", embedding), items)
 
 
 def _features(items: DataFrame, model: DataFrame) -> DataFrame:
@@ -163,7 +170,8 @@ def _trace_results(predicted: DataFrame, counts: DataFrame) -> DataFrame:
     accuracy = predicted.groupBy("dataset_name").agg(
         F.avg((F.col("predicted") == F.col("seen")).cast("double")).alias("accuracy")
     )
-    return evaluate.auc(counts, ["dataset_name"]).join(accuracy, "dataset_name")
+    areas = evaluate.auc(counts, ["dataset_name"])
+    return null_safe_join(areas, accuracy, ["dataset_name"], "inner")
 
 
 def _eval_counts(long_scores: DataFrame) -> DataFrame:
@@ -276,6 +284,31 @@ def complete_datasets(spark, sf_dir):
     )
 
 
+@query
+def complete_parts(spark, sf_dir):
+    """States of the datasets whose train and eval trajectories hold all four parts."""
+    states = _trajectories(*_model(spark, sf_dir))
+    states = materialize(states, "states")
+    both = trajectories.complete(
+        trajectories.parts_present(states).withColumn("part", F.concat_ws("-", "split", "part")),
+        ["dataset_name"],
+        2 * len(trajectories.PARTS),
+    )
+    kept = null_safe_join(states, materialize(both, "complete"), ["dataset_name"], "left_semi")
+    return kept.groupBy("dataset_name", "split").agg(F.count("*").alias("n_states"))
+
+
+@query
+def summary_of_nothing(spark, sf_dir):
+    """The summary of a whole trajectory table, and of the part of it beyond the last step."""
+    states = fixtures.stored_trajectory(spark, sf_dir).withColumns(
+        {"loss": F.lit(None).cast("double"), "grad_norm": F.lit(None).cast("double")}
+    )
+    every = trajectories.summarize_all(states).withColumn("part", F.lit("all"))
+    beyond = trajectories.summarize_all(states.where("step > 5")).withColumn("part", F.lit("beyond"))
+    return every.unionByName(beyond)
+
+
 @query
 def trajectory_summary(spark, sf_dir):
     return trajectories.summarize(_trajectories(*_model(spark, sf_dir)))
@@ -483,19 +516,34 @@ def fetch_by_index(spark, sf_dir):
 # --- aggregations -----------------------------------------------------------------------
 
 
+def _labelled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of all sources, numbered, split and labelled, without their texts."""
+    columns = ["dataset_name", "id_num", "split", "seen"]
+    return tasks.concat(
+        *[
+            sampling.label_seen(
+                materialize(
+                    sampling.split_positional(
+                        fixtures.SOURCES[n](spark, sf_dir).select("src_id").withColumn("dataset_name", F.lit(n))
+                    ),
+                    f"{n}-numbered",
+                ),
+                ["dataset_name", "split"],
+            ).select(*columns)
+            for n in fixtures.SOURCES
+        ]
+    )
+
+
 @query
 def composition(spark, sf_dir):
-    columns = ["dataset_name", "id_num"]
-    prepared = [_prepared(spark, sf_dir, n).where("split = 'contam'").select(*columns) for n in fixtures.SOURCES]
-    counts = tasks.composition(tasks.concat(*prepared))
+    counts = tasks.composition(_labelled_sources(spark, sf_dir))
     return counts.withColumn("dataset_name", F.coalesce("dataset_name", F.lit("total")))
 
 
 @query
 def split_report(spark, sf_dir):
-    columns = ["dataset_name", "split", "seen"]
-    prepared = [_prepared(spark, sf_dir, n).select(*columns) for n in fixtures.SOURCES]
-    return tasks.split_report(tasks.concat(*prepared))
+    return tasks.split_report(_labelled_sources(spark, sf_dir))
 
 
 @query
@@ -514,7 +562,7 @@ def strata_quota(spark, sf_dir):
 
 @query
 def ngram_model(spark, sf_dir):
-    return language_model.fitted_pairs(_model(spark, sf_dir)[1])
+    return language_model.fitted_pairs(language_model.fit(fixtures.split_documents(spark, sf_dir)))
 
 
 @query
@@ -544,14 +592,22 @@ def score_table(spark, sf_dir):
 
 
 @query
-def rejected_rows(spark, sf_dir):
-    return scores.within_budget(fixtures.documents(spark, sf_dir))[1]
+def score_other_texts(spark, sf_dir):
+    """Scores of texts that had no part in the model: unknown words and pairs count, too."""
+    found = _score_table(*_other_model(spark, sf_dir))
+    return found.drop("perplexity", "seen", "split")
+
+
+@query
+def trajectory_other_texts(spark, sf_dir):
+    """Trajectories of texts that had no part in the model."""
+    found = _trajectories(*_other_model(spark, sf_dir))
+    return found.select(*SAMPLE_KEYS, "step", "loss", "grad_norm", F.get("embedding", F.lit(0)).alias("e0"))
 
 
 @query
 def last_content_token(spark, sf_dir):
-    words = language_model.word_pairs(fixtures.documents(spark, sf_dir))
-    return scores.last_content_token(words)
+    return scores.last_content_token(fixtures.documents(spark, sf_dir))
 
 
 @query
@@ -598,6 +654,13 @@ def roc_points(spark, sf_dir):
     return evaluate.roc_points(_eval_counts(_long_scores(*_model(spark, sf_dir))), evaluate.BY_K)
 
 
+@query
+def roc_corners(spark, sf_dir):
+    """ROC points without those between two equal steps."""
+    counts = _eval_counts(_long_scores(*_model(spark, sf_dir)))
+    return evaluate.roc_points(counts, evaluate.BY_K, drop_intermediate=True)
+
+
 @query
 def metrics_summary(spark, sf_dir):
     return evaluate.metrics_summary(_long_scores(*_model(spark, sf_dir)))

@@ -9,6 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from seenscope.plans.joins import null_safe_join
+from seenscope.plans.materialize import materialize, scratch_path
+from seenscope.sources.items import write_items
+
 # Most iterations, and rows shown of the coefficient ranking.
 MAX_ITER = 2000
 TOP_FEATURES = 15
@@ -21,21 +25,29 @@ def class_weights(train: DataFrame) -> DataFrame:
     """Rows per dataset and weight ``rows / (2 * rows of the class)`` of each class."""
     return train.groupBy("dataset_name").agg(
         F.count("*").alias("n_rows"),
-        (F.count("*") / (2 * F.count_if("seen"))).alias("seen_weight"),
-        (F.count("*") / (2 * F.count_if(~F.col("seen")))).alias("unseen_weight"),
+        F.try_divide(F.count("*"), 2 * F.count_if("seen")).alias("seen_weight"),
+        F.try_divide(F.count("*"), 2 * F.count_if(~F.col("seen"))).alias("unseen_weight"),
     )
 
 
-def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-8) -> DataFrame:
-    """Coefficients per dataset, in the order of ``names``.
+def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-12) -> DataFrame:
+    """Coefficients per dataset, in the order of ``names``, written: one row per dataset. A
+    dataset whose rows are all of one class has none: its values are null.
 
     The penalty is half the squared norm of the coefficients against the weighted sum of
     losses (C = 1), which is ``regParam = 1 / rows`` here since balanced weights sum to the
-    rows. Fitting is one distributed job per dataset; only gradients reach the driver.
-    ``train`` is read many times, so pass a written or cached table.
+    rows. Fitting is one distributed job per dataset; only gradients reach the driver. The
+    rows are written by dataset first, so that a fit reads the rows of its own only.
     """
-
-    def fit_one(group: Row) -> tuple[str, float, list[float]]:
+    spark = train.sparkSession
+    path = scratch_path(spark, "train")
+    write_items(train.select("dataset_name", "seen", *names), path, ["dataset_name"])
+    schema = train.select("seen", *names, "dataset_name").schema
+    train = spark.read.schema(schema).parquet(path)
+
+    def fit_one(group: Row) -> tuple[str, float | None, list[float] | None]:
+        if group["seen_weight"] is None or group["unseen_weight"] is None:
+            return group["dataset_name"], None, None
         weighted = train.where(F.col("dataset_name").eqNullSafe(group["dataset_name"])).select(
             array_to_vector(F.array(*names)).alias("features"),
             F.col("seen").cast("double").alias("label"),
@@ -57,15 +69,17 @@ def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-8) -> Da
     groups = class_weights(train).collect()
     with ThreadPool(PARALLEL_FITS) as pool:
         rows = pool.map(fit_one, groups)
-    return train.sparkSession.createDataFrame(rows, COEFFICIENTS)
+    # Written, so that Catalyst knows its size and broadcasts it if it is small.
+    return materialize(spark.createDataFrame(rows, COEFFICIENTS), "coefficients")
 
 
 def predict(features: DataFrame, coefficients: DataFrame, names: list[str]) -> DataFrame:
-    """Probability of ``seen`` and the predicted class, for all datasets in one pass."""
+    """Probability of ``seen`` and the predicted class, for all datasets in one pass; null
+    where the dataset has no coefficients."""
     others = [c for c in features.columns if c not in names]
     products = F.zip_with(F.array(*names), F.col("coefficients"), lambda x, c: x * c)
     margin = F.aggregate(products, F.col("intercept"), lambda acc, x: acc + x)
-    joined = features.join(coefficients, "dataset_name")
+    joined = null_safe_join(features, coefficients, ["dataset_name"], "left")
     return joined.select(*others, margin.alias("margin")).select(
         *others,
         (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))).alias("probability"),

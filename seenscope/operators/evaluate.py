@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seenscope.plans.carry import last_before
 from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize
 from seenscope.plans.running import running_sums
@@ -112,14 +113,38 @@ def apply_thresholds(scores: DataFrame, thresholds: DataFrame, k_values: list[in
         *[at(k, "threshold").alias(f"epsilon_k_{k}") for k in k_values],
         *[at(k, "train_auc").alias(f"auc_k_{k}") for k in k_values],
     )
-    joined = scores.join(materialize(wide, "wide-thresholds"), "dataset_name", "left")
+    wide = materialize(wide, "wide-thresholds")
+    joined = null_safe_join(scores, wide, ["dataset_name"], "left")
     for k in k_values:
         joined = joined.withColumn(f"pred_k_{k}", F.col(f"min_k_{k}") < F.col(f"epsilon_k_{k}"))
     return joined
 
 
-def roc_points(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """``(fpr, tpr)`` after each distinct score, with the starting point (0, 0)."""
+def _corners(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """Without the scores between two neighbours that rise by as many seen and unseen rows:
+    their points are not needed to draw the curve.
+
+    A score's neighbours are the next ones in rising order. They are found twice with
+    :func:`last_before`, so a group of any size is spread over many tasks; groups are one
+    text, nulls included.
+    """
+    key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
+    step = F.struct("pos", "neg")
+    before = last_before(counts.withColumn("_group", key), "_group", F.col("score"), F.lit(1), "_before")
+    after = last_before(before, "_group", -F.col("score"), step, "_after")
+    same = (F.col("_after.pos") == F.col("pos")) & (F.col("_after.neg") == F.col("neg"))
+    inner = F.col("_before").isNotNull() & F.col("_after").isNotNull()
+    return after.where(~(inner & same)).drop("_group", "_before", "_after")
+
+
+def roc_points(counts: DataFrame, groups: list[str], drop_intermediate: bool = False) -> DataFrame:
+    """``(fpr, tpr)`` after each distinct score, with the starting point (0, 0).
+
+    With ``drop_intermediate``, a point between two equal steps is left out, but for the
+    first and the last point.
+    """
+    if drop_intermediate:
+        counts = _corners(counts, groups)
 
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
@@ -143,9 +168,9 @@ def metrics_summary(scores: DataFrame) -> DataFrame:
     counts = score_counts(scores, ["dataset_name", "split", "k"])
     thresholds = learn_thresholds(counts.where("split = 'train'"))
     eval_auc = auc(counts.where("split = 'eval'"), BY_K).withColumnRenamed("auc", "eval_auc")
+    judged = accuracy(scores.where("split = 'eval'"), thresholds)
     return (
-        thresholds.join(accuracy(scores.where("split = 'eval'"), thresholds), BY_K)
-        .join(eval_auc, BY_K)
+        null_safe_join(null_safe_join(thresholds, judged, BY_K, "inner"), eval_auc, BY_K, "inner")
         .select(
             *BY_K,
             "threshold",

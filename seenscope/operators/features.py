@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seenscope.functions.vectors import angle, l2_distance
 from seenscope.operators.trajectory import NUM_STEPS
+from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize
 
 # Feature name stems, in order.
@@ -18,11 +19,15 @@ def feature_names(num_steps: int = NUM_STEPS) -> list[str]:
 
 
 def label_join(rows: DataFrame, labels: DataFrame, keys: list[str], label: str = "seen") -> DataFrame:
-    """Left join of a label; a row without one gets false. Labels must have unique keys."""
-    doubled = labels.groupBy(*keys).count().where("count > 1").take(1)
-    if doubled:
-        raise ValueError(f"more than one label for {doubled[0]}")
-    return rows.join(labels.select(*keys, label), keys, "left").withColumn(
+    """Left join of a label; a row without one gets false, a null key has one like any other.
+
+    Labels must have unique keys: the query fails where they have not.
+    """
+    message = F.concat_ws(" ", F.lit("more than one label for"), *[F.col(k).cast("string") for k in keys])
+    one = labels.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(label).alias(label)).select(
+        *keys, F.when(F.col("_n") == 1, F.col(label)).otherwise(F.raise_error(message)).alias(label)
+    )
+    return null_safe_join(rows, one, keys, "left").withColumn(
         label, F.coalesce(F.col(label), F.lit(False))
     )
 
@@ -71,7 +76,7 @@ def scaler(train: DataFrame, names: list[str]) -> DataFrame:
 
 def scale(features: DataFrame, parameters: DataFrame, names: list[str]) -> DataFrame:
     others = [c for c in features.columns if c not in names]
-    return features.join(parameters, "dataset_name").select(
+    return null_safe_join(features, parameters, ["dataset_name"], "inner").select(
         *others,
         *[((F.col(f) - F.col(f"_mean_{f}")) / F.col(f"_dev_{f}")).alias(f) for f in names],
     )

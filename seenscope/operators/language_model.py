@@ -11,6 +11,8 @@ a sample follows the empty word.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,39 +39,62 @@ def sample_cells(items: DataFrame, max_length: int | None = None) -> DataFrame:
     """Counts per sample and word pair, with the count of the pair's first word in that
     sample (``n_prev``).
 
-    One shuffle by sample and first word serves both counts.
+    All pairs of a sample come from one row, so they are counted on the map side; only cells
+    are shuffled.
     """
-    pairs = word_pairs(items, max_length).where("pos > 0").repartition(*SAMPLE, "prev")
+    pairs = word_pairs(items, max_length).where("pos > 0")
     cells = pairs.groupBy(*SAMPLE, "prev", "tok").agg(F.count("*").alias("n"))
     return cells.withColumn("n_prev", F.sum("n").over(Window.partitionBy(*SAMPLE, "prev")))
 
 
-def fit(items: DataFrame, max_length: int | None = None) -> DataFrame:
-    """The model: one row per word pair of any sample, with counts on the seen rows.
+@dataclass(frozen=True)
+class Model:
+    """Counts on the seen rows: of word pairs, of first words as contexts, and of words.
 
-    ``c_pair``, ``c_prev`` and ``c_tok`` count the pair, its first word as a context, and
-    its second word; ``base`` is the smoothed share of the second word; ``uses`` is the
-    number of places that will look the pair up. Pairs of unseen rows are included with
-    count 0, so scoring needs one join instead of three.
+    The tables are written and hold nothing of other rows. ``mass`` is N + V + 1, which is
+    the reciprocal of an unknown word's share.
     """
+
+    pairs: DataFrame
+    contexts: DataFrame
+    unigrams: DataFrame
+    mass: int
+
+
+def fit(items: DataFrame, max_length: int | None = None) -> Model:
+    """The model of the rows marked seen."""
     pairs = materialize(
-        word_pairs(items, max_length, keep=("seen",))
+        word_pairs(items.where("seen"), max_length)
         .groupBy("prev", "tok")
-        .agg(F.count("*").alias("uses"), F.count_if("seen").alias("c_pair")),
+        .agg(F.count("*").alias("c_pair")),
         "pairs",
     )
-    contexts = materialize(
-        pairs.groupBy("prev").agg(F.count("*").alias("uses"), F.sum("c_pair").alias("c_prev")),
-        "contexts",
-    )
-    unigrams = materialize(
-        pairs.groupBy("tok").agg(F.count("*").alias("uses"), F.sum("c_pair").alias("c_tok")),
-        "unigrams",
+    contexts = pairs.groupBy("prev").agg(F.sum("c_pair").alias("c_prev"))
+    unigrams = materialize(pairs.groupBy("tok").agg(F.sum("c_pair").alias("c_tok")), "unigrams")
+    mass = unigrams.agg(F.coalesce(F.sum("c_tok"), F.lit(0)) + F.count("*") + 1).first()[0]
+    return Model(pairs, materialize(contexts, "contexts"), unigrams, mass)
+
+
+def lookup(items: DataFrame, model: Model, max_length: int | None = None) -> DataFrame:
+    """What the model says about the word pairs of any items: one row per distinct pair.
+
+    A pair, context or word that the model has not met has count 0. ``uses`` is the number of
+    places in the items that will look the pair up, so they need one join instead of three.
+    """
+    wanted = materialize(
+        word_pairs(items, max_length).groupBy("prev", "tok").agg(F.count("*").alias("uses")),
+        "wanted-pairs",
     )
-    mass = unigrams.agg(F.sum("c_tok") + F.count_if(F.col("c_tok") > 0) + 1).scalar()
-    joined = lookup_join(lookup_join(pairs, contexts, ["prev"]), unigrams, ["tok"])
-    model = joined.withColumn("base", (F.col("c_tok") + F.lit(1.0)) / mass)
-    return materialize(model, "model")
+    # Distinct pairs share first words, and words; the sums tell which are hot.
+    by_prev = wanted.groupBy("prev").agg(F.count("*").alias("uses"))
+    by_tok = wanted.groupBy("tok").agg(F.count("*").alias("uses"))
+    contexts = materialize(by_prev.join(model.contexts, "prev", "left"), "wanted-contexts")
+    unigrams = materialize(by_tok.join(model.unigrams, "tok", "left"), "wanted-words")
+    counted = wanted.join(model.pairs, ["prev", "tok"], "left")
+    joined = lookup_join(lookup_join(counted, contexts, ["prev"]), unigrams, ["tok"])
+    known = joined.na.fill(0, ["c_pair", "c_prev", "c_tok"])
+    base = (F.col("c_tok") + F.lit(1.0)) / F.lit(model.mass)
+    return materialize(known.withColumn("base", base), "lookup")
 
 
 def probability(extra_pair: Column | None = None, extra_prev: Column | None = None) -> Column:
@@ -80,34 +105,42 @@ def probability(extra_pair: Column | None = None, extra_prev: Column | None = No
     return pair / prev
 
 
-def fitted_pairs(model: DataFrame) -> DataFrame:
-    """The pairs that occur on seen rows."""
-    return model.where("c_pair > 0").select("prev", "tok", "c_pair", "c_prev", "c_tok")
+def fitted_pairs(model: Model) -> DataFrame:
+    """The pairs of the seen rows with all counts."""
+    contexts = model.contexts.withColumn("uses", F.col("c_prev"))
+    unigrams = model.unigrams.withColumn("uses", F.col("c_tok"))
+    joined = lookup_join(lookup_join(model.pairs, contexts, ["prev"]), unigrams, ["tok"])
+    return joined.select("prev", "tok", "c_pair", "c_prev", "c_tok")
 
 
-def _pair_logprobs(model: DataFrame) -> DataFrame:
+def _pair_logprobs(found: DataFrame) -> DataFrame:
     # One value per pair travels through the join instead of its counts.
-    return model.select("prev", "tok", "uses", F.log(probability()).alias("logprob"))
+    return found.select("prev", "tok", "uses", F.log(probability()).alias("logprob"))
 
 
 def token_logprobs(
-    items: DataFrame, model: DataFrame, max_length: int | None = None
+    items: DataFrame, found: DataFrame, max_length: int | None = None
 ) -> DataFrame:
-    """Log-probability of each word but the first of each sample."""
+    """Log-probability of each word but the first of each sample; ``found`` is a
+    :func:`lookup` of these items."""
     following = word_pairs(items, max_length).where("pos > 0")
-    return lookup_join(following, _pair_logprobs(model), ["prev", "tok"]).select(
+    return lookup_join(following, _pair_logprobs(found), ["prev", "tok"]).select(
         *SAMPLE, "pos", F.col("tok").alias("token"), "logprob"
     )
 
 
 def sample_logprobs(
-    items: DataFrame, model: DataFrame, max_length: int | None = None
+    items: DataFrame, found: DataFrame, max_length: int | None = None
 ) -> DataFrame:
-    """The log-probabilities alone, which is what scores need."""
-    return token_logprobs(items, model, max_length).select(*SAMPLE, "logprob")
+    """Distinct pairs of each sample with log-probability and count ``n``, which is what
+    scores need."""
+    pairs = word_pairs(items, max_length).where("pos > 0")
+    counted = pairs.groupBy(*SAMPLE, "prev", "tok").agg(F.count("*").alias("n"))
+    joined = lookup_join(counted, _pair_logprobs(found), ["prev", "tok"])
+    return joined.select(*SAMPLE, "logprob", "n")
 
 
-def model_cells(items: DataFrame, model: DataFrame, max_length: int | None = None) -> DataFrame:
+def model_cells(items: DataFrame, found: DataFrame, max_length: int | None = None) -> DataFrame:
     """Cells with the model's counts."""
-    counts = model.select("prev", "tok", "uses", "c_pair", "c_prev", "base")
+    counts = found.select("prev", "tok", "uses", "c_pair", "c_prev", "base")
     return lookup_join(sample_cells(items, max_length), counts, ["prev", "tok"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seenscope.operators.evaluate import auc, roc_points
+from seenscope.plans.joins import null_safe_join
+from seenscope.plans.materialize import materialize
 
 # Fixed value: the k that stands for the lowest-k% method.
 REPRESENTATIVE_K = 30
@@ -23,7 +25,7 @@ def representative(
     accuracy = metrics.where(F.col("k") == k).select(
         "dataset_name", F.col("eval_accuracy").alias("accuracy")
     )
-    return auc(at_k, ["dataset_name"]).join(accuracy, "dataset_name")
+    return null_safe_join(auc(at_k, ["dataset_name"]), accuracy, ["dataset_name"], "inner")
 
 
 def compare_methods(
@@ -81,11 +83,11 @@ def roc_series(methods: dict[str, DataFrame]) -> DataFrame:
     """ROC points and AUC of several methods; each value is a table of score counts."""
     series = None
     for name, counts in methods.items():
-        points = (
-            roc_points(counts, ["dataset_name"])
-            .join(auc(counts, ["dataset_name"]), "dataset_name")
-            .withColumn("method", F.lit(name))
-        )
+        # Written: one row per dataset, so the points are not shuffled for it.
+        areas = materialize(auc(counts, ["dataset_name"]), "areas")
+        points = null_safe_join(
+            roc_points(counts, ["dataset_name"]), areas, ["dataset_name"], "inner"
+        ).withColumn("method", F.lit(name))
         series = points if series is None else series.unionByName(points)
     return series
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize
 from seenscope.plans.ordering import SEED, mark_first, number_by_hash, order_key
 
@@ -52,7 +53,7 @@ def sample_stratified(
 ) -> DataFrame:
     """An equal share of ``n`` from each stratum, all rows of a stratum that is short."""
     quotas = materialize(strata_quota(df, stratum, n), "quotas")
-    with_quota = df.join(quotas.select("dataset_name", "quota"), "dataset_name")
+    with_quota = null_safe_join(df, quotas.select("dataset_name", "quota"), ["dataset_name"], "inner")
     # The quota is constant in a dataset; it groups the strata without changing them.
     groups = ["dataset_name", stratum, "quota"]
     key = order_key("sample", "dataset_name", id_col, seed=seed)
@@ -98,4 +99,4 @@ def shuffle_key(df: DataFrame, id_col: str = "id_num", seed: int = SEED) -> Data
 def without(df: DataFrame, chosen: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` that are not in ``chosen``."""
     keys = ["dataset_name", "id_num"] if keys is None else keys
-    return df.join(chosen.select(*keys), keys, "left_anti")
+    return null_safe_join(df, chosen.select(*keys), keys, "left_anti")

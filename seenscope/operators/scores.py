@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from seenscope.functions.words import is_special, words
 from seenscope.operators.language_model import SAMPLE
+from seenscope.plans.joins import null_safe_join
 
-# The shares of lowest log-probabilities, and the row budget.
+# The shares of lowest log-probabilities, and the word limit of the option.
 K_RATIOS = [0.1, 0.2, 0.3, 0.5]
 MAX_LENGTH = 2048
-# Scores are rounded so that equal texts tie, whatever the order of summation.
-SCORE_DIGITS = 9
 
 
 def k_percent(ratio: float) -> int:
@@ -23,21 +22,16 @@ def min_k_name(ratio: float) -> str:
     return f"min_k_{k_percent(ratio)}"
 
 
-def _rounded(value: Column) -> Column:
-    return F.round(value, SCORE_DIGITS)
-
-
 def sample_scores(logprobs: DataFrame, k_ratios: list[float] | None = None) -> DataFrame:
     """Mean negative log-likelihood, perplexity, word count and, for each ratio, minus the
-    mean of the lowest ``max(1, int(num_tokens * ratio))`` log-probabilities.
+    mean of the lowest ``max(1, int(num_tokens * ratio))`` log-probabilities. ``logprobs`` has
+    distinct pairs with their counts ``n``.
 
     One shuffle by sample; there, equal values are merged and the rest sorted in a window
     that can spill, so whole texts of any length are scored.
     """
     k_ratios = K_RATIOS if k_ratios is None else k_ratios
-    values = (
-        logprobs.repartition(*SAMPLE).groupBy(*SAMPLE, "logprob").agg(F.count("*").alias("n"))
-    )
+    values = logprobs.repartition(*SAMPLE).groupBy(*SAMPLE, "logprob").agg(F.sum("n").alias("n"))
     sample = Window.partitionBy(*SAMPLE)
     upto = sample.orderBy("logprob").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = values.withColumn("_upto", F.sum("n").over(upto)).withColumn(
@@ -48,7 +42,7 @@ def sample_scores(logprobs: DataFrame, k_ratios: list[float] | None = None) -> D
         wanted = F.greatest(F.lit(1), F.floor(F.col("_tokens") * F.lit(ratio)))
         before = F.col("_upto") - F.col("n")
         taken = F.greatest(F.lit(0), F.least(F.col("n"), wanted - before))
-        return _rounded(-F.sum(taken * F.col("logprob")) / F.sum(taken))
+        return -F.sum(taken * F.col("logprob")) / F.sum(taken)
 
     nll = -F.sum(F.col("n") * F.col("logprob")) / F.sum("n")
     return placed.groupBy(*SAMPLE).agg(
@@ -69,8 +63,8 @@ def score_table(
     """
     k_ratios = K_RATIOS if k_ratios is None else k_ratios
     labels = [c for c in ("split", "seen") if c in items.columns]
-    joined = items.select(*SAMPLE, *labels).join(
-        sample_scores(logprobs, k_ratios), SAMPLE, "left"
+    joined = null_safe_join(
+        items.select(*SAMPLE, *labels), sample_scores(logprobs, k_ratios), SAMPLE, "left"
     )
     return joined.select(
         *SAMPLE,
@@ -98,19 +92,12 @@ def by_k(scores: DataFrame, k_ratios: list[float] | None = None) -> DataFrame:
     return scores.select(*SAMPLE, *labels, F.inline(pairs))
 
 
-def within_budget(items: DataFrame, budget: int = MAX_LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Items whose word count is within the budget, and a table of those rejected."""
-    counted = items.withColumn("n_words", F.size(words(F.col("instruction_text"))))
-    kept = counted.where(F.col("n_words") <= budget).drop("n_words")
-    rejected = counted.where(F.col("n_words") > budget).select(*SAMPLE, "n_words")
-    return kept, rejected
-
-
-def last_content_token(tokens: DataFrame, value: str = "pos") -> DataFrame:
-    """``value`` at the last position whose token is not special, or at the last position
-    if all are special."""
-    content_pos = F.when(~is_special(F.col("tok")), F.col("pos"))
-    return tokens.groupBy(*SAMPLE).agg(
-        F.coalesce(F.max_by(value, content_pos), F.max_by(value, "pos")).alias(f"last_{value}"),
-        F.coalesce(F.max_by("tok", content_pos), F.max_by("tok", "pos")).alias("last_token"),
-    )
+def last_content_token(items: DataFrame) -> DataFrame:
+    """Position and text of each sample's last word that is not special, or of its last word
+    if all are special; found within the row. Samples without words are left out."""
+    places = F.sequence(F.lit(0), F.size("_words") - 1)
+    content = F.filter(places, lambda i: ~is_special(F.get("_words", i)))
+    last = F.coalesce(F.get(content, F.size(content) - 1), F.size("_words") - 1)
+    listed = items.select(*SAMPLE, words(F.col("instruction_text")).alias("_words"))
+    placed = listed.where(F.size("_words") > 0).withColumn("last_pos", last)
+    return placed.select(*SAMPLE, "last_pos", F.get("_words", F.col("last_pos")).alias("last_token"))

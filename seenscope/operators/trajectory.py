@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seenscope.operators.language_model import SAMPLE, probability
+from seenscope.plans.joins import null_safe_join
 
+# Fixed value: updates per sample.
 NUM_STEPS = 5
 DIM = 16
-DIGITS = 9
 
 
 def trajectory(model_cells: DataFrame, num_steps: int = NUM_STEPS, weight: float = 1.0) -> DataFrame:
@@ -76,14 +77,14 @@ def trajectory(model_cells: DataFrame, num_steps: int = NUM_STEPS, weight: float
         for i in range(DIM)
     ]
     return spread.groupBy(*SAMPLE, "step").agg(
-        F.array(*[F.round(c, DIGITS) for c in component]).alias("embedding"),
-        F.round(-F.sum("prior_ll") / tokens, DIGITS).alias("loss"),
-        F.round(F.sqrt(F.sum("prior_g")) / tokens, DIGITS).alias("grad_norm"),
+        F.array(*component).alias("embedding"),
+        (-F.sum("prior_ll") / tokens).alias("loss"),
+        (F.sqrt(F.sum("prior_g")) / tokens).alias("grad_norm"),
     )
 
 
 def with_split(trajectories: DataFrame, items: DataFrame) -> DataFrame:
     """Add each sample's split from the item table."""
-    return trajectories.join(items.select(*SAMPLE, "split"), SAMPLE).select(
+    return null_safe_join(trajectories, items.select(*SAMPLE, "split"), SAMPLE, "inner").select(
         "dataset_name", "split", "id_num", "step", "embedding", "loss", "grad_norm"
     )

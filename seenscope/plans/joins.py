@@ -6,12 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# A key is hot if it holds more than 1/20,000 of the rows, so at most 20,000 keys can be
-# hot. With the limit on key bytes the broadcast table stays below about 10 MB.
+# A key is hot if it holds more than 1/20,000 of the rows, so fewer than 20,000 keys are.
 MAX_HOT_KEYS = 20_000
-MAX_HOT_KEY_BYTES = 256
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -23,49 +20,51 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     condition = reduce(
         Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     )
-    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+    joined = left.join(renamed, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.columns[: len(keys)])
 
 
-def _hot(lookup: DataFrame, keys: list[str], max_hot: int) -> Column:
-    key_bytes = reduce(
-        Column.__add__,
-        [
-            F.octet_length(k) if isinstance(lookup.schema[k].dataType, StringType) else F.lit(8)
-            for k in keys
-        ],
-    )
+def _hot(lookup: DataFrame, keys: list[str], max_hot: int) -> DataFrame:
+    """``(_digest, _salts)`` of the keys with more than 1/``max_hot`` of the rows.
+
+    A key gets one salt per 1/``max_hot`` of the rows it holds, so there are at most
+    ``2 * max_hot`` salts in all, of fixed width whatever the keys are.
+    """
     total = lookup.agg(F.sum("uses")).scalar()
-    return (F.col("uses") * F.lit(max_hot) > total) & (key_bytes <= MAX_HOT_KEY_BYTES)
+    share = F.col("uses") * F.lit(max_hot) / total
+    hot = lookup.where(share > 1).select(
+        F.xxhash64(*keys).alias("_digest"), F.ceil(share).cast("int").alias("_salts")
+    )
+    # Two keys of one digest are salted alike.
+    return hot.groupBy("_digest").agg(F.max("_salts").alias("_salts"))
 
 
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], max_hot: int = MAX_HOT_KEYS
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    max_hot: int = MAX_HOT_KEYS,
+    how: str = "left",
 ) -> DataFrame:
-    """Inner join with a table that has one row per key and a count ``uses`` of the rows
-    that need it.
+    """Join with a table that has one row per non-null key and a count ``uses`` of the rows
+    expected to need it; ``rows`` is read once, and values are null for a key not there.
 
-    Rows of a hot key take their values from a broadcast of at most ``max_hot`` short keys;
-    in the shuffle join that follows they are spread by a hash of the whole row, so no key
-    sends more than 1/``max_hot`` of the rows to one task. (Hot keys longer than the byte
-    limit are left to adaptive skew handling.) ``rows`` is read once.
+    Rows of hot keys are spread over salts by a hash of the whole row, and the lookup row of
+    a hot key is repeated for each of its salts, so no key sends much more than
+    1/``max_hot`` of the rows to one task. What is broadcast are digests of hot keys with
+    their number of salts: fewer than ``max_hot`` pairs of numbers.
     """
     values = [c for c in lookup.columns if c not in keys and c != "uses"]
-    is_hot = _hot(lookup, keys, max_hot)
-    hot = lookup.where(is_hot).select(*keys, F.struct(*values).alias("_hot"))
-    # Always 0, but not a literal: the optimizer would move a literal out of the join key,
-    # and hot rows would no longer be spread.
-    zero = F.col("uses").bitwiseAND(F.lit(0))
-    cold = lookup.where(~is_hot).select(
-        *keys, zero.alias("_spread"), F.struct(*values).alias("_cold")
-    )
-    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-        F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))
+    hot = F.broadcast(_hot(lookup, keys, max_hot))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = (
+        rows.withColumn("_digest", F.xxhash64(*keys))
+        .join(hot, "_digest", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int"))
     )
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_spread", spread)
-        .join(cold, [*keys, "_spread"], "left")
-        .withColumn("_found", F.coalesce("_hot", "_cold"))
-        .where("_found IS NOT NULL")
+    repeated = (
+        lookup.withColumn("_digest", F.xxhash64(*keys))
+        .join(hot, "_digest", "left")
+        .select(*keys, *values, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     )
-    return joined.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+    return salted.join(repeated, [*keys, "_salt"], how).select(*rows.columns, *values)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize
 
+# Fixed value: the seed of all hash orders.
 SEED = 42
 BUCKET_DIGITS = 4
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seenscope.functions.prompts import fixed_choice_prompt, labeled_choice_prompt, math_prompt
 from seenscope.sources import schemas
@@ -14,15 +15,8 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Share the rows of a scan over all cores if it has fewer partitions than cores, as a
-    single small file does. A large table is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def _adapt(df: DataFrame, schema: str, **columns: Column) -> DataFrame:
-    wanted = df.sparkSession.createDataFrame([], schema).schema
+    wanted = StructType.fromDDL(schema)
     return df.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in wanted])
 
 

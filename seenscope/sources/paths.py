@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seenscope.plans.joins import null_safe_join
+from seenscope.plans.materialize import materialize
+
 # The three path parts after the first part named "data"; a part may be written as
 # name=value, and the split may be a file or a folder ending in ".parquet".
 _PART = r"(?:[^/=]+=)?([^/]+)"
@@ -26,6 +29,7 @@ def read_with_path_columns(
 
 
 def paired(eval_items: DataFrame, train_items: DataFrame) -> DataFrame:
-    """Eval rows of those datasets that also have train rows."""
-    datasets = train_items.select("dataset_name").distinct()
-    return eval_items.join(datasets, "dataset_name", "left_semi")
+    """Eval rows of those datasets that also have train rows. The names are written, so the
+    eval rows are not shuffled for a few of them."""
+    datasets = materialize(train_items.select("dataset_name").distinct(), "dataset-names")
+    return null_safe_join(eval_items, datasets, ["dataset_name"], "left_semi")

@@ -161,8 +161,10 @@ def test_label_join(spark):
     labels = spark.createDataFrame([(1, True), (2, False)], "id_num LONG, seen BOOLEAN")
     found = {r["id_num"]: r["seen"] for r in features.label_join(rows, labels, ["id_num"]).collect()}
     assert found == {1: True, 2: False, 3: False}
-    with pytest.raises(ValueError, match="more than one label"):
-        features.label_join(rows, labels.union(labels), ["id_num"])
+    with pytest.raises(PySparkException, match="more than one label"):
+        features.label_join(rows, labels.union(labels), ["id_num"]).collect()
+    nameless = spark.createDataFrame([(None, True)], "id_num LONG, seen BOOLEAN")
+    assert features.label_join(nameless.select("id_num"), nameless, ["id_num"]).first()["seen"]
 
 
 def test_paths_outside_a_data_folder_are_skipped(spark):

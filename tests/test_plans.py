@@ -6,10 +6,13 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from seenscope.operators import classifier, evaluate, report
 from seenscope.plans import ordering
+from seenscope.plans.carry import last_before
 from seenscope.plans.joins import lookup_join, null_safe_join
 from seenscope.plans.materialize import materialize, shared_folder
 from seenscope.plans.running import running_sums
+from seenscope.sources import paths
 
 
 def _hot_rows(n=3000, seed=1):
@@ -48,10 +51,12 @@ def test_lookup_join(spark, max_hot):
     lookup = spark.createDataFrame(
         [(g, n, f"value-{g}") for g, n in uses.items()], "g STRING, uses LONG, value STRING"
     )
+    found = lookup_join(rows, lookup, ["g"], max_hot=max_hot, how="inner").collect()
+    wanted = [(g, i, v, f"value-{g}") for g, i, v in data]
+    assert sorted((r["g"], r["i"], r["v"], r["value"]) for r in found) == sorted(wanted)
     found = lookup_join(rows, lookup, ["g"], max_hot=max_hot).collect()
-    assert sorted((r["g"], r["i"], r["v"], r["value"]) for r in found) == sorted(
-        (g, i, v, f"value-{g}") for g, i, v in data
-    )
+    assert len(found) == len(data) + 1
+    assert [r["value"] for r in found if r["g"] == "absent"] == [None]
 
 
 def test_lookup_join_spreads_hot_keys(spark):
@@ -68,7 +73,51 @@ def test_lookup_join_spreads_hot_keys(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert any("_spread" in line for line in exchanges)
+    assert any("_salt" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_last_before(spark, partitions):
+    rng = random.Random(8)
+    data = [(g, i, f"v{i}" if rng.random() < 0.3 else None) for g, i, _ in _hot_rows(900)]
+    df = spark.createDataFrame(data + [(None, 5, "n"), (None, 6, None)], "g STRING, i LONG, v STRING")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        found = last_before(df, "g", F.col("i"), F.col("v"), "found").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == len(data) + 2
+    groups = defaultdict(list)
+    for r in sorted(found, key=lambda r: r["i"]):
+        known = [v for v in groups[r["g"]] if v is not None]
+        assert r["found"] == (known[-1] if known else None)
+        groups[r["g"]].append(r["v"])
+
+
+def _exchanged(df, words):
+    """Rows of the plan that shuffle all of the given columns."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and all(w in x for w in words)]
+
+
+def test_large_sides_are_not_shuffled_for_a_few_datasets(spark):
+    """With written small sides and a low broadcast limit, as for large inputs."""
+    rows = spark.range(50_000).select(
+        (F.col("id") % 4).cast("string").alias("dataset_name"), F.col("id").alias("id_num"),
+        (F.col("id") % 3 == 0).alias("seen"), F.rand(1).alias("score"), F.rand(2).alias("a"),
+    )
+    rows = materialize(rows, "rows")
+    coefficients = classifier.fit_classifiers(rows.limit(500), ["a"])
+    counts = materialize(evaluate.score_counts(rows, ["dataset_name"]), "counts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        assert not _exchanged(classifier.predict(rows, coefficients, ["a"]), ["dataset_name"])
+        assert not _exchanged(paths.paired(rows, rows.limit(100)), ["dataset_name"])
+        series = report.roc_series({"m": counts})._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in series
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_null_safe_join(spark):

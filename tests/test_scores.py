@@ -36,7 +36,7 @@ def items(spark):
 
 @pytest.fixture(scope="module")
 def model(items):
-    return language_model.fit(items)
+    return language_model.lookup(items, language_model.fit(items))
 
 
 def _counts():
@@ -115,24 +115,71 @@ def test_max_length_is_optional(items):
 
 
 def test_last_content_token(spark, items):
-    words = language_model.word_pairs(items)
     found = {
         (r["dataset_name"], r["id_num"]): (r["last_pos"], r["last_token"])
-        for r in scores.last_content_token(words).collect()
+        for r in scores.last_content_token(items).collect()
     }
+    assert ("d", 4) not in found
     assert found["e", 2] == (5, "b")
     assert found["d", 2] == (5, "log")
     special = spark.createDataFrame(
         [("d", 9, "... !!")], "dataset_name STRING, id_num LONG, instruction_text STRING"
     )
-    row = scores.last_content_token(language_model.word_pairs(special)).first()
+    row = scores.last_content_token(special).first()
     assert (row["last_pos"], row["last_token"]) == (1, "!!")
 
 
-def test_budget_loses_no_row(items):
-    kept, rejected = scores.within_budget(items, budget=5)
-    assert kept.count() + rejected.count() == len(TEXTS)
-    assert sorted(r["n_words"] for r in rejected.collect()) == [6, 6, 8, 9]
+def test_texts_that_had_no_part_in_the_model(spark, items):
+    """Unknown words and pairs count with the model's share of an unknown word, and a null
+    dataset is one like any other."""
+    texts = [("d", 9, "the cat flew over purple hills today"), (None, 9, "on the mat on the hill")]
+    other = spark.createDataFrame(texts, "dataset_name STRING, id_num LONG, instruction_text STRING")
+    found = language_model.lookup(other, language_model.fit(items))
+    table = scores.score_table(other, language_model.sample_logprobs(other, found)).collect()
+    states = trajectory.trajectory(language_model.model_cells(other, found))
+    states = trajectory.with_split(states, other.withColumn("split", F.lit("eval"))).collect()
+    assert len(table) == 2 and len(states) == 12
+    for name, _, text in texts:
+        (row,) = [r for r in table if r["dataset_name"] == name]
+        values = _logprobs(text)
+        assert row["num_tokens"] == len(values)
+        assert row["avg_nll"] == pytest.approx(-np.mean(values))
+        assert row["min_k_10"] == pytest.approx(-min(values)) and row["min_k_10"] > 0
+        (first,) = [r for r in states if r["dataset_name"] == name and r["step"] == 1]
+        assert first["loss"] == pytest.approx(-np.mean(values))
+    empty = language_model.fit(items.where("false"))
+    assert language_model.lookup(other, empty).where("base != 1").count() == 0
+
+
+def test_null_datasets_keep_their_rows(spark):
+    rng = random.Random(6)
+    rows = [
+        (name, i, split, 30, rng.gauss(i % 2, 1.0), i % 2 == 0)
+        for name in ("d", None)
+        for split in ("train", "eval")
+        for i in range(40)
+    ]
+    schema = "dataset_name STRING, id_num LONG, split STRING, k INT, score DOUBLE, seen BOOLEAN"
+    found = evaluate.metrics_summary(spark.createDataFrame(rows, schema)).collect()
+    assert {r["dataset_name"] for r in found} == {"d", None}
+    assert all(r["eval_auc"] > 0.5 for r in found)
+    numbers = spark.createDataFrame([(None, True, 1.0), (None, False, 3.0)], "dataset_name STRING, seen BOOLEAN, a DOUBLE")
+    scaled = features.scale(numbers, features.scaler(numbers, ["a"]), ["a"])
+    assert sorted(r["a"] for r in scaled.collect()) == [-1.0, 1.0]
+    predicted = classifier.predict(scaled, classifier.fit_classifiers(scaled, ["a"]), ["a"])
+    assert all(r["predicted"] == r["seen"] for r in predicted.collect())
+
+
+def test_dataset_of_one_class(spark):
+    df = spark.createDataFrame(
+        [("one", True, 1.0), ("one", True, 2.0), ("two", True, 1.0), ("two", False, 2.0)],
+        "dataset_name STRING, seen BOOLEAN, a DOUBLE",
+    )
+    coefficients = classifier.fit_classifiers(df, ["a"])
+    found = {r["dataset_name"]: r["coefficients"] for r in coefficients.collect()}
+    assert found["one"] is None and found["two"][0] < 0
+    rows = classifier.predict(df, coefficients, ["a"]).collect()
+    assert all((r["predicted"] is None) == (r["dataset_name"] == "one") for r in rows)
 
 
 def _evaluate(spark, values, labels):
@@ -166,6 +213,10 @@ def test_auc_and_threshold(spark, seed):
         (b["fpr"] - a["fpr"]) * (a["tpr"] + b["tpr"]) / 2 for a, b in zip(points, points[1:])
     )
     assert area == pytest.approx(auc)
+    # Collinear points by the definition: equal steps before and after.
+    steps = [(sum(v == x and not y for v, y in zip(values, labels)), sum(v == x and y for v, y in zip(values, labels))) for x in sorted(set(values))]
+    kept = [i for i in range(len(steps)) if i in (0, len(steps) - 1) or steps[i] != steps[i + 1]]
+    assert evaluate.roc_points(counts, evaluate.BY_K, drop_intermediate=True).count() == len(kept) + 1
     mirrored, *_ = _evaluate(spark, [-v for v in values], labels)
     assert mirrored == pytest.approx(1 - auc)
 
@@ -236,8 +287,8 @@ def test_classifier_gradient_is_zero(spark):
     w, b = np.array(row["coefficients"]), row["intercept"]
     weight = np.where(y, len(y) / (2 * y.sum()), len(y) / (2 * (~y).sum()))
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    assert np.abs(w + x.T @ (weight * (p - y))).max() < 1e-3
-    assert abs((weight * (p - y)).sum()) < 1e-3
+    assert np.abs(w + x.T @ (weight * (p - y))).max() < 1e-6
+    assert abs((weight * (p - y)).sum()) < 1e-6
     predicted = classifier.predict(df, coefficients, names).collect()
     assert sum(r["predicted"] == r["seen"] for r in predicted) > 90
     top = classifier.top_coefficients(coefficients, names, 2).orderBy("rank").collect()
@@ -248,10 +299,12 @@ def test_classifier_gradient_is_zero(spark):
 @pytest.mark.parametrize("partitions", [1, 16])
 def test_partition_count_does_not_matter(spark, items, partitions):
     def run():
-        table = scores.score_table(
-            items, language_model.sample_logprobs(items, language_model.fit(items))
+        found = language_model.lookup(items, language_model.fit(items))
+        table = scores.score_table(items, language_model.sample_logprobs(items, found))
+        return sorted(
+            tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r)
+            for r in table.drop("perplexity").collect()
         )
-        return sorted(map(str, table.drop("perplexity").collect()))
 
     wanted = run()
     before = spark.conf.get("spark.sql.shuffle.partitions")
