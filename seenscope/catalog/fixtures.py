@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from seenscope.functions.prompts import FIXED_LABELS
 from seenscope.operators.sampling import label_seen, split_half
 from seenscope.plans.carry import last_before
-from seenscope.plans.joins import null_safe_join
-from seenscope.plans.materialize import materialize
 from seenscope.sources.items import (
     fixed_choice_source,
     labeled_choice_source,
@@ -126,10 +124,10 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with label and split. Labels are made and written once, without texts."""
-    items = documents(spark, sf_dir)
-    labels = split_half(label_seen(items.select("dataset_name", "id_num")))
-    return null_safe_join(items, materialize(labels, "labels"), ["dataset_name", "id_num"], "inner")
+    """Documents with label and split. Both come from comparing a row's hash with cut-offs
+    that are written once, so reading the items again costs a scan and no shuffle of texts,
+    which a join with written labels would."""
+    return split_half(labelled_documents(spark, sf_dir))
 
 
 def stored_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
