@@ -106,12 +106,13 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
         edges.select(F.lit("distrust"), "b", "a", "n")
     )
     out = flows.groupBy("kind", "host").agg(F.sum("n").alias("out"))
-    flows = materialize(flows.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("share")), "flows")
+    share = (F.col("n") / F.col("out")).alias("share")
+    flows = flows.join(out, ["kind", "host"]).select("kind", "host", "to", share)
     total = lambda c: seeds.agg(F.sum(c)).scalar()
     start = seeds.select(F.lit("trust").alias("kind"), "host", F.try_divide(F.col("allowed").cast("double"), total("allowed")).alias("seed")).union(
         seeds.select(F.lit("distrust"), "host", F.try_divide(F.col("blocked").cast("double"), total("blocked")))
     )
-    start = materialize(start.where("seed > 0"), "seeds")
+    start = start.where("seed > 0")
     ranks = start.select("kind", "host", F.col("seed").alias("rank"))
     for i in range(rounds):
         moved = ranks.join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
@@ -136,16 +137,16 @@ def judge(
     parsed = pages.select(
         F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     )
-    hosts = materialize(parsed.select("host").distinct(), "hosts")
-    fitting = materialize(hosts.join(_fitting(hosts, rules), "host", "left"), "host-rules")
+    hosts = parsed.select("host").distinct()
+    fitting = hosts.join(_fitting(hosts, rules), "host", "left")
     chosen = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(0))
     ruled = parsed.join(fitting, "host").withColumn("chosen", chosen)
     votes = lambda v, name: F.count_if(F.col("chosen.verdict") == v).alias(name)
     seeds = ruled.where("host != ''").groupBy("host").agg(votes("allow", "allowed"), votes("block", "blocked"))
-    seeds = materialize(seeds, "host-votes")
-    edges = _with_parents(materialize(links(pages, url, html), "host-links"), hosts.where("host != ''"))
-    scores = spread(materialize(edges, "edges"), seeds)
-    judged = materialize(fitting.join(scores, "host", "left").select("host", "rules", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]), "judged-hosts")
+    edges = _with_parents(links(pages, url, html), hosts.where("host != ''"))
+    scores = spread(materialize(edges, "edges"), materialize(seeds, "host-votes"))
+    scored = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]
+    judged = fitting.join(scores, "host", "left").select("host", "rules", *scored)
     method = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
     return (
         parsed.join(judged, "host")
