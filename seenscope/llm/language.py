@@ -237,10 +237,9 @@ def train(
 
     share = int(min(1.0, sample / total) * (1 << 32))
     chosen = rows.where(F.pmod("order", F.lit(1 << 32)) < share)
-    sampled = materialize(
-        chosen.mapInArrow(sparse, "order LONG, lang STRING, buckets ARRAY<INT>, values ARRAY<FLOAT>"),
-        "language-sample",
-    )
+    found = chosen.mapInArrow(sparse, "order LONG, lang STRING, buckets ARRAY<INT>, values ARRAY<FLOAT>")
+    # The sample is bounded, so a fixed number of files holds it.
+    sampled = materialize(found.repartition(SHARDS), "language-sample")
     part = F.pmod(F.shiftright("order", 32), F.lit(CALIBRATION * SHARDS))
     sampled = sampled.withColumn("part", part.cast("int"))
     number = {x: i for i, x in enumerate(languages)}
