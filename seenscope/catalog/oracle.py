@@ -19,6 +19,7 @@ from seenscope.catalog.queries import (
 from seenscope.functions import prompts
 from seenscope.functions.chat import ANSWER_PREFIX
 from seenscope.operators.checks import VALID_LEVELS
+from seenscope.operators.classifier import TOP_FEATURES
 from seenscope.operators.features import feature_names
 from seenscope.operators.sampling import CONTAM_ROWS, SAMPLE_ROWS
 from seenscope.operators.scores import K_RATIOS, MAX_LENGTH
@@ -85,6 +86,8 @@ def _labelled(source: str) -> str:
     )
 
 
+# Enough for the last digits at the sizes that are compared.
+DESCENT_TURNS = 2500
 STEPS = range(NUM_STEPS + 1)
 P = {
     s: f"((c_pair + base + {s}e0 * n) / (c_prev + 1e0 + {s}e0 * n_prev))" for s in STEPS
@@ -308,6 +311,55 @@ WITH = {
         for f in FEATURES
     )
     + " FROM features WHERE split = 'train' GROUP BY dataset_name",
+    # --- classifiers: accelerated gradient steps on the same strictly convex objective
+    "scaled": "SELECT dataset_name, split, id_num, seen, ["
+    + ", ".join(f"({f} - m_{f}) / d_{f}" for f in FEATURES)
+    + ", 1e0] AS x FROM features JOIN scaler USING (dataset_name)",
+    "class_sizes": "SELECT dataset_name, count(*)::DOUBLE AS n, count(*) FILTER (WHERE seen)::DOUBLE AS n_seen "
+    "FROM scaled WHERE split = 'train' GROUP BY dataset_name",
+    "weighted": "SELECT dataset_name, x, CASE WHEN seen THEN 1e0 ELSE 0e0 END AS y, "
+    "n / (2 * CASE WHEN seen THEN n_seen ELSE n - n_seen END) AS weight "
+    "FROM scaled JOIN class_sizes USING (dataset_name) WHERE split = 'train'",
+    "bounds": "SELECT dataset_name, 1 + sum(weight * list_dot_product(x, x)) / 4 AS steepest "
+    "FROM weighted GROUP BY dataset_name",
+    "descent": f"SELECT dataset_name, 0 AS turn, list_transform(range({len(FEATURES) + 1}), lambda i: 0e0) AS w, "
+    f"list_transform(range({len(FEATURES) + 1}), lambda i: 0e0) AS v FROM bounds UNION ALL "
+    "SELECT dataset_name, turn + 1, next_w, list_transform(list_zip(next_w, w), "
+    "lambda p: p[1] + (sqrt(steepest) - 1) / (sqrt(steepest) + 1) * (p[1] - p[2])) FROM "
+    "(SELECT dataset_name, turn, w, steepest, ["
+    + ", ".join(
+        f"v[{i}] - (sum(rest * x[{i}]) + {'v[%d]' % i if i <= len(FEATURES) else '0'}) / steepest"
+        for i in range(1, len(FEATURES) + 2)
+    )
+    + "] AS next_w FROM (SELECT d.dataset_name, turn, w, v, steepest, x, "
+    "weight * (1 / (1 + exp(-list_dot_product(x, v))) - y) AS rest FROM descent d "
+    "JOIN weighted USING (dataset_name) JOIN bounds USING (dataset_name) "
+    f"WHERE turn < {DESCENT_TURNS}) GROUP BY dataset_name, turn, w, v, steepest)",
+    "coefficients": f"SELECT dataset_name, w FROM descent WHERE turn = {DESCENT_TURNS}",
+    "ranked": f"SELECT dataset_name, unnest({_texts(FEATURES)}) AS feature, unnest(w[1:{len(FEATURES)}]) AS coefficient "
+    "FROM coefficients",
+    "classified": "SELECT dataset_name, seen, list_dot_product(x, w) > 0 AS predicted, "
+    "-(1 / (1 + exp(-list_dot_product(x, w)))) AS score "
+    "FROM scaled JOIN coefficients USING (dataset_name) WHERE split = 'eval'",
+    "trace_counts": "SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg, "
+    "sum(pos) OVER g AS total_pos, sum(neg) OVER g AS total_neg FROM (SELECT dataset_name, score, "
+    "count(*) FILTER (WHERE seen) AS pos, count(*) FILTER (WHERE NOT seen) AS neg "
+    "FROM classified GROUP BY ALL) "
+    "WINDOW g AS (PARTITION BY dataset_name), w AS (PARTITION BY dataset_name ORDER BY score)",
+    "trace_results": "SELECT dataset_name, auc, accuracy FROM (SELECT dataset_name, "
+    "CASE WHEN max(total_pos) * max(total_neg) = 0 THEN 0.5e0 ELSE "
+    "sum(pos * (total_neg - cum_neg + neg / 2e0)) / (max(total_pos) * max(total_neg))::DOUBLE END AS auc "
+    "FROM trace_counts GROUP BY ALL) JOIN (SELECT dataset_name, "
+    "avg(CASE WHEN predicted = seen THEN 1e0 ELSE 0e0 END) AS accuracy FROM classified GROUP BY ALL) "
+    "USING (dataset_name)",
+    "series": "SELECT 'trace' AS method, dataset_name, cum_neg / total_neg::DOUBLE AS fpr, "
+    "cum_pos / total_pos::DOUBLE AS tpr FROM trace_counts UNION ALL "
+    "SELECT 'min_k', dataset_name, cum_neg / total_neg::DOUBLE, cum_pos / total_pos::DOUBLE "
+    "FROM eval_counts WHERE k = 30 UNION ALL "
+    "SELECT DISTINCT 'trace', dataset_name, 0e0, 0e0 FROM trace_counts UNION ALL "
+    "SELECT DISTINCT 'min_k', dataset_name, 0e0, 0e0 FROM eval_counts",
+    "areas": "SELECT 'trace' AS method, dataset_name, auc FROM trace_results UNION ALL "
+    "SELECT 'min_k', dataset_name, eval_auc FROM eval_auc WHERE k = 30",
     # --- embeddings as stored trajectories
     "vectors": "SELECT vec_id // 6 AS id_num, vec_id % 6 AS step, embedding::DOUBLE[] AS v FROM embeddings",
     "whole_vectors": "SELECT * FROM vectors WHERE id_num IN "
@@ -327,15 +379,18 @@ def _twin(final: str) -> str:
 
     def add(sql: str) -> None:
         for name in WINDOWLESS.findall(sql):
-            if name in WITH and name not in needed and name in _reads(sql):
+            if name in WITH and name not in needed and name in _reads(sql) and sql != WITH[name]:
                 add(WITH[name])
                 needed.append(name)
 
     add(final)
     if not needed:
         return final
-    steps = ",\n".join(f"{name} AS MATERIALIZED ({WITH[name]})" for name in needed)
-    return f"WITH {steps}\n{final}"
+    steps = ",\n".join(
+        f"{name} AS {'' if name in _reads(WITH[name]) else 'MATERIALIZED '}({WITH[name]})"
+        for name in needed
+    )
+    return f"WITH RECURSIVE {steps}\n{final}"
 
 
 def _reads(sql: str) -> set[str]:
@@ -518,6 +573,18 @@ FINAL = {
     "scaled_features": "SELECT dataset_name, split, id_num, seen, "
     + ", ".join(f"round(({f} - m_{f}) / d_{f} + 1e-10, 6) AS {f}" for f in FEATURES)
     + " FROM features JOIN scaler USING (dataset_name)",
+    "trace_coefficients": "SELECT dataset_name, feature, round(round(coefficient, 3) + 1e-10, 6) AS coefficient FROM ranked",
+    "top_coefficients": "SELECT dataset_name, place::INTEGER AS rank, feature, "
+    "round(round(coefficient, 3) + 1e-10, 6) AS coefficient, "
+    "CASE WHEN coefficient > 0 THEN '+' ELSE '-' END AS sign FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY dataset_name ORDER BY abs(coefficient) DESC, feature) AS place FROM ranked) "
+    f"WHERE place <= {TOP_FEATURES}",
+    "trace_eval": f"SELECT dataset_name, {_round(['auc', 'accuracy'])} FROM trace_results",
+    "roc_series": f"SELECT method, dataset_name, {_round(['fpr', 'tpr', 'auc'])} "
+    "FROM series JOIN areas USING (method, dataset_name)",
+    "summary": f"SELECT 'trace' AS method, dataset_name, {_round(['auc', 'accuracy'])} FROM trace_results "
+    "UNION ALL SELECT 'min_k', dataset_name, round(eval_auc + 1e-10, 6), round(eval_accuracy + 1e-10, 6) "
+    "FROM metrics WHERE k = 30",
     "bar_series": " UNION ALL ".join(
         f"SELECT upper(dataset_name) AS dataset, '{m}' AS method, '{x}' AS measure, "
         f"round(coalesce({m}_{x}, 0e0) + 1e-10, 6) AS value FROM compared"

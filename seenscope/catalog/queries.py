@@ -37,6 +37,8 @@ from seenscope.sources import paths, schemas, trajectories
 
 OFF_MIDPOINT = 1e-10
 DIGITS = 9
+# Coefficients come from iterations, so their last digits depend on where these stop.
+COEFFICIENT_DIGITS = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -699,7 +701,8 @@ def scaled_features(spark, sf_dir):
 @query
 def trace_coefficients(spark, sf_dir):
     coefficients, _ = _classified(*_model(spark, sf_dir))
-    return classifier.feature_coefficients(coefficients, features.feature_names())
+    found = classifier.feature_coefficients(coefficients, features.feature_names())
+    return found.withColumn("coefficient", F.round("coefficient", COEFFICIENT_DIGITS))
 
 
 @query
@@ -711,7 +714,8 @@ def trace_eval(spark, sf_dir):
 @query
 def top_coefficients(spark, sf_dir):
     coefficients, _ = _classified(*_model(spark, sf_dir))
-    return classifier.top_coefficients(coefficients, features.feature_names())
+    found = classifier.top_coefficients(coefficients, features.feature_names())
+    return found.withColumn("coefficient", F.round("coefficient", COEFFICIENT_DIGITS))
 
 
 # --- report tables ----------------------------------------------------------------------
