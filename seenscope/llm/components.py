@@ -21,11 +21,16 @@ def components(links: DataFrame) -> DataFrame:
     with a null end are ignored."""
     both = links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     both = materialize(both.union(both.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    smallest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    labels = materialize(smallest.select("node", F.least("node", "near").alias("label")), "labels")
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("theirs"))
-        nearest = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
-        lower = labels.join(nearest, "node").select("node", "label", F.least("label", "near").alias("low"))
+        nearest = (
+            both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
+        )
+        lower = labels.join(nearest, "node").select(
+            "node", "label", F.least("label", "near").alias("low")
+        )
         # The label of a label is a node too, so labels jump along chains.
         hop = labels.select(F.col("node").alias("low"), F.col("label").alias("hop"))
         new = materialize(

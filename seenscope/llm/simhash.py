@@ -15,6 +15,7 @@ bucket that holds many near copies gives one row per query and list, not one per
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import combinations
 
@@ -117,8 +118,6 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     that repeat an id follow each other by a hash of their text, and rows without an id come
     first. A single document follows itself. An empty table gives an empty result.
     """
-    import hashlib
-
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
