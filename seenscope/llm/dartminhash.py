@@ -13,8 +13,8 @@ is linked if the exact weighted similarity of its shingles reaches the limit. Cl
 connected components of the links.
 
 Hot buckets: no pairs are formed inside a bucket at first. Each document is compared with
-one pivot only, the smallest document of its buckets, then with further pivots in buckets
-that still hold several classes; only where pivots leave a bucket divided are the members
+one pivot only, the document that meets most others in all their buckets, then with further
+pivots in buckets that still hold several classes; only where pivots leave a bucket divided are the members
 outside its largest class compared with the rest, as a join whose condition estimates the
 similarity from the signatures before any text is fetched. Pairs already in one class need no
 comparison, so no link between different texts is lost.
@@ -41,7 +41,7 @@ BANDS = 40
 ROWS = 8
 ESTIMATED = 128  # coordinates kept, one byte of each, to estimate a similarity
 # Which member of a bucket's largest class the others are compared with; at last, all.
-PICKS = ("last", "first", None)
+PICKS = ("central", "last", None)
 # A pair whose signatures agree on less than this share is not fetched: at the similarity
 # limit it lies six standard deviations below the expected share.
 LEAST_ESTIMATE = 0.59
@@ -232,15 +232,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _open_pairs(buckets: DataFrame, labels: DataFrame, candidates: DataFrame, pick: str | None) -> DataFrame:
     """Pairs ``(a, b)`` of different classes that share a bucket: members outside the bucket's
-    largest class with a pivot of that class (its first or last document), or with all."""
+    largest class with a pivot of that class (its central or last document), or with all."""
     labelled = materialize(
         buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "bucket", "id", F.coalesce("label", "id").alias("label")
+            "bucket", "id", "degree", F.coalesce("label", "id").alias("label")
         ),
         "labelled",
     )
     classes = labelled.groupBy("bucket", "label").agg(
-        F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")
+        F.count("*").alias("n"),
+        F.max("id").alias("last"),
+        F.max_by("id", F.struct("degree", -F.col("id"))).alias("central"),
     )
     size = F.struct("n", "label")
     divided = materialize(
@@ -248,7 +250,7 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, candidates: DataFrame, pi
         .agg(
             F.count("*").alias("classes"),
             F.max_by("label", size).alias("largest"),
-            F.max_by(pick or "first", size).alias("pivot"),
+            F.max_by(pick or "last", size).alias("pivot"),
         )
         .where("classes > 1"),
         "divided",
@@ -322,8 +324,16 @@ def near_duplicates(
     reps = signed.join(copies.select("same", F.col("rep").alias("id")), ["same", "id"], "left_semi")
     reps = materialize(reps.dropDuplicates(["id"]).select("id", "signature", "bands"), "reps")
     placed = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(placed.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(placed.join(shared, "bucket"), "buckets")
+    # How many others a document meets in all its buckets: of copies edited each in another
+    # way, the original meets most.
+    degrees = materialize(met.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
+    met = met.select("bucket", "id").join(degrees, "id")
+    central = met.groupBy("bucket").agg(
+        F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"), F.max("degree").alias("reach")
+    )
+    buckets = materialize(met.join(central, "bucket"), "met")
     candidates = materialize(
         reps.join(buckets, "id", "left_semi").select("id", "signature"), "candidates"
     )
@@ -334,7 +344,11 @@ def near_duplicates(
         .dropDuplicates(["id"]),
         "candidate-texts",
     )
-    first = buckets.groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).where("a < b")
+    best = buckets.groupBy("id").agg(F.max_by("pivot", F.struct("reach", -F.col("pivot"))).alias("pivot"))
+    first = best.where("id != pivot").select(
+        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
+    )
+    first = materialize(first.distinct(), "first-pairs")
     links = materialize(_verified(first, texts, least), "links")
     tried = first
     labels, labelled = components(links), links
