@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seenscope.llm.words import reachable, text_bytes
+from seenscope.llm.words import pieces, reachable, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 16384
@@ -262,8 +262,12 @@ def added_spans(texts: list[str], bases: list[list[Span]], field: Field) -> list
 def _active(texts: pa.Array) -> np.ndarray:
     """Rows whose text has a digit or an ``@``; the others have no spans."""
     data, offsets = text_bytes(texts)
-    upto = np.concatenate([[0], np.cumsum(_ACTIVE[data])])
-    return np.flatnonzero(np.diff(upto[offsets]))
+    found = [np.zeros(0, np.int64)]
+    for first, last in pieces(offsets):
+        at = offsets[first : last + 1]
+        upto = np.concatenate([[0], np.cumsum(_ACTIVE[data[at[0] : at[-1]]])])
+        found.append(first + np.flatnonzero(np.diff(upto[at - at[0]])))
+    return np.concatenate(found)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
