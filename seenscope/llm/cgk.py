@@ -7,6 +7,11 @@ places of the output are sampled, and equal samples make a candidate; this is re
 fresh walks and samples until the target recall is reached. Candidates whose whole embeddings
 differ too much are given up.
 
+At the edit limit windows of words agree too rarely for any number of repetitions to be sure,
+so the same documents are also searched by pieces: ``most`` edits leave all but ``most`` of an
+item's disjoint pieces as they were, on diagonals at most ``most`` code points apart. Where
+that many pieces of an item meet, it is a candidate, too; so no item within the limit is missed.
+
 Windows are as long as the shortest item less the stride. Documents are read at every
 ``stride``-th word only; items are read at every word, so whatever an item's place in a
 document is, windows that start at the same word of the item meet. Candidates are verified
@@ -36,11 +41,14 @@ EDITS = 0.1
 SHORT = 8
 STRIDE = 4
 SAMPLES = 4  # places compared by one repetition
-AGREE = 0.8  # share of equal places assumed of a window within the edit limit
-RECALL = 0.98
+AGREE = 0.8  # share of equal places assumed of a window; less near the edit limit
+RECALL = 0.98  # of the walks alone at that share
 DIFFER = 0.5  # candidates whose embeddings differ in more than this share are not verified
 BLOCK_BYTES = 8 << 20
+PIECE_BYTES = 8  # at most
+HITS = 1 << 20  # places of pieces taken together
 _FILTER_BITS = 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def repetitions(recall: float = RECALL, agree: float = AGREE, samples: int = SAMPLES) -> int:
@@ -128,12 +136,94 @@ def within(item: str, text: str, most: int) -> int | None:
 
 
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+_LOWER_BYTES = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
 def fold(text: str) -> str:
     return text.translate(_ASCII_LOWER)
 
 
+def gram_keys(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes (8 at most) from each place on, as one number."""
+    n = max(len(data) - size + 1, 0)
+    key = np.zeros(n, np.uint64)
+    for i in range(size):
+        key = (key << np.uint64(8)) | data[i : i + n]
+    return key
+
+
+def slots(key: np.ndarray) -> np.ndarray:
+    return ((key * _SPREAD) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+
+def piece_size(n: int, most: int) -> int:
+    """Code points per piece of an item of ``n``, so that two pieces at least outlast ``most``
+    edits, or one if two cannot; 0 if all can be changed."""
+    for left in (2, 1):
+        for size in range(PIECE_BYTES, 0, -1):
+            if n // size - most >= left:
+                return size
+    return 0
+
+
+class Pieces:
+    """Disjoint pieces of one size of some items: from each, its first ``size`` bytes."""
+
+    def __init__(self, size: int, texts: dict[int, str], most: list[int]) -> None:
+        self.size, self.reach = size, 0
+        keys, item, point, byte = [], [], [], []
+        needed = np.zeros(len(most), np.int64)
+        for i, text in texts.items():
+            needed[i] = len(text) // size - most[i]
+            at = 0
+            for j in range(len(text) // size):
+                raw = text[j * size : (j + 1) * size].encode()
+                keys.append(int.from_bytes(raw[:size], "big"))
+                item.append(i)
+                point.append(j * size)
+                byte.append(at)
+                at += len(raw)
+            self.reach = max(self.reach, len(text.encode()) + 4 * most[i])
+        order = np.argsort(np.array(keys, np.uint64), kind="stable")
+        self.keys = np.array(keys, np.uint64)[order]
+        self.item, self.point, self.byte = (np.array(x, np.int64)[order] for x in (item, point, byte))
+        self.needed, self.most = needed, np.array(most, np.int64)
+        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
+        self.maybe[slots(self.keys)] = True
+
+    def places(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(documents, items, first bytes)`` where enough pieces of an item meet."""
+        key = gram_keys(data, self.size)
+        hits = np.flatnonzero(self.maybe[slots(key)])
+        low = np.searchsorted(self.keys, key[hits], "left")
+        n = np.searchsorted(self.keys, key[hits], "right") - low
+        hits, low, n = hits[n > 0], low[n > 0], n[n > 0]
+        if not len(hits):
+            return
+        # Code points before each hit, from the first one on.
+        steps = np.add.reduceat((data & 0xC0) != 0x80, hits, dtype=np.int64)
+        before = np.cumsum(steps) - steps
+        total = np.cumsum(n)
+        first = 0
+        while first < len(hits):
+            last = int(np.searchsorted(total, total[first] - n[first] + HITS, "right"))
+            last = max(last, first + 1)
+            end = int(np.searchsorted(hits, hits[last - 1] + self.reach, "right"))  # matches that begin before
+            part, many = slice(first, end), n[first:end]
+            of = np.repeat(low[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at, item = np.repeat(hits[part], many), self.item[of]
+            diagonal = np.repeat(before[part], many) - self.point[of]
+            doc = np.searchsorted(offsets, at, "right") - 1
+            order = np.lexsort((diagonal, doc, item))
+            item, doc, diagonal, start = item[order], doc[order], diagonal[order], (at - self.byte[of])[order]
+            later = np.arange(len(item)) + self.needed[item] - 1
+            there = np.minimum(later, len(item) - 1)
+            meet = (later < len(item)) & (item[there] == item) & (doc[there] == doc)
+            meet &= diagonal[there] - diagonal <= self.most[item]
+            yield doc[meet], item[meet], start[meet]
+            first = last
+
+
 class Items:
     """A block of benchmark items with the keys of their windows."""
 
@@ -144,6 +234,7 @@ class Items:
         found = list(split_words(pa.array(texts, pa.string()), 1 << 62))
         self.words = found[0] if found else None
         self.stride, self.length, self.keys, self.phrases, self.short = stride, 0, [], {}, set()
+        self.pieces: list[Pieces] = []
         if self.words is None:
             return
         counts, hashes = self.words.counts, self.words.hashes()
@@ -156,6 +247,10 @@ class Items:
             sizes.setdefault(int(key[0]), []).append(int(i))
         if not len(long):
             return
+        by_size: dict[int, dict[int, str]] = {}
+        for i in long.tolist():
+            by_size.setdefault(piece_size(len(self.texts[i]), self.most[i]), {})[i] = self.texts[i]
+        self.pieces = [Pieces(size, texts, self.most) for size, texts in sorted(by_size.items()) if size]
         self.length = int(counts[long].min()) - stride + 1
         starts = np.concatenate([np.arange(begin[i], begin[i] + counts[i] - self.length + 1) for i in long])
         for seed in range(1, repetitions() + 1):
@@ -195,12 +290,20 @@ class Items:
             # Bytes of the item before the window, and where the item would begin.
             before = self.words.starts[of_item] - self.words.offsets[item]
             first = words.starts[window] - before
-            for d, i, f in zip(words.doc[window].tolist(), item.tolist(), first.tolist(), strict=True):
-                slack = 4 * self.most[i] + 4
-                if (d, i, f // (slack + 1)) not in seen:
-                    seen.add((d, i, f // (slack + 1)))
-                    size = int(self.words.offsets[i + 1] - self.words.offsets[i])
-                    yield d, i, f - 2 * slack - 1, f + size + 2 * slack + 1
+            yield from self._new(words.doc[window], item, first, seen)
+        data = _LOWER_BYTES[words.data]
+        for pieces in self.pieces:
+            for doc, item, first in pieces.places(data, words.offsets):
+                yield from self._new(doc, item, first, seen)
+
+    def _new(self, doc: np.ndarray, item: np.ndarray, first: np.ndarray, seen: set) -> Iterator[tuple[int, int, int, int]]:
+        """Candidates that begin at ``first`` or nearby, unless ``seen``."""
+        for d, i, f in zip(doc.tolist(), item.tolist(), first.tolist(), strict=True):
+            slack = 4 * self.most[i] + 4
+            if (d, i, f // (slack + 1)) not in seen:
+                seen.add((d, i, f // (slack + 1)))
+                size = int(self.words.offsets[i + 1] - self.words.offsets[i])
+                yield d, i, f - 2 * slack - 1, f + size + 2 * slack + 1
 
     def matches(self, words: Words) -> list[dict[int, int]]:
         """For each document the verified items with their edit distances."""

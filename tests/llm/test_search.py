@@ -265,3 +265,23 @@ def test_edited_items_are_found():
         recall[rate] = sum(i in m for i, m in enumerate(found)) / len(items)
         assert all(set(m) <= {i} for i, m in enumerate(found))
     assert recall[0.0] == 1.0 and recall[0.02] >= 0.97 and recall[0.05] >= 0.85
+
+
+@pytest.mark.parametrize("kind", ["spread", "random", "shifted"])
+def test_items_at_the_edit_limit_are_found(kind):
+    rng = random.Random(11)
+    items = [text(rng, n) for n in (8, 9, 10, 12, 15, 18, 20, 40) for _ in range(10)]
+    items += [text(rng, 10, ["internationalisation", "straßenbahnhaltestelle", "日本語日本語日本語日本"]) for _ in range(20)]
+    index = cgk.Items(list(range(len(items))), items)
+    docs = []
+    for item in items:
+        letters, most = list(item), int(cgk.EDITS * len(item))
+        places = [(2 * j + 1) * len(item) // (2 * most) for j in range(most)] if kind == "spread" else rng.sample(range(len(item)), most)
+        for j in sorted(places, reverse=True):
+            letters[j : j + (kind != "shifted" or rng.random() < 0.5)] = [] if kind == "shifted" and rng.random() < 0.5 else ["ž"]
+        docs.append(text(rng, 30) + " " + "".join(letters) + " " + text(rng, 30))
+    found = [m for words in split_words(pa.array(docs)) for m in index.matches(words)]
+    for i, m in enumerate(found):
+        distance = cgk.within(cgk.fold(items[i]), cgk.fold(docs[i]), int(cgk.EDITS * len(items[i])))
+        assert (distance is not None) == (i in m) and m.get(i, distance) >= (distance or 0)
+    assert all(i in m for i, m in enumerate(found))
