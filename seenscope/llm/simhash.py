@@ -6,18 +6,21 @@ bits, those with a positive sum, written as 32 hexadecimal digits; likeness is t
 equal bits. A text without words has the fingerprint 0; a null text counts as an empty one.
 
 To find all fingerprints within ``RADIUS`` bits of some queries, the bits are cut into
-``BLOCKS`` blocks. Two fingerprints that differ in at most ``RADIUS`` bits agree on at least
-``BLOCKS - RADIUS`` whole blocks, so there is one table for each choice of that many blocks,
-keyed by their bits. Equal fingerprints are one entry with a count. The entries of a bucket
-come as lists of about ``LIST`` entries, and a query counts its matches inside a list, so a
-bucket that holds many near copies gives one row per query and list, not one per pair.
+``RADIUS // 2 + 1`` blocks. Two fingerprints that differ in at most ``RADIUS`` bits differ in
+at most one bit of some block, so there is one table for each block, keyed by its bits, and a
+query asks each table for its own block and for those with one bit changed. Equal fingerprints
+are one entry with a count. The entries of a bucket come as lists of about ``LIST`` entries,
+and a query has its matches inside a list, so a bucket that holds many near copies gives one
+row per query and list, not one per pair.
+
+``RADIUS`` is measured: of documents of sf0.1 (60 to 3000 words) in which 2 % of the words were
+replaced, those at a five-word similarity of 0.80 to 0.84 lie within 4 bits in 15 % of the
+cases, within 9 in 80 %, within 11 in 92 % and within 13 in 98 %.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,7 @@ from seenscope.llm.words import mix, reachable, split_words
 from seenscope.plans.materialize import materialize
 
 BITS = 128
-RADIUS = 4
-BLOCKS = 6
+RADIUS = 13
 LIST = 512
 QUERY_EVERY = 20
 BUCKETS_PER_PARTITION = 16
@@ -156,9 +158,9 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return _in_order(docs, key, text).mapInArrow(run, SCHEMA)
 
 
-def _blocks() -> list[int]:
+def _blocks(n: int) -> list[int]:
     """Masks of the blocks, as 128-bit numbers."""
-    at = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
+    at = [BITS * i // n for i in range(n + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(at, at[1:], strict=False)]
 
 
@@ -166,10 +168,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _tables(radius: int) -> list[tuple[int, int]]:
-    """Masks (high and low 64 bits) of every table, in the order of the tables."""
-    chosen = [sum(c) for c in combinations(_blocks(), BLOCKS - radius)]
-    return [(_signed(m >> 64), _signed(m & (1 << 64) - 1)) for m in chosen]
+def _halves(x: int) -> tuple[int, int]:
+    return _signed(x >> 64), _signed(x & (1 << 64) - 1)
 
 
 def _half(column: str, i: int) -> Column:
@@ -180,30 +180,53 @@ def _half(column: str, i: int) -> Column:
     return F.shiftleft(top, 32).bitwiseOR(low)
 
 
-def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(fingerprint, n_near)``: for each fingerprint of ``queries`` the rows of ``prints``
-    within ``radius`` bits, itself included if it is one of them. Null fingerprints match
-    nothing. Exact: every table is searched, and a match counts in its first table only."""
-    assert 0 <= radius < BLOCKS and math.comb(BLOCKS, radius) <= 64
-    tables = _tables(radius)
-
-    def placed(df: DataFrame) -> DataFrame:
-        keys = [
-            F.xxhash64(F.lit(t), F.col("high").bitwiseAND(F.lit(a)), F.col("low").bitwiseAND(F.lit(b)))
-            for t, (a, b) in enumerate(tables)
-        ]
-        return df.select("*", F.posexplode(F.array(*keys)).alias("table", "bucket"))
+def _digits(high: Column, low: Column) -> Column:
+    return F.lower(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")))
+
+
+def near_lists(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fingerprint, near)``: the fingerprints of ``prints`` within ``radius`` bits of each
+    fingerprint of ``queries``, as arrays of ``(fingerprint, distance, n)`` with the number of
+    rows that have it.
+
+    A query has any number of rows; a match is in one of them only. A query finds itself if it
+    is one of ``prints``; null fingerprints match nothing. Exact: every table is searched, and
+    a match counts in its first table only.
+    """
+    blocks = _blocks(radius // 2 + 1)
+    tables = [_halves(m) for m in blocks]
+    probes = [
+        (t, *tables[t], *_halves(flip))
+        for t, m in enumerate(blocks)
+        for flip in (0, *(1 << i for i in range(BITS) if radius and m >> i & 1))
+    ]
 
     def halves(df: DataFrame) -> DataFrame:
         return df.where("fingerprint IS NOT NULL").select(
-            "fingerprint", _half("fingerprint", 0).alias("high"), _half("fingerprint", 1).alias("low")
+            _half("fingerprint", 0).alias("high"), _half("fingerprint", 1).alias("low")
         )
 
-    entries = placed(halves(prints).groupBy("high", "low").agg(F.count("*").alias("n")))
-    asked = halves(queries).distinct()
-    asked = placed(asked)
+    def structs(rows: list[tuple], *names: str) -> Column:
+        return F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names, strict=True)]) for r in rows])
+
+    def bucket(table: Column, high: Column, low: Column) -> Column:
+        return F.xxhash64(table, high, low).alias("bucket")
+
+    of_block = lambda x, m: F.col(x).bitwiseAND(m)
+    keys = [bucket(F.lit(t), of_block("high", F.lit(a)), of_block("low", F.lit(b))) for t, (a, b) in enumerate(tables)]
+    entries = halves(prints).groupBy("high", "low").agg(F.count("*").alias("n"))
+    entries = entries.select("*", F.explode(F.array(*keys)).alias("bucket"))
+    asked = halves(queries).distinct().select("high", "low", F.explode(structs(probes, "table", "a", "b", "c", "d")).alias("probe"))
+    asked = asked.select(
+        "high", "low", "probe",
+        bucket(
+            F.col("probe.table"),
+            of_block("high", F.col("probe.a")).bitwiseXOR(F.col("probe.c")),
+            of_block("low", F.col("probe.b")).bitwiseXOR(F.col("probe.d")),
+        ),
+    )
     wanted = asked.groupBy("bucket").agg(F.count("*").alias("q")).select("bucket")
-    entries = materialize(entries.join(wanted, "bucket", "left_semi").drop("table"), "entries")
+    entries = materialize(entries.join(wanted, "bucket", "left_semi"), "entries")
     large = entries.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {LIST}")
     large = materialize(large, "large-buckets")
     part = F.coalesce(F.pmod(F.xxhash64("high", "low"), F.ceil(F.col("size") / LIST)), F.lit(0))
@@ -212,22 +235,52 @@ def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) ->
         .groupBy("bucket", part.alias("part"))
         .agg(F.collect_list(F.struct("high", "low", "n")).alias("entries"))
     )
-    masks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in tables])
+    masks = structs(tables, "a", "b")
+
+    def bits(e: Column) -> tuple[Column, Column]:
+        return F.col("high").bitwiseXOR(e["high"]), F.col("low").bitwiseXOR(e["low"])
 
     def matches(e: Column) -> Column:
-        x, y = F.col("high").bitwiseXOR(e["high"]), F.col("low").bitwiseXOR(e["low"])
+        x, y = bits(e)
         near = F.bit_count(x) + F.bit_count(y) <= radius
+        here = (x.bitwiseAND(F.col("probe.a")) == F.col("probe.c")) & (y.bitwiseAND(F.col("probe.b")) == F.col("probe.d"))
         earlier = F.exists(
-            F.slice(masks, 1, F.col("table")),
-            lambda m: (x.bitwiseAND(m["a"]) == 0) & (y.bitwiseAND(m["b"]) == 0),
+            F.slice(masks, 1, F.col("probe.table")),
+            lambda m: F.bit_count(x.bitwiseAND(m["a"])) + F.bit_count(y.bitwiseAND(m["b"])) <= min(radius, 1),
         )
-        return near & ~earlier
+        return near & here & ~earlier
+
+    def found(e: Column) -> Column:
+        x, y = bits(e)
+        distance = (F.bit_count(x) + F.bit_count(y)).alias("distance")
+        return F.struct(_digits(e["high"], e["low"]).alias("fingerprint"), distance, e["n"].alias("n"))
 
-    found = F.aggregate(
-        "entries", F.lit(0).cast("long"), lambda s, e: s + F.when(matches(e), e["n"]).otherwise(F.lit(0).cast("long"))
+    near = asked.join(lists, "bucket").select("high", "low", F.filter("entries", matches).alias("near"))
+    return near.where(F.size("near") > 0).select(
+        _digits(F.col("high"), F.col("low")).alias("fingerprint"), F.transform("near", found).alias("near")
     )
-    counted = asked.join(lists, "bucket").select("fingerprint", found.alias("n"))
-    return counted.groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fingerprint, n_near)``: for each fingerprint of ``queries`` the rows of ``prints``
+    within ``radius`` bits, itself included if it is one of them; those without any are left
+    out."""
+    n = F.aggregate("near", F.lit(0).cast("long"), lambda s, e: s + e["n"])
+    return near_lists(prints, queries, radius).groupBy("fingerprint").agg(F.sum(n).alias("n_near"))
+
+
+def near_prints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(query_id, fingerprint, distance)``: which fingerprints of ``prints`` are near those of
+    the rows of ``queries``, its own among them. The documents are those that ``members`` gives
+    for a fingerprint. Both tables are ``(doc_id, fingerprint)``."""
+    found = near_lists(prints, queries, radius)
+    asked = queries.select(F.col("doc_id").alias("query_id"), "fingerprint")
+    return asked.join(found, "fingerprint").select("query_id", F.inline("near").alias("fingerprint", "distance", "n")).drop("n")
+
+
+def members(prints: DataFrame) -> DataFrame:
+    """``(fingerprint, doc_id)`` for all rows with a fingerprint: who is equal."""
+    return prints.where("fingerprint IS NOT NULL").select("fingerprint", "doc_id")
 
 
 def with_near_counts(prints: DataFrame, every: int = QUERY_EVERY) -> DataFrame:

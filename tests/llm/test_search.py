@@ -109,6 +109,35 @@ def test_near_counts_finds_all_within_the_radius(spark, monkeypatch):
         assert found[p] == sum((int(p, 16) ^ int(q, 16)).bit_count() <= simhash.RADIUS for q in prints)
 
 
+def test_near_prints_names_the_edited_copies(spark):
+    rng = random.Random(12)
+    originals = [text(rng, 300) for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(originals)] + [(200, originals[0]), (300, None)]
+    for i, t in enumerate(originals):
+        words = t.split()
+        for j in rng.sample(range(300), 6):  # similarity of about 0.82
+            words[j] = f"changed{rng.randrange(1000)}"
+        docs.append((100 + i, " ".join(words)))
+    prints = simhash.fingerprint_documents(spark.createDataFrame(docs, "doc_id LONG, text STRING")).select("doc_id", "fingerprint")
+    known = {r["doc_id"]: int(r["fingerprint"], 16) for r in prints.collect()}
+    found = simhash.near_prints(prints, prints.where("doc_id < 60"))
+    pairs = [(r["query_id"], int(r["fingerprint"], 16), r["distance"]) for r in found.collect()]
+    wanted = {(q, x, (known[q] ^ x).bit_count()) for q in range(60) for x in known.values() if (known[q] ^ x).bit_count() <= simhash.RADIUS}
+    assert set(pairs) == wanted and len(pairs) == len(wanted)
+    near = {(r["query_id"], r["doc_id"]) for r in found.join(simhash.members(prints), "fingerprint").collect()}
+    assert (0, 200) in near and sum((i, 100 + i) in near for i in range(60)) >= 57
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 5, 20])
+def test_near_counts_of_any_radius(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(128) for _ in range(3)]
+    values = [rng.choice(base) ^ sum(1 << i for i in rng.sample(range(128), rng.randrange(radius + 3))) for _ in range(60)]
+    df = spark.createDataFrame([(f"{x:032x}",) for x in values], "fingerprint STRING")
+    found = {int(r["fingerprint"], 16): r["n_near"] for r in simhash.near_counts(df, df, radius).collect()}
+    assert found == {x: sum((x ^ y).bit_count() <= radius for y in values) for x in values}
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)]
