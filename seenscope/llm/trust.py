@@ -23,7 +23,7 @@ from seenscope.plans.materialize import materialize
 DAMPING = 0.85
 ROUNDS = 10
 WRITE_EVERY = 5  # rounds between two written tables of ranks
-# Scores below this are taken as none.
+# The SQL twin drops scores below this; the operator keeps all, as seeds shrink with the table.
 LEAST = 1e-12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -118,7 +118,6 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
         moved = ranks.join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         back = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
         ranks = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        ranks = ranks.where(F.col("rank") >= LEAST)
         if (i + 1) % WRITE_EVERY == 0:
             ranks = materialize(ranks, "ranks")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)

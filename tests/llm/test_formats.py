@@ -110,6 +110,16 @@ def test_trust_spreads_as_page_rank(spark):
             assert r["verdict"] == ("block" if r["distrust"] > r["trust"] else "allow")
 
 
+def test_small_seeds_spread_in_large_tables(spark):
+    edges = spark.createDataFrame([("linker.com", "bad.net", 1), ("other.org", "large.net", 1)], "a STRING, b STRING, n LONG")
+    for large in (10, 10**14):  # blocked URLs of the rest of the table
+        seeds = spark.createDataFrame([("bad.net", 0, 1), ("large.net", 0, large), ("good.com", 5, 0)], "host STRING, allowed LONG, blocked LONG")
+        found = {r["host"]: r for r in trust.spread(edges, seeds).collect()}
+        wanted = trust.DAMPING * (1 - trust.DAMPING) / (large + 1)
+        assert found["linker.com"]["distrust"] == pytest.approx(wanted, rel=1e-6, abs=0)
+        assert found["linker.com"]["trust"] == 0
+
+
 # --- revisits ---------------------------------------------------------------------------
 
 RECORDS = "record_id LONG, kind STRING, uri STRING, date LONG, headers MAP<STRING, STRING>, payload STRING, part INT"
