@@ -176,3 +176,57 @@ def revisits() -> str:
       CASE WHEN outcome = 'resolved' THEN sha256(seen.html) END AS payload_sha256
     FROM judged
     """
+
+
+def prefix_trie() -> str:
+    """Subtree sums by listing, for every node, the nodes on its way to the root."""
+    # CRC-32 of the decimal digits, from its rule.
+    table = (
+        "list_transform(range(256), lambda i: list_reduce(range(8), "
+        "lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i))"
+    )
+    return f"""
+    WITH crc AS (SELECT {table} AS steps), turns AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id
+          ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+      SELECT conv_id, conv_id - conv_id % 20 AS lender,
+        xor(list_reduce(string_split(conv_id::VARCHAR, ''),
+          lambda a, c: xor(a >> 8, steps[(xor(a, ascii(c)::BIGINT) & 255) + 1]), 4294967295::BIGINT),
+          4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM turns), crc
+    ), rebuilt AS (
+      SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t
+      ON t.conv_id = c.lender AND t.pos <= c.h
+      UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t
+      ON t.conv_id = c.conv_id AND t.pos > c.h
+    ), placed AS (
+      SELECT conv_id, row_number() OVER w AS depth, count(*) OVER (PARTITION BY conv_id) AS n,
+        md5(string_agg(md5(length(role) || ':' || role || text), ',') OVER w) AS node,
+        len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+      FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+    ), path AS (
+      SELECT conv_id, depth, n, node, words FROM placed
+      UNION ALL SELECT conv_id, 0, coalesce(n, 0), '', 0 FROM convs
+      LEFT JOIN (SELECT conv_id, max(n) AS n FROM placed GROUP BY conv_id) USING (conv_id)
+    ), nodes AS (
+      SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(words) AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+      FROM path GROUP BY node
+    ), linked AS (
+      SELECT n.*, up.node AS parent FROM nodes n LEFT JOIN path up
+      ON up.conv_id = n.conv_id AND up.depth = n.depth - 1
+    ), kids AS (SELECT parent, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+    sums AS (
+      SELECT p.node, count(*) FILTER (k.n_children IS NULL) AS n_leaves,
+        sum((l.n_convs - 1) * l.words)::BIGINT AS saved_tokens
+      FROM linked l LEFT JOIN kids k ON k.parent = l.node
+      JOIN path p ON p.conv_id = l.conv_id AND p.depth <= l.depth GROUP BY p.node
+    )
+    SELECT l.conv_id, l.depth, u.conv_id AS parent_conv_id, l.n_convs,
+      coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, l.ends_sha256
+    FROM linked l LEFT JOIN nodes u ON u.node = l.parent LEFT JOIN kids k ON k.parent = l.node
+    JOIN sums s ON s.node = l.node
+    """

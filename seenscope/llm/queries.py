@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seenscope.llm import cgk, chat, dartminhash, hpyp, language, oracle, packing, pii, simhash, trust, warc
+from seenscope.llm import (
+    cgk,
+    chat,
+    dartminhash,
+    hpyp,
+    language,
+    oracle,
+    packing,
+    pii,
+    simhash,
+    trie,
+    trust,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,6 +28,7 @@ ORACLE_SQL = {
     "op2_url_verdicts": oracle.verdicts(),
     "op3_revisits": oracle.revisits(),
     "op10_chats": oracle.chats(),
+    "op11_prefix_trie": oracle.prefix_trie(),
 }
 
 
@@ -129,3 +143,11 @@ def op10_chats(spark, sf_dir):
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     return chat.digests(chat.format_chats(chat.canonical_table(turns.union(tricky))))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    """Trie of all conversations, each with the opening of the one before it in its twenty."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    found = trie.prefix_trie(*trie.share_openings(trie.place_turns(turns)))
+    return found.drop("node", "parent")
