@@ -230,3 +230,28 @@ def prefix_trie() -> str:
     FROM linked l LEFT JOIN nodes u ON u.node = l.parent LEFT JOIN kids k ON k.parent = l.node
     JOIN sums s ON s.node = l.node
     """
+
+
+def hard_negatives() -> str:
+    """All scores of all anchors."""
+    return """
+    WITH vectors AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM vectors a, vectors b WHERE a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)
+    ), positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score,
+      score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY row_number() OVER w <= 5
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+    """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seenscope.llm import (
     cgk,
     chat,
+    covertree,
     dartminhash,
     hpyp,
     language,
@@ -17,6 +18,7 @@ from seenscope.llm import (
     packing,
     pii,
     simhash,
+    template,
     trie,
     trust,
     warc,
@@ -29,6 +31,7 @@ ORACLE_SQL = {
     "op3_revisits": oracle.revisits(),
     "op10_chats": oracle.chats(),
     "op11_prefix_trie": oracle.prefix_trie(),
+    "op12_hard_negatives": oracle.hard_negatives(),
 }
 
 
@@ -151,3 +154,18 @@ def op11_prefix_trie(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     found = trie.prefix_trie(*trie.share_openings(trie.place_turns(turns)))
     return found.drop("node", "parent")
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector; every seventh vector has another label."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = covertree.scale_vectors(vectors.withColumn("label", moved))
+    return covertree.hard_negatives(scaled, F.col("id") % 100 == 0)
+
+
+@query
+def op13_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return template.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
