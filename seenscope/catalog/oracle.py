@@ -15,6 +15,7 @@ from seenscope.catalog.queries import (
     REPORT_DATASETS,
     STRATIFIED_ROWS,
     SWEEP_K,
+    VECTOR_DIM,
 )
 from seenscope.functions import prompts
 from seenscope.functions.chat import ANSWER_PREFIX
@@ -24,6 +25,7 @@ from seenscope.operators.features import feature_names
 from seenscope.operators.sampling import CONTAM_ROWS, SAMPLE_ROWS
 from seenscope.operators.scores import K_RATIOS, MAX_LENGTH
 from seenscope.operators.trajectory import DIM, NUM_STEPS
+from seenscope.operators.word_vectors import TURNS
 
 
 def _text(value: str) -> str:
@@ -86,6 +88,58 @@ def _labelled(source: str) -> str:
     )
 
 
+def _word_vectors(dim: int) -> dict[str, str]:
+    """Block power iteration with a step per column: names of steps end in letters."""
+    columns = [f"x{i}" for i in range(dim)]
+    steps = {
+        "inner_pairs": "SELECT prev, tok, c_pair, sum(c_pair) OVER (PARTITION BY prev) AS c_prev, "
+        "sum(c_pair) OVER (PARTITION BY tok) AS c_tok, sum(c_pair) OVER () AS total "
+        "FROM pairs WHERE c_pair > 0 AND prev <> ''",
+        "ppmi": "SELECT * FROM (SELECT prev, tok, ln(c_pair * total::DOUBLE / (c_prev::DOUBLE * c_tok)) AS value "
+        "FROM inner_pairs) WHERE value > 0",
+        "block_start": "SELECT tok, "
+        + ", ".join(
+            f"('0x' || substr(md5('42:start-{i // 8}:' || tok), {4 * (i % 8) + 1}, 4))::INTEGER / 32768e0 - 1 AS x{i}"
+            for i in range(dim)
+        )
+        + " FROM (SELECT DISTINCT tok FROM ppmi)",
+    }
+    at = "block_start"
+
+    def add(sql: str) -> None:
+        nonlocal at
+        n = len(steps)
+        at = "block_" + chr(97 + n // 26) + chr(97 + n % 26)
+        steps[at] = sql
+
+    def multiply(by: str, to: str) -> None:
+        add(
+            f"SELECT {to}, " + ", ".join(f"sum(value * {c}) AS {c}" for c in columns)
+            + f" FROM ppmi JOIN {at} USING ({by}) GROUP BY {to}"
+        )
+
+    def orthogonal(key: str) -> None:
+        for i, c in enumerate(columns):
+            if i:
+                less = " - ".join(f"(SELECT sum({q} * {c}) FROM {at}) * {q}" for q in columns[:i])
+                add(f"SELECT {key}, " + ", ".join(f"{c} - {less} AS {c}" if x == c else x for x in columns) + f" FROM {at}")
+            length = f"sqrt((SELECT sum({c} * {c}) FROM {at}))"
+            add(f"SELECT {key}, " + ", ".join(f"{c} / {length} AS {c}" if x == c else x for x in columns) + f" FROM {at}")
+
+    for turn in range(TURNS):
+        if turn:
+            orthogonal("tok")
+        multiply("tok", "prev")
+        orthogonal("prev")
+        multiply("prev", "tok")
+    steps["word_vectors"] = (
+        "SELECT tok, "
+        + ", ".join(f"{c} / sqrt(sqrt((SELECT sum({c} * {c}) FROM {at}))) AS v{i}" for i, c in enumerate(columns))
+        + f" FROM {at}"
+    )
+    return steps
+
+
 # Enough for the last digits at the sizes that are compared.
 DESCENT_TURNS = 2500
 STEPS = range(NUM_STEPS + 1)
@@ -366,6 +420,7 @@ WITH = {
     "(SELECT id_num FROM vectors GROUP BY id_num HAVING count(DISTINCT step) = 6)",
     "vector_pairs": "SELECT b.id_num, b.step, list_zip(a.v, b.v) AS ab FROM whole_vectors b "
     "JOIN whole_vectors a ON a.id_num = b.id_num AND a.step = 0 WHERE b.step > 0",
+    **_word_vectors(VECTOR_DIM),
     # --- label parts
     "source_rows": "SELECT source || '-' || lang AS dataset_name, doc_id AS id_num FROM documents",
 }
@@ -539,10 +594,12 @@ FINAL = {
     "round(cum_pos / total_pos::DOUBLE + 1e-10, 6) AS tpr FROM corners "
     "WHERE before IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg "
     "UNION ALL SELECT DISTINCT dataset_name, k, 0e0, 0e0 FROM corners",
-    "last_content_token": "SELECT dataset_name, id_num, coalesce(max(pos) FILTER (WHERE content), "
+    "last_content_token": "SELECT dataset_name, id_num, last_pos, last_token, "
+    + ", ".join(f"round(coalesce(v{i}, 0e0) + 1e-10, 6) AS v{i}" for i in range(VECTOR_DIM))
+    + " FROM (SELECT dataset_name, id_num, coalesce(max(pos) FILTER (WHERE content), "
     "max(pos))::INTEGER AS last_pos, coalesce(arg_max(tok, pos) FILTER (WHERE content), "
     "arg_max(tok, pos)) AS last_token FROM (SELECT *, regexp_matches(tok, '[\\p{L}\\p{N}]') AS content "
-    "FROM positions) GROUP BY ALL",
+    "FROM positions) GROUP BY ALL) LEFT JOIN word_vectors ON tok = last_token",
     "trajectory": "SELECT dataset_name, split, id_num, step, "
     + _round(["loss", "grad_norm", *[f"e{i}" for i in range(DIM)]])
     + " FROM states",

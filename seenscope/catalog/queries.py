@@ -28,6 +28,7 @@ from seenscope.operators import (
     scores,
     tasks,
     trajectory,
+    word_vectors,
 )
 from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize, scratch_path
@@ -48,6 +49,8 @@ SWEEP_K = [10, 20, 30, 40, 50]
 REPORT_DATASETS = ["de", "en", "es", "fr", "it"]
 METHODS = ("k20", "k30")
 STRATIFIED_ROWS = 50
+# Few enough for an SQL twin, which has a step per column and multiplication.
+VECTOR_DIM = 4
 SAMPLE_KEYS = ["dataset_name", "split", "id_num"]
 
 
@@ -609,7 +612,14 @@ def trajectory_other_texts(spark, sf_dir):
 
 @query
 def last_content_token(spark, sf_dir):
-    return scores.last_content_token(fixtures.documents(spark, sf_dir))
+    """Last content word of each document, with its vector from the pairs of the seen ones."""
+    items = fixtures.split_documents(spark, sf_dir)
+    vectors = word_vectors.fit(language_model.fit(items).pairs, VECTOR_DIM)
+    found = scores.last_content_token(items, vectors, VECTOR_DIM)
+    return found.select(
+        "dataset_name", "id_num", "last_pos", "last_token",
+        *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(VECTOR_DIM)],
+    )
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seenscope.functions.words import is_special, words
+from seenscope.operators import word_vectors
 from seenscope.operators.language_model import SAMPLE
 from seenscope.plans.joins import null_safe_join
 
@@ -92,12 +93,19 @@ def by_k(scores: DataFrame, k_ratios: list[float] | None = None) -> DataFrame:
     return scores.select(*SAMPLE, *labels, F.inline(pairs))
 
 
-def last_content_token(items: DataFrame) -> DataFrame:
+def last_content_token(
+    items: DataFrame, vectors: DataFrame | None = None, dim: int = word_vectors.DIM
+) -> DataFrame:
     """Position and text of each sample's last word that is not special, or of its last word
-    if all are special; found within the row. Samples without words are left out."""
+    if all are special; found within the row. Samples without words are left out.
+
+    With the ``vectors`` of ``word_vectors.fit``, of dimension ``dim``, also that word's
+    ``vector``: zeros for a word that the model has not met after another one.
+    """
     places = F.sequence(F.lit(0), F.size("_words") - 1)
     content = F.filter(places, lambda i: ~is_special(F.get("_words", i)))
     last = F.coalesce(F.get(content, F.size(content) - 1), F.size("_words") - 1)
     listed = items.select(*SAMPLE, words(F.col("instruction_text")).alias("_words"))
     placed = listed.where(F.size("_words") > 0).withColumn("last_pos", last)
-    return placed.select(*SAMPLE, "last_pos", F.get("_words", F.col("last_pos")).alias("last_token"))
+    found = placed.select(*SAMPLE, "last_pos", F.get("_words", F.col("last_pos")).alias("last_token"))
+    return found if vectors is None else word_vectors.with_vectors(found, "last_token", vectors, dim)
