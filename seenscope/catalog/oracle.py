@@ -595,7 +595,7 @@ FINAL = {
     "WHERE before IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg "
     "UNION ALL SELECT DISTINCT dataset_name, k, 0e0, 0e0 FROM corners",
     "last_content_token": "SELECT dataset_name, id_num, last_pos, last_token, "
-    + ", ".join(f"round(coalesce(v{i}, 0e0) + 1e-10, 6) AS v{i}" for i in range(VECTOR_DIM))
+    + ", ".join(f"round(coalesce(v{i}, 0e0) + 1e-10, 6) + 0e0 AS v{i}" for i in range(VECTOR_DIM))
     + " FROM (SELECT dataset_name, id_num, coalesce(max(pos) FILTER (WHERE content), "
     "max(pos))::INTEGER AS last_pos, coalesce(arg_max(tok, pos) FILTER (WHERE content), "
     "arg_max(tok, pos)) AS last_token FROM (SELECT *, regexp_matches(tok, '[\\p{L}\\p{N}]') AS content "

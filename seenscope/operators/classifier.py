@@ -1,24 +1,34 @@
-"""One class-balanced logistic regression per dataset on scaled trajectory features."""
+"""One class-balanced logistic regression per dataset on scaled trajectory features.
 
-from __future__ import annotations
+All datasets are fitted together by Newton's method. The state of the fits is a table with one
+row per dataset; a turn is one grouped sum over the rows of all unfinished datasets (loss,
+gradient and curvature at the state's trial point, added up on the map side) and one step of
+each state. So the number of jobs depends on the turns of the slowest fit, not on the number
+of datasets, and nothing of a dataset reaches the driver.
+"""
 
-from multiprocessing.pool import ThreadPool
+from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seenscope.plans.joins import null_safe_join
-from seenscope.plans.materialize import materialize, scratch_path
-from seenscope.sources.items import write_items
+from seenscope.plans.materialize import materialize
+from seenscope.plans.workers import reachable
 
 # Most iterations, and rows shown of the coefficient ranking.
 MAX_ITER = 2000
 TOP_FEATURES = 15
-# Models fitted at the same time, each by its own Spark jobs.
-PARALLEL_FITS = 8
-COEFFICIENTS = "dataset_name STRING, intercept DOUBLE, coefficients ARRAY<DOUBLE>"
+# A step must lower the loss by this share of what the slope promises.
+LEAST_GAIN = 1e-4
+STATE = (
+    "dataset_name STRING, point ARRAY<DOUBLE>, base ARRAY<DOUBLE>, direction ARRAY<DOUBLE>, "
+    "base_loss DOUBLE, slope DOUBLE, step DOUBLE, turns INT, done BOOLEAN"
+)
 
 
 def class_weights(train: DataFrame) -> DataFrame:
@@ -30,47 +40,129 @@ def class_weights(train: DataFrame) -> DataFrame:
     )
 
 
-def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-12) -> DataFrame:
+def _sums(train: DataFrame, states: DataFrame, names: list[str]) -> DataFrame:
+    """Per dataset the weighted loss, its gradient and the upper half of its curvature at the
+    state's point, without the penalty, as one array."""
+    x = F.array(F.lit(1.0), *names)
+    margin = F.aggregate(F.zip_with("x", "point", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    y = F.col("seen").cast("double")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
+    # ln(1 + exp(m)) - y m, without overflow.
+    loss = F.greatest("margin", F.lit(0.0)) + F.log1p(F.exp(-F.abs("margin"))) - y * F.col("margin")
+
+    def scaled(by: Column) -> Column:
+        return F.transform("x", lambda v: v * by)
+
+    halves = F.flatten(
+        F.transform("x", lambda a, i: F.transform(F.slice("x", F.lit(1), i + 1), lambda b: a * b * F.col("bend")))
+    )
+    rows = (
+        null_safe_join(train.withColumn("x", x), states.select("dataset_name", "point"), ["dataset_name"], "inner")
+        .select("dataset_name", "seen", "weight", "x", margin.alias("margin"))
+        .select("dataset_name", "weight", "x", loss.alias("loss"), (p - y).alias("rest"), (p * (1 - p)).alias("bend"))
+    )
+    parts = F.concat(F.array("loss"), scaled(F.col("rest")), halves)
+    summed = rows.select("dataset_name", "weight", array_to_vector(parts).alias("parts"))
+    return summed.groupBy("dataset_name").agg(
+        vector_to_array(Summarizer.sum(F.col("parts"), F.col("weight"))).alias("sums")
+    )
+
+
+def newton(state: dict, sums: np.ndarray, tol: float) -> dict:
+    """The next state of one fit from the sums at its point.
+
+    A point that lowers the loss too little is tried again half as far; an accepted one gives
+    the next direction. The fit is done when the loss cannot fall by more than ``tol`` of it.
+    """
+    point = np.array(state["point"])
+    n = len(point)
+    penalty = np.ones(n)
+    penalty[0] = 0  # the intercept
+    loss = sums[0] + 0.5 * (penalty * point * point).sum()
+    promised = state["step"] * state["slope"]
+    if state["turns"] and loss > state["base_loss"] - LEAST_GAIN * promised and promised > tol * abs(loss):
+        step = state["step"] / 2
+        ahead = np.array(state["base"]) + step * np.array(state["direction"])
+        return state | {"point": ahead.tolist(), "step": step, "turns": state["turns"] + 1}
+    gradient = sums[1 : n + 1] + penalty * point
+    curve = np.zeros((n, n))
+    curve[np.tril_indices(n)] = sums[n + 1 :]
+    curve = curve + np.tril(curve, -1).T + np.diag(penalty)
+    direction = -np.linalg.lstsq(curve, gradient, rcond=None)[0]
+    slope = float(-direction @ gradient)
+    return {
+        "dataset_name": state["dataset_name"],
+        "point": (point + direction).tolist(),
+        "base": point.tolist(),
+        "direction": direction.tolist(),
+        "base_loss": float(loss),
+        "slope": slope,
+        "step": 1.0,
+        "turns": state["turns"] + 1,
+        "done": bool(slope <= tol * abs(loss) or state["turns"] + 1 >= MAX_ITER),
+    }
+
+
+def _step(batches, tol: float):
+    names = [part.split()[0] for part in STATE.split(", ")]
+    for batch in batches:
+        rows = [newton({k: r[k] for k in names}, np.array(r["sums"]), tol) for r in batch.to_pylist()]
+        kinds = [batch.schema.field(n).type for n in names]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names
+        )
+
+
+def fit_classifiers(train: DataFrame, names: list[str], tol: float = 1e-15) -> DataFrame:
     """Coefficients per dataset, in the order of ``names``, written: one row per dataset. A
     dataset whose rows are all of one class has none: its values are null.
 
     The penalty is half the squared norm of the coefficients against the weighted sum of
-    losses (C = 1), which is ``regParam = 1 / rows`` here since balanced weights sum to the
-    rows. Fitting is one distributed job per dataset; only gradients reach the driver. The
-    rows are written by dataset first, so that a fit reads the rows of its own only.
+    losses (C = 1). Rows with a null label or feature are left out.
     """
-    spark = train.sparkSession
-    path = scratch_path(spark, "train")
-    write_items(train.select("dataset_name", "seen", *names), path, ["dataset_name"])
-    schema = train.select("seen", *names, "dataset_name").schema
-    train = spark.read.schema(schema).parquet(path)
-
-    def fit_one(group: Row) -> tuple[str, float | None, list[float] | None]:
-        if group["seen_weight"] is None or group["unseen_weight"] is None:
-            return group["dataset_name"], None, None
-        weighted = train.where(F.col("dataset_name").eqNullSafe(group["dataset_name"])).select(
-            array_to_vector(F.array(*names)).alias("features"),
-            F.col("seen").cast("double").alias("label"),
-            F.when(F.col("seen"), group["seen_weight"])
-            .otherwise(group["unseen_weight"])
-            .alias("weight"),
+    reachable(train.sparkSession)
+    complete = train.select("dataset_name", "seen", *names).na.drop(subset=["seen", *names])
+    weights = materialize(class_weights(complete), "class-weights")
+    two = weights.where("seen_weight IS NOT NULL AND unseen_weight IS NOT NULL")
+    weight = F.when(F.col("seen"), F.col("seen_weight")).otherwise(F.col("unseen_weight"))
+    weighted = null_safe_join(complete, two, ["dataset_name"], "inner").select(
+        "dataset_name", "seen", *names, weight.alias("weight")
+    )
+    weighted = materialize(weighted, "weighted")
+    zeros = F.array(*[F.lit(0.0)] * (len(names) + 1))
+    open_fits = materialize(
+        two.select(
+            "dataset_name",
+            zeros.alias("point"),
+            zeros.alias("base"),
+            zeros.alias("direction"),
+            F.lit(0.0).alias("base_loss"),
+            F.lit(0.0).alias("slope"),
+            F.lit(1.0).alias("step"),
+            F.lit(0).alias("turns"),
+            F.lit(False).alias("done"),
+        ),
+        "fits",
+    )
+    finished = []
+    while not open_fits.isEmpty():
+        sums = _sums(weighted, open_fits, names)
+        stepped = null_safe_join(open_fits, sums, ["dataset_name"], "inner").mapInArrow(
+            lambda batches: _step(batches, tol), STATE
         )
-        model = LogisticRegression(
-            maxIter=MAX_ITER,
-            tol=tol,
-            regParam=1.0 / group["n_rows"],
-            elasticNetParam=0.0,
-            standardization=False,
-            weightCol="weight",
-        ).fit(weighted)
-        return group["dataset_name"], float(model.intercept), [float(c) for c in model.coefficients]
-
-    # One row per dataset: the models to fit.
-    groups = class_weights(train).collect()
-    with ThreadPool(PARALLEL_FITS) as pool:
-        rows = pool.map(fit_one, groups)
+        stepped = materialize(stepped, "fits")
+        finished.append(stepped.where("done"))
+        open_fits = stepped.where("NOT done")
+    fitted = open_fits
+    for part in finished:
+        fitted = fitted.unionByName(part)
+    found = null_safe_join(weights.select("dataset_name"), fitted, ["dataset_name"], "left").select(
+        "dataset_name",
+        F.get("point", F.lit(0)).alias("intercept"),
+        F.slice("point", 2, len(names)).alias("coefficients"),
+    )
     # Written, so that Catalyst knows its size and broadcasts it if it is small.
-    return materialize(spark.createDataFrame(rows, COEFFICIENTS), "coefficients")
+    return materialize(found, "coefficients")
 
 
 def predict(features: DataFrame, coefficients: DataFrame, names: list[str]) -> DataFrame:
