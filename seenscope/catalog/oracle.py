@@ -22,6 +22,7 @@ from seenscope.functions.chat import ANSWER_PREFIX
 from seenscope.operators.checks import VALID_LEVELS
 from seenscope.operators.classifier import TOP_FEATURES
 from seenscope.operators.features import feature_names
+from seenscope.operators.optimiser import BETAS, BUCKETS, DECAY, EPSILON, RATE
 from seenscope.operators.sampling import CONTAM_ROWS, SAMPLE_ROWS
 from seenscope.operators.scores import K_RATIOS, MAX_LENGTH
 from seenscope.operators.trajectory import DIM, NUM_STEPS
@@ -140,6 +141,53 @@ def _word_vectors(dim: int) -> dict[str, str]:
     return steps
 
 
+def _adam() -> dict[str, str]:
+    """Optimiser steps with one row per sample and parameter: names of steps end in letters."""
+    digit = "(instr('0123456789abcdef', substr(md5({0}), 1, 1)) - 1)"
+    first, second = BETAS
+    row = "PARTITION BY dataset_name, id_num, u"
+    steps = {
+        "adam_start": "SELECT u, j, ln((coalesce(c, 0) + 1e0) / (coalesce(sum(c) OVER (PARTITION BY u), 0) + "
+        f"{BUCKETS}e0)) AS w FROM (SELECT unnest(range({BUCKETS})) AS u) CROSS JOIN "
+        f"(SELECT unnest(range({BUCKETS})) AS j) LEFT JOIN (SELECT {digit.format('prev')} AS u, "
+        f"{digit.format('tok')} AS j, sum(c_pair)::DOUBLE AS c FROM pairs WHERE prev <> '' GROUP BY ALL) USING (u, j)",
+        "adam_pairs": f"SELECT dataset_name, id_num, {digit.format('prev')} AS u, {digit.format('tok')} AS j, "
+        "count(*)::DOUBLE AS n FROM positions WHERE pos > 0 GROUP BY ALL",
+        "adam_last": f"SELECT dataset_name, id_num, {digit.format('last_token')} AS u FROM last_words",
+        "adam_zero": "SELECT dataset_name, id_num, u, j, coalesce(n, 0e0) AS n, "
+        f"coalesce(sum(n) OVER ({row}), 0e0) AS n_u, size, w, 0e0 AS m, 0e0 AS v FROM "
+        "(SELECT dataset_name, id_num, u FROM adam_pairs UNION SELECT dataset_name, id_num, u FROM adam_last) "
+        "JOIN (SELECT dataset_name, id_num, sum(n) AS size FROM adam_pairs GROUP BY ALL) USING (dataset_name, id_num) "
+        "JOIN adam_start USING (u) LEFT JOIN adam_pairs USING (dataset_name, id_num, u, j)",
+    }
+    at, out = "adam_zero", ["SELECT 0 AS step, dataset_name, id_num, u, j, w, NULL::DOUBLE AS l, NULL::DOUBLE AS g FROM adam_zero"]
+    for s in STEPS[1:]:
+        sloped, moved = f"adam_slope_{'abcdefgh'[s]}", f"adam_step_{'abcdefgh'[s]}"
+        steps[sloped] = (
+            "SELECT *, (n_u * exp(ln_p) - n) / size AS g, -n * ln_p AS l FROM "
+            f"(SELECT dataset_name, id_num, u, j, n, n_u, size, w, m, v, w - ln(sum(exp(w)) OVER ({row})) AS ln_p FROM {at})"
+        )
+        steps[moved] = (
+            f"SELECT * EXCLUDE (w, ln_p), w * (1 - {RATE}e0 * {DECAY}e0) - {RATE}e0 * m / {1 - first**s!r}::DOUBLE / "
+            f"(sqrt(v / {1 - second**s!r}::DOUBLE) + {EPSILON!r}) AS w FROM "
+            f"(SELECT * EXCLUDE (m, v), {first}e0 * m + {1 - first!r}::DOUBLE * g AS m, "
+            f"{second}e0 * v + {1 - second!r}::DOUBLE * g * g AS v FROM {sloped})"
+        )
+        at = moved
+        out.append(f"SELECT {s}, dataset_name, id_num, u, j, w, l, g FROM {moved}")
+    steps["adam_moves"] = " UNION ALL ".join(out)
+    steps["adam_states"] = (
+        "SELECT dataset_name, split, id_num, step, round(sum(l) / any_value(size), 9) AS loss, "
+        "round(sqrt(sum(g * g)), 9) AS grad_norm, "
+        + ", ".join(f"round(max(w) FILTER (WHERE j = {i} AND last_u = u), 9) AS e{i}" for i in range(BUCKETS))
+        + " FROM adam_moves JOIN (SELECT dataset_name, id_num, sum(n) AS size FROM adam_pairs GROUP BY ALL) "
+        "USING (dataset_name, id_num) JOIN (SELECT dataset_name, id_num, u AS last_u FROM adam_last) "
+        "USING (dataset_name, id_num) JOIN (SELECT dataset_name, id_num, split FROM items) "
+        "USING (dataset_name, id_num) GROUP BY dataset_name, split, id_num, step"
+    )
+    return steps
+
+
 # Enough for the last digits at the sizes that are compared.
 DESCENT_TURNS = 2500
 STEPS = range(NUM_STEPS + 1)
@@ -421,10 +469,22 @@ WITH = {
     "vector_pairs": "SELECT b.id_num, b.step, list_zip(a.v, b.v) AS ab FROM whole_vectors b "
     "JOIN whole_vectors a ON a.id_num = b.id_num AND a.step = 0 WHERE b.step > 0",
     **_word_vectors(VECTOR_DIM),
+    "last_words": "SELECT dataset_name, id_num, coalesce(max(pos) FILTER (WHERE content), "
+    "max(pos))::INTEGER AS last_pos, coalesce(arg_max(tok, pos) FILTER (WHERE content), "
+    "arg_max(tok, pos)) AS last_token FROM (SELECT *, regexp_matches(tok, '[\\p{L}\\p{N}]') AS content "
+    "FROM positions) GROUP BY ALL",
+    **_adam(),
     # --- label parts
     "source_rows": "SELECT source || '-' || lang AS dataset_name, doc_id AS id_num FROM documents",
 }
 
+# The same steps from other states.
+TRACE = ["states", "geometry", "features", "scaler", "scaled", "class_sizes", "weighted", "bounds", "descent"]
+TRACE += ["coefficients", "classified", "trace_counts", "trace_results"]
+WITH |= {
+    f"adam_{name}": re.sub(rf"(FROM|JOIN) ({'|'.join(TRACE)})\b", r"\1 adam_\2", WITH[name]) for name in TRACE[1:]
+}
+
 WINDOWLESS = re.compile(r"[a-z_]+")
 
 
@@ -596,13 +656,15 @@ FINAL = {
     "UNION ALL SELECT DISTINCT dataset_name, k, 0e0, 0e0 FROM corners",
     "last_content_token": "SELECT dataset_name, id_num, last_pos, last_token, "
     + ", ".join(f"round(coalesce(v{i}, 0e0) + 1e-10, 6) + 0e0 AS v{i}" for i in range(VECTOR_DIM))
-    + " FROM (SELECT dataset_name, id_num, coalesce(max(pos) FILTER (WHERE content), "
-    "max(pos))::INTEGER AS last_pos, coalesce(arg_max(tok, pos) FILTER (WHERE content), "
-    "arg_max(tok, pos)) AS last_token FROM (SELECT *, regexp_matches(tok, '[\\p{L}\\p{N}]') AS content "
-    "FROM positions) GROUP BY ALL) LEFT JOIN word_vectors ON tok = last_token",
+    + " FROM last_words LEFT JOIN word_vectors ON tok = last_token",
     "trajectory": "SELECT dataset_name, split, id_num, step, "
     + _round(["loss", "grad_norm", *[f"e{i}" for i in range(DIM)]])
     + " FROM states",
+    "adam_trajectory": "SELECT dataset_name, split, id_num, step, "
+    + _round(["loss", "grad_norm", *[f"e{i}" for i in range(BUCKETS)]])
+    + " FROM adam_states",
+    "adam_features": f"SELECT dataset_name, split, id_num, seen, {_round(FEATURES)} FROM adam_features",
+    "adam_eval": f"SELECT dataset_name, {_round(['auc', 'accuracy'])} FROM adam_trace_results",
     "auc_by_k": "SELECT dataset_name, k, round(CASE WHEN sum(pos) * sum(neg) = 0 THEN 0.5e0 ELSE "
     "sum(pos * (total_neg - cum_neg + neg / 2e0)) / (sum(pos) * sum(neg))::DOUBLE END + 1e-10, 6) AS auc "
     "FROM (SELECT *, sum(neg) OVER (PARTITION BY dataset_name, k ORDER BY score) AS cum_neg, "

@@ -23,6 +23,7 @@ from seenscope.operators import (
     evaluate,
     features,
     language_model,
+    optimiser,
     report,
     sampling,
     scores,
@@ -144,14 +145,29 @@ def _trajectories(items: DataFrame, model: DataFrame) -> DataFrame:
     return trajectory.with_split(states.withColumn("embedding", embedding), items)
 
 
+def _adam_trajectories(items: DataFrame) -> DataFrame:
+    start = optimiser.start_state(language_model.fit(items).pairs)
+    states = _nine_places(optimiser.trajectory(items, start), ["loss", "grad_norm"])
+    embedding = F.transform("embedding", lambda x: F.round(x, DIGITS))
+    return trajectory.with_split(states.withColumn("embedding", embedding), items)
+
+
 def _features(items: DataFrame, model: DataFrame) -> DataFrame:
-    found = features.trace_features(_trajectories(items, model), SAMPLE_KEYS)
+    return _labelled_features(items, _trajectories(items, model))
+
+
+def _labelled_features(items: DataFrame, states: DataFrame) -> DataFrame:
+    found = features.trace_features(states, SAMPLE_KEYS)
     labels = items.select("dataset_name", "id_num", "seen")
     return features.label_join(found, labels, ["dataset_name", "id_num"])
 
 
 def _scaled(items: DataFrame, model: DataFrame) -> DataFrame:
-    found = materialize(_features(items, model), "features")
+    return _scaled_features(_features(items, model))
+
+
+def _scaled_features(found: DataFrame) -> DataFrame:
+    found = materialize(found, "features")
     names = features.feature_names()
     parameters = features.scaler(found.where("split = 'train'"), names)
     return features.scale(found, parameters, names)
@@ -159,8 +175,12 @@ def _scaled(items: DataFrame, model: DataFrame) -> DataFrame:
 
 def _classified(items: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Coefficients, and eval rows with probability and predicted class."""
+    return _fitted(_scaled(items, model))
+
+
+def _fitted(scaled: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = features.feature_names()
-    scaled = materialize(_scaled(items, model), "scaled")
+    scaled = materialize(scaled, "scaled")
     coefficients = classifier.fit_classifiers(scaled.where("split = 'train'"), names)
     return coefficients, classifier.predict(scaled.where("split = 'eval'"), coefficients, names)
 
@@ -637,6 +657,19 @@ def trajectory_steps(spark, sf_dir):
 QUERIES["trajectory"] = QUERIES.pop("trajectory_steps")
 
 
+@query
+def adam_trajectory(spark, sf_dir):
+    """Trajectories under optimiser steps on a log-linear model."""
+    found = _adam_trajectories(fixtures.split_documents(spark, sf_dir))
+    return found.select(
+        *SAMPLE_KEYS,
+        "step",
+        "loss",
+        "grad_norm",
+        *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(optimiser.BUCKETS)],
+    )
+
+
 # --- evaluation -------------------------------------------------------------------------
 
 
@@ -721,6 +754,22 @@ def trace_eval(spark, sf_dir):
     return _trace_results(predicted, _trace_counts(predicted))
 
 
+@query
+def adam_features(spark, sf_dir):
+    """Features of the trajectories under optimiser steps."""
+    items = fixtures.split_documents(spark, sf_dir)
+    return _labelled_features(items, _adam_trajectories(items))
+
+
+@query
+def adam_eval(spark, sf_dir):
+    """What classifiers on these features reach on the eval split."""
+    items = fixtures.split_documents(spark, sf_dir)
+    found = _labelled_features(items, _adam_trajectories(items))
+    _, predicted = _fitted(_scaled_features(found))
+    return _trace_results(predicted, _trace_counts(predicted))
+
+
 @query
 def top_coefficients(spark, sf_dir):
     coefficients, _ = _classified(*_model(spark, sf_dir))
