@@ -22,6 +22,7 @@ from seenscope.functions.chat import ANSWER_PREFIX
 from seenscope.operators.checks import VALID_LEVELS
 from seenscope.operators.classifier import TOP_FEATURES
 from seenscope.operators.features import feature_names
+from seenscope.operators.kneser_ney import DISCOUNT
 from seenscope.operators.optimiser import BETAS, BUCKETS, DECAY, EPSILON, RATE
 from seenscope.operators.sampling import CONTAM_ROWS, SAMPLE_ROWS
 from seenscope.operators.scores import K_RATIOS, MAX_LENGTH
@@ -188,6 +189,11 @@ def _adam() -> dict[str, str]:
     return steps
 
 
+def _interpolated(count: str, lower: str) -> str:
+    own = f"greatest(coalesce({count}, 0) - {DISCOUNT}e0, 0e0)"
+    return f"CASE WHEN c_context > 0 THEN ({own} + {DISCOUNT}e0 * k_context * {lower}) / c_context ELSE {lower} END"
+
+
 # Enough for the last digits at the sizes that are compared.
 DESCENT_TURNS = 2500
 STEPS = range(NUM_STEPS + 1)
@@ -323,6 +329,28 @@ WITH = {
     ),
     "corners": "SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg "
     "FROM eval_counts WINDOW w AS (PARTITION BY dataset_name, k ORDER BY score)",
+    # --- the model of order three
+    "grams": "SELECT dataset_name, id_num, seen, (at_pos - 1)::INTEGER AS pos, words[at_pos] AS tok, "
+    "CASE WHEN at_pos = 1 THEN '' ELSE words[at_pos - 1] END AS prev, "
+    "CASE WHEN at_pos <= 2 THEN '' ELSE words[at_pos - 2] END AS before FROM "
+    "(SELECT *, unnest(range(1, len(words) + 1)) AS at_pos FROM listed)",
+    "triples": "SELECT before, prev, tok, count(*) AS c FROM grams WHERE seen GROUP BY ALL",
+    "kinds_of_pairs": "SELECT prev, tok, count(*) AS k FROM triples GROUP BY ALL",
+    "kinds_of_words": "SELECT tok, count(*) AS k FROM kinds_of_pairs GROUP BY ALL",
+    "low": f"SELECT tok, (greatest(coalesce(k, 0) - {DISCOUNT}e0, 0e0) + {DISCOUNT}e0 * "
+    "(SELECT count(*) FROM kinds_of_words) / (SELECT count(*) + 1 FROM kinds_of_words)) / "
+    "(SELECT sum(k) FROM kinds_of_words) AS p_low FROM (SELECT DISTINCT tok FROM grams) "
+    "LEFT JOIN kinds_of_words USING (tok)",
+    "middle": f"SELECT prev, tok, {_interpolated('k', 'p_low')} AS p_middle FROM "
+    "(SELECT DISTINCT prev, tok FROM grams) LEFT JOIN kinds_of_pairs USING (prev, tok) "
+    "LEFT JOIN (SELECT prev, sum(k) AS c_context, count(*) AS k_context FROM kinds_of_pairs GROUP BY prev) "
+    "USING (prev) JOIN low USING (tok)",
+    "high": f"SELECT before, prev, tok, ln({_interpolated('c', 'p_middle')}) AS logprob FROM "
+    "(SELECT DISTINCT before, prev, tok FROM grams) LEFT JOIN triples USING (before, prev, tok) "
+    "LEFT JOIN (SELECT before, prev, sum(c) AS c_context, count(*) AS k_context FROM triples GROUP BY ALL) "
+    "USING (before, prev) JOIN middle USING (prev, tok)",
+    "longer_logprobs": "SELECT dataset_name, id_num, pos, tok AS token, logprob "
+    "FROM grams JOIN high USING (before, prev, tok) WHERE pos > 0",
     # --- evaluation
     "train_counts": "SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg, "
     "sum(pos) OVER g AS total_pos, sum(neg) OVER g AS total_neg FROM (SELECT dataset_name, k, score, "
@@ -481,6 +509,11 @@ WITH = {
 # The same steps from other states.
 TRACE = ["states", "geometry", "features", "scaler", "scaled", "class_sizes", "weighted", "bounds", "descent"]
 TRACE += ["coefficients", "classified", "trace_counts", "trace_results"]
+SCORING = ["logprobs", "ordered", "sample_scores", "scores", "long", "train_counts", "eval_counts", "train_right"]
+SCORING += ["train_best", "medians", "train_auc", "eval_auc", "thresholds", "judged", "metrics"]
+WITH |= {
+    f"longer_{name}": re.sub(rf"(FROM|JOIN) ({'|'.join(SCORING)})\b", r"\1 longer_\2", WITH[name]) for name in SCORING[1:]
+}
 WITH |= {
     f"adam_{name}": re.sub(rf"(FROM|JOIN) ({'|'.join(TRACE)})\b", r"\1 adam_\2", WITH[name]) for name in TRACE[1:]
 }
@@ -628,6 +661,12 @@ FINAL = {
     f"({SAMPLE_ROWS} // count(DISTINCT level))::BIGINT AS quota FROM math_kept GROUP BY dataset_name",
     "ngram_model": "SELECT prev, tok, c_pair, c_prev, c_tok FROM model WHERE c_pair > 0",
     "token_logprobs": "SELECT dataset_name, id_num, pos, token, round(logprob + 1e-10, 6) AS logprob FROM logprobs",
+    "token_logprobs_order3": "SELECT dataset_name, id_num, pos, token, round(logprob + 1e-10, 6) AS logprob "
+    "FROM longer_logprobs",
+    "score_table_order3": "SELECT dataset_name, id_num, split, seen, num_tokens, "
+    + _round(["avg_nll", *MIN_K])
+    + " FROM longer_scores",
+    "metrics_order3": METRICS.replace("FROM metrics", "FROM longer_metrics"),
     "sample_perplexity": "SELECT dataset_name, id_num, "
     + _round(["perplexity", "avg_nll"])
     + ", num_tokens FROM sample_scores",

@@ -22,6 +22,7 @@ from seenscope.operators import (
     classifier,
     evaluate,
     features,
+    kneser_ney,
     language_model,
     optimiser,
     report,
@@ -121,6 +122,12 @@ def _other_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return rest, language_model.lookup(rest, model)
 
 
+def _longer_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items, and what the model of order three fitted on the seen ones says about them."""
+    items = fixtures.split_documents(spark, sf_dir)
+    return items, kneser_ney.lookup(items, kneser_ney.fit(items))
+
+
 def _nine_places(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
@@ -596,6 +603,30 @@ def token_logprobs(spark, sf_dir):
     return language_model.token_logprobs(items, model)
 
 
+@query
+def token_logprobs_order3(spark, sf_dir):
+    """Log-probabilities with two words of context and Kneser-Ney back-off."""
+    items, found = _longer_model(spark, sf_dir)
+    return kneser_ney.token_logprobs(items, found)
+
+
+@query
+def score_table_order3(spark, sf_dir):
+    """The score table from the model of order three."""
+    items, found = _longer_model(spark, sf_dir)
+    table = scores.score_table(items, kneser_ney.sample_logprobs(items, found))
+    return _nine_places(table, [scores.min_k_name(r) for r in scores.K_RATIOS]).drop("perplexity")
+
+
+@query
+def metrics_order3(spark, sf_dir):
+    """Metrics per dataset and k from the model of order three."""
+    items, found = _longer_model(spark, sf_dir)
+    table = scores.score_table(items, kneser_ney.sample_logprobs(items, found))
+    table = materialize(_nine_places(table, [scores.min_k_name(r) for r in scores.K_RATIOS]), "scores")
+    return evaluate.metrics_summary(scores.by_k(table))
+
+
 @query
 def sample_perplexity(spark, sf_dir):
     items, model = _model(spark, sf_dir)
