@@ -577,6 +577,15 @@ FINAL = {
     "array_to_string(texts, ','), answer_key FROM labeled UNION ALL "
     "SELECT dataset_name, src_id, question, array_to_string(choices, ','), answer::VARCHAR FROM fixed",
     "roundtrip_partitions": "SELECT dataset_name, split, id_num, seen, instruction_text FROM items",
+    "rewritten_parts": "SELECT dataset_name, split, id_num, seen FROM items WHERE NOT "
+    "(dataset_name = 'en' AND split = 'train') UNION ALL SELECT dataset_name, split, id_num, true "
+    "FROM items WHERE dataset_name = 'en' AND split = 'train' AND NOT seen",
+    "write_verified": "SELECT dataset_name, count(*) AS n_read, any_value(n_rows) AS n_rows, "
+    "0::BIGINT AS n_not_seen, any_value(n_no_text) AS null_instruction_text, 0::BIGINT AS null_id_num, "
+    "any_value(n_long) AS long_text FROM labelled, (SELECT count(*) AS n_rows, "
+    "count(*) FILTER (WHERE instruction_text IS NULL) AS n_no_text, "
+    "count(*) FILTER (WHERE length(instruction_text) > 1000) AS n_long FROM labelled WHERE seen) "
+    "WHERE seen GROUP BY dataset_name",
     "path_columns": "SELECT dataset_name, 'probe' AS level, split, count(*) AS n_rows, "
     "count(*) FILTER (WHERE seen) AS n_seen FROM items GROUP BY ALL",
     "paired_datasets": "SELECT * FROM source_rows WHERE id_num NOT IN (SELECT doc_id FROM labels) "
@@ -752,7 +761,7 @@ FINAL = {
     "k_sweep": "SELECT d.dataset_name, d.k, round(coalesce(m.eval_auc, 0e0) + 1e-10, 6) AS eval_auc, "
     "round(coalesce(m.eval_accuracy, 0e0) + 1e-10, 6) AS eval_accuracy FROM (SELECT *, "
     f"unnest({SWEEP_K}) AS k FROM (SELECT DISTINCT dataset_name FROM metrics)) d "
-    "LEFT JOIN metrics m ON m.dataset_name = d.dataset_name AND m.k = d.k",
+    "LEFT JOIN metrics m ON m.dataset_name IS NOT DISTINCT FROM d.dataset_name AND m.k = d.k",
     "min_k_representative": "SELECT dataset_name, round(eval_auc + 1e-10, 6) AS auc, "
     "round(eval_accuracy + 1e-10, 6) AS accuracy FROM metrics WHERE k = 30",
 }

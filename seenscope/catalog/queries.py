@@ -111,7 +111,7 @@ def _all_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Items, and what the model fitted on the seen ones says about their word pairs."""
     items = fixtures.split_documents(spark, sf_dir)
-    return items, language_model.lookup(items, language_model.fit(items))
+    return items, language_model.fit_lookup(items)
 
 
 def _other_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -273,6 +273,32 @@ def roundtrip_partitions(spark, sf_dir):
     )
 
 
+@query
+def rewritten_parts(spark, sf_dir):
+    """All items by dataset and split, then the train part of one dataset again, with other
+    labels."""
+    path, schema = scratch_path(spark, "parts"), schemas.ITEMS + ", split STRING"
+    items = fixtures.split_documents(spark, sf_dir)
+    item_tables.write_parts(items, path)
+    again = items.where("dataset_name = 'en' AND split = 'train'").withColumn("seen", ~F.col("seen"))
+    item_tables.write_parts(again.where("seen"), path)
+    rows = item_tables.read_parts(spark, path, schema)
+    return rows.select("dataset_name", "split", "id_num", "seen")
+
+
+@query
+def write_verified(spark, sf_dir):
+    """What is counted while the seen items are written, and what is read of them."""
+    path = scratch_path(spark, "verified")
+    kept = checks.keep_seen(fixtures.labelled_documents(spark, sf_dir))
+    rules = checks.item_rules() | {"long_text": F.length("instruction_text") > 1000}
+    counts = checks.write_verified(kept, lambda rows: rows.write.parquet(path), rules)
+    read = spark.read.schema(kept.schema).parquet(path)
+    return read.groupBy("dataset_name").agg(F.count("*").alias("n_read")).select(
+        "*", *[F.lit(n).cast("long").alias(name) for name, n in counts.items()]
+    )
+
+
 @query
 def path_columns(spark, sf_dir):
     path = scratch_path(spark, "tree") + "/data"
@@ -541,7 +567,10 @@ def fetch_by_index(spark, sf_dir):
     requested = fixtures.table(spark, sf_dir, "benchmark").select(
         (F.col("item_id") * 450).alias("global_index")
     )
-    found = tasks.fetch(_all_tasks(spark, sf_dir), requested)
+    path = scratch_path(spark, "indexed-tasks")
+    tasks.write_indexed(_all_tasks(spark, sf_dir).drop("messages"), path)
+    schema = "dataset_name STRING, id_num LONG, global_index LONG"
+    found = tasks.fetch_indexed(spark, path, schema, requested)
     return found.select("global_index", "dataset_name", "id_num", "found")
 
 

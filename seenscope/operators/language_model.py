@@ -85,16 +85,44 @@ def lookup(items: DataFrame, model: Model, max_length: int | None = None) -> Dat
         word_pairs(items, max_length).groupBy("prev", "tok").agg(F.count("*").alias("uses")),
         "wanted-pairs",
     )
-    # Distinct pairs share first words, and words; the sums tell which are hot.
-    by_prev = wanted.groupBy("prev").agg(F.count("*").alias("uses"))
-    by_tok = wanted.groupBy("tok").agg(F.count("*").alias("uses"))
-    contexts = materialize(by_prev.join(model.contexts, "prev", "left"), "wanted-contexts")
-    unigrams = materialize(by_tok.join(model.unigrams, "tok", "left"), "wanted-words")
-    counted = wanted.join(model.pairs, ["prev", "tok"], "left")
+    counted = wanted.join(model.pairs, ["prev", "tok"], "left").na.fill(0, ["c_pair"])
+    contexts, unigrams = _shared(counted)
+    contexts = contexts.join(model.contexts, "prev", "left")
+    unigrams = unigrams.join(model.unigrams, "tok", "left")
+    return _found(counted, contexts, unigrams, F.lit(model.mass))
+
+
+def _shared(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First words and words that distinct pairs share; ``uses`` tells which are hot."""
+    return (
+        counted.groupBy("prev").agg(F.count("*").alias("uses")),
+        counted.groupBy("tok").agg(F.count("*").alias("uses")),
+    )
+
+
+def _found(counted: DataFrame, contexts: DataFrame, unigrams: DataFrame, mass: Column) -> DataFrame:
+    contexts, unigrams = materialize(contexts, "wanted-contexts"), materialize(unigrams, "wanted-words")
     joined = lookup_join(lookup_join(counted, contexts, ["prev"]), unigrams, ["tok"])
-    known = joined.na.fill(0, ["c_pair", "c_prev", "c_tok"])
-    base = (F.col("c_tok") + F.lit(1.0)) / F.lit(model.mass)
-    return materialize(known.withColumn("base", base), "lookup")
+    known = joined.na.fill(0, ["c_prev", "c_tok"])
+    return materialize(known.withColumn("base", (F.col("c_tok") + F.lit(1.0)) / mass), "lookup")
+
+
+def fit_lookup(items: DataFrame, max_length: int | None = None) -> DataFrame:
+    """``lookup(items, fit(items))`` in one pass over the texts: where the fitted rows are
+    among those to score, one count per pair gives both its count on seen rows and its uses."""
+    texts = items.select(F.col("seen"), F.col("instruction_text"), *SAMPLE)
+    counted = materialize(
+        word_pairs(texts, max_length, keep=("seen",))
+        .groupBy("prev", "tok")
+        .agg(F.count_if("seen").alias("c_pair"), F.count("*").alias("uses")),
+        "pairs",
+    )
+    contexts = counted.groupBy("prev").agg(F.sum("c_pair").alias("c_prev"), F.count("*").alias("uses"))
+    unigrams = materialize(
+        counted.groupBy("tok").agg(F.sum("c_pair").alias("c_tok"), F.count("*").alias("uses")), "words"
+    )
+    mass = unigrams.agg(F.coalesce(F.sum("c_tok"), F.lit(0)) + F.count_if(F.col("c_tok") > 0) + 1).first()[0]
+    return _found(counted, contexts, unigrams, F.lit(mass))
 
 
 def probability(extra_pair: Column | None = None, extra_prev: Column | None = None) -> Column:
@@ -132,12 +160,12 @@ def token_logprobs(
 def sample_logprobs(
     items: DataFrame, found: DataFrame, max_length: int | None = None
 ) -> DataFrame:
-    """Distinct pairs of each sample with log-probability and count ``n``, which is what
-    scores need."""
+    """The pairs of each sample with log-probability and count ``n``, which is what scores
+    need. Every place is looked up, so pairs are shuffled once by pair and once by sample;
+    equal values of a sample are merged after that."""
     pairs = word_pairs(items, max_length).where("pos > 0")
-    counted = pairs.groupBy(*SAMPLE, "prev", "tok").agg(F.count("*").alias("n"))
-    joined = lookup_join(counted, _pair_logprobs(found), ["prev", "tok"])
-    return joined.select(*SAMPLE, "logprob", "n")
+    joined = lookup_join(pairs, _pair_logprobs(found), ["prev", "tok"])
+    return joined.select(*SAMPLE, "logprob", F.lit(1).cast("long").alias("n"))
 
 
 def model_cells(items: DataFrame, found: DataFrame, max_length: int | None = None) -> DataFrame:

@@ -66,17 +66,16 @@ def bar_series(comparison: DataFrame, names: tuple[str, str]) -> DataFrame:
 
 
 def k_sweep(metrics: DataFrame, k_values: list[int]) -> DataFrame:
-    """Eval AUC and accuracy of each dataset at each listed k; a missing k is 0."""
+    """Eval AUC and accuracy of each dataset, the null one too, at each listed k; a missing k
+    is 0."""
     listed = (
         metrics.select("dataset_name")
         .distinct()
         .select("dataset_name", F.explode(F.array(*[F.lit(k) for k in k_values])).alias("k"))
     )
-    return listed.join(
-        metrics.select("dataset_name", "k", "eval_auc", "eval_accuracy"),
-        ["dataset_name", "k"],
-        "left",
-    ).na.fill(0.0, ["eval_auc", "eval_accuracy"])
+    values = metrics.select("dataset_name", "k", "eval_auc", "eval_accuracy")
+    found = null_safe_join(listed, values, ["dataset_name", "k"], "left")
+    return found.na.fill(0.0, ["eval_auc", "eval_accuracy"])
 
 
 def roc_series(methods: dict[str, DataFrame]) -> DataFrame:

@@ -24,6 +24,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.columns[: len(keys)])
 
 
+def slot(*columns: Column) -> Column:
+    """One key in place of several, any of which may be null: a digest of their values.
+
+    Rows dealt by it once serve a window over these columns and an equi-join on them, which
+    null-safe keys, dealt by other expressions, do not.
+    """
+    return F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])))
+
+
 def _hot(lookup: DataFrame, keys: list[str], max_hot: int) -> DataFrame:
     """``(_digest, _salts)`` of the keys with more than 1/``max_hot`` of the rows.
 

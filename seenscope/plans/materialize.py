@@ -8,6 +8,7 @@ joined by shuffle if not.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,14 +20,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: the session's checkpoint directory.
 
-    One is chosen here only if none is set and the session is local.
+    One is chosen here only if none is set and the whole session is one process.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="seenscope-"))
     return context.getCheckpointDir()

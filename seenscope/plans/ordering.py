@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seenscope.plans.joins import null_safe_join
+from seenscope.plans.joins import null_safe_join, slot
 from seenscope.plans.materialize import materialize
 
 # Fixed value: the seed of all hash orders.
@@ -76,22 +76,24 @@ def number_rows(
     ``bucket`` must never fall as ``order`` rises, and must keep its rows few; the numbers
     are then a bucket's offset plus the place within the bucket.
     """
-    bucketed = df.withColumn("_bucket", bucket)
-    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_rows"))
+    bucketed = df.withColumn("_bucket", bucket).withColumn(
+        "_slot", slot(*[F.col(g) for g in groups], F.col("_bucket"))
+    )
+    counts = bucketed.groupBy(*groups, "_bucket", "_slot").agg(F.count("*").alias("_rows"))
     # One row per bucket, not per item.
     before = (
         Window.partitionBy(*groups)
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.select(
-        *groups, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-    )
-    in_bucket = Window.partitionBy(*groups, "_bucket").orderBy(*order)
+    offsets = counts.select("_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    # Written, so that a small table is broadcast; a large one is dealt like the window.
+    offsets = materialize(offsets, "offsets")
+    in_bucket = Window.partitionBy("_slot").orderBy(*order)
     return (
-        null_safe_join(bucketed, offsets, [*groups, "_bucket"], "inner")
+        bucketed.join(offsets, "_slot")
         .withColumn(name, F.col("_offset") + F.row_number().over(in_bucket) - 1)
-        .drop("_bucket", "_offset")
+        .drop("_bucket", "_slot", "_offset")
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seenscope.plans.joins import null_safe_join
+from seenscope.plans.joins import slot
 from seenscope.plans.materialize import materialize
 
 
@@ -34,23 +34,22 @@ def running_sums(
     )
     # Range bounds come from a sample, so the partition number is stored: both uses below
     # must see the same one.
-    ranged = materialize(by_range.withColumn("_part", F.spark_partition_id()), "ranged")
+    ranged = by_range.withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged.withColumn("_slot", slot(*[F.col(g) for g in groups], F.col("_part"))), "ranged")
     # At most one row per partition and group.
-    parts = ranged.groupBy(*groups, "_part").agg(*[F.sum(x).alias(x) for x in sums])
+    parts = ranged.groupBy(*groups, "_part", "_slot").agg(*[F.sum(x).alias(x) for x in sums])
     group = Window.partitionBy(*groups)
     before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
-        *groups,
-        "_part",
+        "_slot",
         *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_before_{x}") for x in sums],
         *[F.sum(x).over(group).alias(f"total_{x}") for x in sums],
     )
+    offsets = materialize(offsets, "offsets")
     local = (
-        Window.partitionBy(*groups, "_part")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = null_safe_join(ranged, offsets, [*groups, "_part"], "inner")
+    joined = ranged.join(offsets, "_slot")
     for x in sums:
         joined = joined.withColumn(f"cum_{x}", F.col(f"_before_{x}") + F.sum(x).over(local))
-    return joined.drop("_part", *[f"_before_{x}" for x in sums])
+    return joined.drop("_part", "_slot", *[f"_before_{x}" for x in sums])

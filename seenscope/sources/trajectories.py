@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seenscope.plans.joins import null_safe_join
 from seenscope.sources import schemas
 from seenscope.sources.items import write_items
 
@@ -46,7 +47,8 @@ def complete(parts: DataFrame, keys: list[str], wanted: int, part: str = "part")
 
 
 def keep_complete(df: DataFrame, parts: DataFrame, keys: list[str], wanted: int) -> DataFrame:
-    return df.join(complete(parts, keys, wanted), keys, "left_semi")
+    """Rows whose key has all ``wanted`` parts; a null in the key is a value like any other."""
+    return null_safe_join(df, complete(parts, keys, wanted), keys, "left_semi")
 
 
 def summarize(trajectory: DataFrame) -> DataFrame:
