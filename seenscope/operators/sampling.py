@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize
-from seenscope.plans.ordering import SEED, mark_first, number_by_hash, order_key
+from seenscope.plans.ordering import SEED, mark_first, number_by_hash, order_key, take_first
 
 # Rows asked for per dataset, and how many of them are not validation rows.
 SAMPLE_ROWS = 1100
@@ -33,7 +33,7 @@ def sample_exact(
     """``n`` rows of each group without replacement (all rows of a smaller group)."""
     groups = ["dataset_name"] if groups is None else groups
     key = order_key("sample", *groups, id_col, seed=seed)
-    return mark_first(df, groups, key, id_col, F.lit(n), "_chosen").where("_chosen").drop("_chosen")
+    return take_first(df, groups, key, id_col, F.lit(n), n)
 
 
 def strata_quota(df: DataFrame, stratum: str = "level", n: int = SAMPLE_ROWS) -> DataFrame:
@@ -57,8 +57,8 @@ def sample_stratified(
     # The quota is constant in a dataset; it groups the strata without changing them.
     groups = ["dataset_name", stratum, "quota"]
     key = order_key("sample", "dataset_name", id_col, seed=seed)
-    marked = mark_first(with_quota, groups, key, id_col, F.col("quota"), "_chosen")
-    return marked.where("_chosen").drop("_chosen", "quota")
+    most = quotas.agg(F.coalesce(F.max("quota"), F.lit(0))).first()[0]
+    return take_first(with_quota, groups, key, id_col, F.col("quota"), most).drop("quota")
 
 
 def split_positional(

@@ -16,6 +16,9 @@ from seenscope.plans.materialize import materialize
 # Fixed value: the seed of all hash orders.
 SEED = 42
 BUCKET_DIGITS = 4
+# Spark's own bound on ranks that it limits before the shuffle, and its default.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+DEFAULT_GROUP_LIMIT = "1000"
 
 
 def order_key(purpose: str, *columns: str, seed: int = SEED) -> Column:
@@ -68,6 +71,28 @@ def mark_first(
     return marked.withColumn(flag, F.coalesce(first, F.lit(False))).drop("cut_key", "cut_tie")
 
 
+def limits_ranks(df: DataFrame, most: int) -> bool:
+    """Would Spark keep only the first ``most`` rows of each group before it shuffles?"""
+    return most <= int(df.sparkSession.conf.get(GROUP_LIMIT, DEFAULT_GROUP_LIMIT))
+
+
+def take_first(
+    df: DataFrame, groups: list[str], key: Column, tie: str, quota: Column, most: int
+) -> DataFrame:
+    """The first ``quota`` rows of each group; ``most`` is the largest quota.
+
+    A small one is a limit on the rank: each task hands on at most ``most`` rows per group,
+    and the table is read once. A larger one compares rows with a cut-off per group, so that
+    no task sorts a group.
+    """
+    if not limits_ranks(df, most):
+        marked = mark_first(df, groups, key, tie, quota, "_chosen")
+        return marked.where("_chosen").drop("_chosen")
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(key, F.col(tie)))
+    ranked = df.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return ranked.where(F.col("_rank") <= quota).drop("_rank")
+
+
 def number_rows(
     df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str
 ) -> DataFrame:

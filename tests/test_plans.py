@@ -131,6 +131,27 @@ def test_null_safe_join(spark):
     ]
 
 
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_take_first_both_ways(spark, most):
+    data = _hot_rows(600)
+    df = spark.createDataFrame(data + [(None, 10_001, 0), (None, 10_002, 0)], "g STRING, i LONG, v LONG")
+    key = ordering.order_key("test", "g", "i")
+    limited = ordering.take_first(df, ["g"], key, "i", F.lit(most), most)
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert most == 0 or plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+    assert most == 0 or "Partial" in plan
+    wanted = {r["i"] for r in limited.collect()}
+    spark.conf.set(ordering.GROUP_LIMIT, "-1")
+    try:
+        cut = ordering.take_first(df, ["g"], key, "i", F.lit(most), most)
+        assert "WindowGroupLimit" not in cut._jdf.queryExecution().executedPlan().toString()
+        assert {r["i"] for r in cut.collect()} == wanted
+    finally:
+        spark.conf.unset(ordering.GROUP_LIMIT)
+    sizes = Counter(g for g, _, _ in data)
+    assert len(wanted) == sum(min(n, most) for n in sizes.values()) + min(2, most)
+
+
 @pytest.mark.parametrize("quota", [0, 1, 7, 10_000])
 def test_mark_first(spark, quota):
     data = _hot_rows(600)
