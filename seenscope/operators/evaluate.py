@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seenscope.plans.carry import last_before
+from seenscope.plans.histogram import ordered_sums
 from seenscope.plans.joins import null_safe_join
 from seenscope.plans.materialize import materialize
-from seenscope.plans.running import running_sums
 
 BY_K = ["dataset_name", "k"]
 
@@ -24,7 +24,7 @@ def score_counts(
     counts = scores.groupBy(*groups, F.col(score).alias("score")).agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    return running_sums(counts, groups, "score", ["pos", "neg"])
+    return ordered_sums(counts.withColumn("score", F.col("score").cast("double")), groups, "score", ["pos", "neg"])
 
 
 def _auc() -> Column:
