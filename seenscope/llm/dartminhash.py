@@ -12,12 +12,17 @@ Signatures are cut into bands. Documents that share a band are candidates; a can
 is linked if the exact weighted similarity of its shingles reaches the limit. Classes are the
 connected components of the links.
 
-Hot buckets: no pairs are formed inside a bucket at first. Each document is compared with
-one pivot only, the document that meets most others in all their buckets, then with further
-pivots in buckets that still hold several classes; only where pivots leave a bucket divided are the members
-outside its largest class compared with the rest, as a join whose condition estimates the
-similarity from the signatures before any text is fetched. Pairs already in one class need no
-comparison, so no link between different texts is lost.
+Texts, not ids, are what is compared: the node of a text is its digest, so copies count once
+and rows that repeat an id keep their own texts.
+
+Hot buckets: no pairs are formed inside a bucket at first. Each text is compared with one
+pivot only, the text that meets most others in all their buckets, then with further pivots in
+buckets that still hold several classes. Where pivots leave a bucket divided, its members are
+joined by the rarest of their shingles: two sets at the limit share one of the first few in
+the order of their frequency among the members, and at places that leave room for the
+required overlap. A copy whose own edits take it below the limit to the original has nothing
+but shingles of its own there, so a group of such copies forms no pairs, while no pair at the
+limit is lost. Pairs already in one class need no comparison.
 """
 
 from __future__ import annotations
@@ -40,8 +45,10 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 8
 ESTIMATED = 128  # coordinates kept, one byte of each, to estimate a similarity
-# Which member of a bucket's largest class the others are compared with; at last, all.
-PICKS = ("central", "last", None)
+# Which member of a bucket's largest class the others are compared with.
+PICKS = ("central", "last")
+# Sets are joined by classes of their size, each this much wider than the one before.
+SIZE_STEP = 1.02
 # A pair whose signatures agree on less than this share is not fetched: at the similarity
 # limit it lies six standard deviations below the expected share.
 LEAST_ESTIMATE = 0.59
@@ -152,8 +159,13 @@ def _signed(texts: pa.Array, bands: int, rows: int) -> Iterator[tuple[int, np.nd
         yield words.first, np.ascontiguousarray(low).view(np.int64), keys.view(np.int64)
 
 
+def digest(text: str) -> Column:
+    """What a text is known by: 16 bytes; a null text counts as an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(id, same, signature, bands)`` per row; ``same`` is a digest of the text. Texts
+    """``(id, node, signature, bands)`` per row; ``node`` is the digest of the text. Texts
     without a word have neither signature nor bands (null)."""
 
     def run(batches):
@@ -169,14 +181,12 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int =
                 lists = [pa.compute.if_else(empty, pa.scalar(None, x.type), x) for x in lists]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), batch.column(1).slice(first, n), *lists],
-                    ["id", "same", "signature", "bands"],
+                    ["id", "node", "signature", "bands"],
                 )
 
     reachable(docs.sparkSession)
-    rows_in = docs.select(
-        F.col(key).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("same"), F.col(text).alias("text")
-    )
-    return rows_in.mapInArrow(run, "id LONG, same STRING, signature ARRAY<LONG>, bands ARRAY<LONG>")
+    rows_in = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("node"), F.col(text).alias("text"))
+    return rows_in.mapInArrow(run, "id LONG, node BINARY, signature ARRAY<LONG>, bands ARRAY<LONG>")
 
 
 def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -223,83 +233,145 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             )
 
     both = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    return both.mapInArrow(run, "a LONG, b LONG")
+    return both.mapInArrow(run, "a BINARY, b BINARY")
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, candidates: DataFrame, pick: str | None) -> DataFrame:
-    """Pairs ``(a, b)`` of different classes that share a bucket: members outside the bucket's
-    largest class with a pivot of that class (its central or last document), or with all."""
+def _divided(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(bucket, node, label, largest, central, last)`` of the buckets that hold several
+    classes, with the largest class and its central and last text."""
     labelled = materialize(
-        buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "bucket", "id", "degree", F.coalesce("label", "id").alias("label")
+        buckets.join(labels, "node", "left").select(
+            "bucket", "node", "degree", F.coalesce("label", "node").alias("label")
         ),
         "labelled",
     )
     classes = labelled.groupBy("bucket", "label").agg(
         F.count("*").alias("n"),
-        F.max("id").alias("last"),
-        F.max_by("id", F.struct("degree", -F.col("id"))).alias("central"),
+        F.max("node").alias("last"),
+        F.max_by("node", F.struct("degree", "node")).alias("central"),
     )
     size = F.struct("n", "label")
     divided = materialize(
         classes.groupBy("bucket")
         .agg(
             F.count("*").alias("classes"),
-            F.max_by("label", size).alias("largest"),
-            F.max_by(pick or "last", size).alias("pivot"),
+            *[F.max_by(x, size).alias(name) for x, name in (("label", "largest"), ("central", "central"), ("last", "last"))],
         )
         .where("classes > 1"),
         "divided",
     )
-    rows = labelled.join(divided, "bucket")
-    outside = rows.where("label != largest")
-    if pick is not None:
-        return outside.select(
-            F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")
-        )
+    return labelled.join(divided, "bucket").select("bucket", "node", "label", "largest", "central", "last")
 
-    def side(part: DataFrame, end: str) -> DataFrame:
-        named = part.select(
-            "bucket",
-            F.col("id").alias(end),
-            F.col("label").alias(f"label_{end}"),
-            (F.col("label") != F.col("largest")).alias(f"outside_{end}"),
-        )
-        return named.join(_signature(candidates, end), end)
 
-    x, y = side(outside, "a"), side(rows, "b")
-    once = ~F.col("outside_b") | (F.col("a") < F.col("b"))
-    condition = (x["bucket"] == y["bucket"]) & (F.col("label_a") != F.col("label_b")) & once
-    return x.join(y, condition & _alike()).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+def _pivot_pairs(divided: DataFrame, pick: str) -> DataFrame:
+    """Members outside the largest class of a bucket with a pivot of that class."""
+    return divided.where("label != largest").select(
+        F.least(pick, "node").alias("a"), F.greatest(pick, "node").alias("b")
     )
 
 
-def _signature(candidates: DataFrame, end: str) -> DataFrame:
-    return candidates.select(F.col("id").alias(end), F.col("signature").alias(f"signature_{end}"))
+def _elements(texts: DataFrame) -> DataFrame:
+    """``(node, size, elements)``: the shingles of a text, each occurrence an element."""
+
+    def run(batches):
+        for batch in batches:
+            for words in split_words(batch.column(1)):
+                doc, element, weight = weighted(*shingles(words))
+                times = weight.astype(np.int64)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                of = np.repeat(doc, times)
+                every = mix(np.repeat(element, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                size = np.bincount(of, minlength=words.n_docs)
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(every.view(np.int64)))
+                nodes = batch.column(0).slice(words.first, words.n_docs)
+                yield pa.RecordBatch.from_arrays(
+                    [nodes, pa.array(size.astype(np.int64)), lists.cast(pa.list_(pa.int64()))],
+                    ["node", "size", "elements"],
+                )
+
+    return texts.select("node", "text").mapInArrow(run, "node BINARY, size LONG, elements ARRAY<LONG>")
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size) / float(np.log(SIZE_STEP)))
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs of ``members(node, label)`` of different classes that may reach ``least``.
+
+    Elements are ordered by their frequency among the members. Of two sets at the limit,
+    the first common element stands in the smaller set before all but ``2t/(1+t)`` of it, in
+    the larger one of size ``s`` before all but ``t/(1+t)`` of both sizes. The smaller one is
+    filed by its size class, so the larger one looks no deeper than each class needs.
+    Elements of one member only take up places and are joined with nothing.
+    """
+    share = least / (1 + least)
+    listed = materialize(_elements(texts.join(members, "node", "left_semi")), "elements")
+    each = listed.select("node", "size", F.explode("elements").alias("element"))
+    shared = each.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    known = each.join(shared, "element").groupBy("node", "size")
+    known = known.agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("shared"))
+    own = F.col("size") - F.size("shared")
+    deepest = F.floor(F.col("size") * (1 - least) + 1e-6) + 1
+    placed = materialize(
+        known.where(own < deepest)
+        .join(members, "node")
+        .select(
+            "node",
+            "label",
+            "size",
+            own.alias("own"),
+            F.posexplode(F.slice("shared", 1, (deepest - own).cast("int"))).alias("i", "at"),
+        )
+        .select("node", "label", "size", (F.col("own") + F.col("i") + 1).alias("place"), "at.element"),
+        "places",
+    )
 
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        names = [F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "size", "place")]
+        return rows.select("element", "class", *names)
 
-def _alike() -> Column:
-    return _agreement(F.col("signature_a"), F.col("signature_b")) >= LEAST_ESTIMATE
+    size, place = F.col("size"), F.col("place")
+    filed = placed.where(place <= size * (1 - 2 * share) + 1 + 1e-6).withColumn("class", _size_class(size))
+    asked = placed.withColumn(
+        "class", F.explode(F.sequence(_size_class(size * (least - 1e-9)), _size_class(size)))
+    )
+    smallest = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("class")), size * least)
+    asked = asked.where(place <= size + 1 + 1e-6 - share * (size + smallest))
+    room = F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b")) + 1
+    return (
+        side(filed, "a")
+        .join(side(asked, "b"), ["element", "class"])
+        .where("label_a != label_b AND struct(size_a, node_a) < struct(size_b, node_b)")
+        .where(room + 1e-6 >= share * F.expr("size_a + size_b"))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    )
 
 
 def _promising(pairs: DataFrame, tried: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs not tried before whose signatures agree well enough to fetch the texts."""
+    """The pairs not tried before that share a band and whose signatures agree well enough
+    to fetch the texts."""
+
+    def side(end: str) -> DataFrame:
+        return candidates.select(*[F.col(c).alias(f"{c}_{end}") for c in ("node", "signature", "bands")]).withColumnRenamed(f"node_{end}", end)
+
+    alike = _agreement(F.col("signature_a"), F.col("signature_b")) >= LEAST_ESTIMATE
     return (
         pairs.distinct()
         .join(tried, ["a", "b"], "left_anti")
-        .join(_signature(candidates, "a"), "a")
-        .join(_signature(candidates, "b"), "b")
-        .where(_alike())
+        .join(side("a"), "a")
+        .join(side("b"), "b")
+        .where(alike & F.arrays_overlap("bands_a", "bands_b"))
         .select("a", "b")
     )
 
 
-def near_duplicates(
+def classes(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
@@ -307,60 +379,79 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """``(doc_id, class_id)`` per input row.
-
-    ``class_id`` is the smallest id among the documents linked to it, directly or through
-    others; equal texts are always in one class. A null text counts as an empty one, and
-    texts without words are near duplicates of equal texts only. Rows with a null id are
-    left out; rows that repeat an id are given back once each. An empty table gives an empty
-    result; further columns are ignored.
+    """``(doc_id, digest, class_id, kept)`` per input row with an id.
+
+    ``class_id`` is the smallest id among the texts linked to this one, directly or through
+    others; equal texts are always in one class. ``kept`` marks the text of a class that
+    stands for it, at its smallest id: the one with that id, by digest if an id has several.
+    A null text counts as an empty one, and texts without words are near duplicates of equal
+    texts only. Rows with a null id are left out. Rows that repeat an id are judged by their
+    own texts: equal ones are given back once each, different ones are linked only if alike,
+    and two classes may then report one id. An empty table gives an empty result; further
+    columns are ignored.
     """
-    signed = materialize(sign(docs.where(F.col(key).isNotNull()), key, text, bands, rows), "signatures")
-    # One representative per text.
-    copies = materialize(signed.groupBy("same").agg(F.min("id").alias("rep")), "copies")
-    members = materialize(
-        signed.select("id", "same").join(copies, "same").select("id", "rep"), "members"
-    )
-    reps = signed.join(copies.select("same", F.col("rep").alias("id")), ["same", "id"], "left_semi")
-    reps = materialize(reps.dropDuplicates(["id"]).select("id", "signature", "bands"), "reps")
-    placed = reps.select("id", F.explode("bands").alias("bucket"))
+    docs = docs.where(F.col(key).isNotNull())
+    signed = materialize(sign(docs, key, text, bands, rows), "signatures")
+    # One row per text.
+    copies = materialize(signed.groupBy("node").agg(F.min("id").alias("first")), "copies")
+    firsts = signed.join(copies.withColumnRenamed("first", "id"), ["node", "id"], "left_semi")
+    reps = materialize(firsts.dropDuplicates(["node"]).select("node", "signature", "bands"), "reps")
+    placed = reps.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(placed.join(shared, "bucket"), "buckets")
-    # How many others a document meets in all its buckets: of copies edited each in another
+    # How many others a text meets in all its buckets: of copies edited each in another
     # way, the original meets most.
-    degrees = materialize(met.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
-    met = met.select("bucket", "id").join(degrees, "id")
+    degrees = materialize(met.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
+    met = met.select("bucket", "node").join(degrees, "node")
     central = met.groupBy("bucket").agg(
-        F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"), F.max("degree").alias("reach")
+        F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.max("degree").alias("reach")
     )
     buckets = materialize(met.join(central, "bucket"), "met")
-    candidates = materialize(
-        reps.join(buckets, "id", "left_semi").select("id", "signature"), "candidates"
-    )
-    # Copies have one text: that of the representative is read.
+    candidates = materialize(reps.join(degrees, "node", "left_semi"), "candidates")
+    # Copies have one text: that of the first id is read.
+    wanted = candidates.select("node").join(copies, "node").withColumnRenamed("first", "id")
     texts = materialize(
-        docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-        .join(candidates.select("id"), "id", "left_semi")
-        .dropDuplicates(["id"]),
+        docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("node"), F.col(text).alias("text"))
+        .join(wanted, ["id", "node"], "left_semi")
+        .dropDuplicates(["node"])
+        .select("node", "text"),
         "candidate-texts",
     )
-    best = buckets.groupBy("id").agg(F.max_by("pivot", F.struct("reach", -F.col("pivot"))).alias("pivot"))
-    first = best.where("id != pivot").select(
-        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
+    best = buckets.groupBy("node").agg(F.max_by("pivot", F.struct("reach", "pivot")).alias("pivot"))
+    first = best.where("node != pivot").select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     )
-    first = materialize(first.distinct(), "first-pairs")
-    links = materialize(_verified(first, texts, least), "links")
-    tried = first
-    labels, labelled = components(links), links
-    for pick in PICKS:
-        pairs = materialize(
-            _promising(_open_pairs(buckets, labels, candidates, pick), tried, candidates), "pairs"
-        )
-        if not pairs.isEmpty():
-            tried = tried.select("a", "b").union(pairs)
-            links = materialize(links.union(_verified(pairs, texts, least)), "links")
-        if links is not labelled:
-            labels, labelled = components(links), links
-    return members.join(
-        labels.select(F.col("node").alias("rep"), "label"), "rep", "left"
-    ).select(F.col("id").alias("doc_id"), F.coalesce("label", "rep").alias("class_id"))
+    tried = materialize(first.distinct(), "first-pairs")
+    links = materialize(_verified(tried, texts, least), "links")
+    labels = components(links)
+    for pick in (*PICKS, None):
+        divided = _divided(buckets, labels)
+        if pick is None:
+            members = materialize(divided.select("node", "label").distinct(), "members")
+            found = _rare_pairs(members, texts, least)
+        else:
+            found = _pivot_pairs(divided, pick)
+        pairs = materialize(_promising(found, tried, candidates), "pairs")
+        more = materialize(_verified(pairs, texts, least), "more-links")
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+    # The smallest id of a class, and the text at it.
+    place = F.min(F.struct("first", "node")).alias("least")
+    named = labels.join(copies, "node").groupBy("label").agg(place)
+    linked = labels.join(named, "label").select("node", "least")
+    known = copies.join(linked, "node", "left").select(
+        "node", "first", F.coalesce("least", F.struct("first", "node")).alias("least")
+    )
+    return signed.select("id", "node").join(materialize(known, "classes"), "node").select(
+        F.col("id").alias("doc_id"),
+        F.col("node").alias("digest"),
+        F.col("least.first").alias("class_id"),
+        ((F.col("least.node") == F.col("node")) & (F.col("id") == F.col("first"))).alias("kept"),
+    )
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``(doc_id, class_id)`` per input row, as in ``classes``."""
+    return classes(docs, key, text, least, bands, rows).select("doc_id", "class_id")

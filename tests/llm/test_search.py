@@ -234,6 +234,49 @@ def test_near_duplicates_of_odd_tables(spark):
     assert {(r["doc_id"], r["class_id"]) for r in found} == {(4, 2), (2, 2)}
 
 
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(11)
+    a, b = text(rng, 90), text(rng, 90)
+    near = a.split(" ")
+    near[40] = "edited"
+    near = " ".join(near)
+    rows = [(1, a, "", 1), (1, b, "", 1), (2, a, "", 1), (3, b, "", 1), (3, near, "", 1), (1, b, "", 1)]
+    found = dartminhash.classes(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(found) == 6 and {r["class_id"] for r in found} == {1}
+    kept = {(r["doc_id"], bytes(r["digest"]).hex()) for r in found if r["kept"]}
+    assert kept == {(1, hashlib.md5(x.encode()).hexdigest()) for x in (a, b)}
+
+
+def test_pairs_of_copies_below_the_limit_grow_in_proportion(spark, monkeypatch):
+    """Each copy has three words of its own: 0.77 to the original, 0.59 to each other."""
+    rng = random.Random(12)
+    base = text(rng, 120).split(" ")
+    texts = [" ".join(base)]
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(6, 108, 6), 3):
+            copy[at + rng.randrange(2)] = f"edit{i}x{at}"
+        texts.append(" ".join(copy))
+    # Copies of copies, which are linked.
+    for i in (7, 230):
+        texts.append(texts[i].replace(texts[i].split(" ")[60], "again"))
+    opened = []
+    verified = dartminhash._verified
+    monkeypatch.setattr(dartminhash, "_verified", lambda pairs, *rest: opened.append(pairs.count()) or verified(pairs, *rest))
+    totals = []
+    for n in (200, 400):
+        df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts) if i <= n or i > 400], DOCS)
+        opened.clear()
+        found = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(df).collect()}
+        totals.append(sum(opened))
+        bags = {i: shingle_bag(texts[i]) for i in found}
+        near = {i: 7 for i in found if weighted_jaccard(bags[i], bags[7]) >= 0.8}
+        assert found[401] == 7 and set(near) == {7, 401} and found[402] == (230 if n == 400 else 402)
+        alone = [i for i in found if i not in (7, 230, 401, 402)]
+        assert all(found[i] == i for i in alone)
+    assert totals[1] <= 2.5 * totals[0]
+
+
 def edit_distance(item, t):
     """To the best matching substring of ``t``."""
     last = [0] * (len(t) + 1)
