@@ -29,17 +29,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class."""
-    docs = docs.select(*COLUMNS)
-    classes = dartminhash.near_duplicates(docs)
-    dropped = materialize(classes.where("doc_id != class_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    # Rows that repeat an id have one text only if they are copies; one of them stays.
-    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """Keep one text of each class, at its smallest id. Rows are told apart by id and text;
+    of rows equal in both, one stays."""
+    docs = docs.select(*COLUMNS).withColumn("digest", dartminhash.digest("text"))
+    same = ["doc_id", "digest"]
+    judged = materialize(dartminhash.classes(docs).select(*same, "kept"), "judged")
+    dropped = materialize(judged.where("NOT kept").select(*same).distinct(), "dropped")
+    kept = docs.join(dropped, same, "left_anti")
+    repeated = materialize(judged.where("kept").groupBy(*same).count().where("count > 1").select(*same), "repeated")
     if repeated.isEmpty():
         return kept.select(*COLUMNS)
-    once = kept.join(repeated, "doc_id", "left_anti")
-    copies = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = kept.join(repeated, same, "left_anti")
+    copies = kept.join(repeated, same, "left_semi").dropDuplicates(same)
     return once.unionByName(copies).select(*COLUMNS)
 
 
