@@ -12,8 +12,9 @@ Signatures are cut into bands. Documents that share a band are candidates; a can
 is linked if the exact weighted similarity of its shingles reaches the limit. Classes are the
 connected components of the links.
 
-Texts, not ids, are what is compared: the node of a text is its digest, so copies count once
-and rows that repeat an id keep their own texts.
+Texts, not ids, are what is compared: copies count once, and rows that repeat an id keep
+their own texts. The node of a text is its smallest id; only where several texts share that
+id, a 64-bit hash of id and digest, as numbers take less to shuffle than digests.
 
 Hot buckets: no pairs are formed inside a bucket at first. Each text is compared with one
 pivot only, the text that meets most others in all their buckets, then with further pivots in
@@ -165,7 +166,7 @@ def digest(text: str) -> Column:
 
 
 def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(id, node, signature, bands)`` per row; ``node`` is the digest of the text. Texts
+    """``(id, same, signature, bands)`` per row; ``same`` is the digest of the text. Texts
     without a word have neither signature nor bands (null)."""
 
     def run(batches):
@@ -181,12 +182,12 @@ def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int =
                 lists = [pa.compute.if_else(empty, pa.scalar(None, x.type), x) for x in lists]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), batch.column(1).slice(first, n), *lists],
-                    ["id", "node", "signature", "bands"],
+                    ["id", "same", "signature", "bands"],
                 )
 
     reachable(docs.sparkSession)
-    rows_in = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("node"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(run, "id LONG, node BINARY, signature ARRAY<LONG>, bands ARRAY<LONG>")
+    rows_in = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("same"), F.col(text).alias("text"))
+    return rows_in.mapInArrow(run, "id LONG, same BINARY, signature ARRAY<LONG>, bands ARRAY<LONG>")
 
 
 def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -237,7 +238,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    return both.mapInArrow(run, "a BINARY, b BINARY")
+    return both.mapInArrow(run, "a LONG, b LONG")
 
 
 def _divided(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -294,7 +295,7 @@ def _elements(texts: DataFrame) -> DataFrame:
                     ["node", "size", "elements"],
                 )
 
-    return texts.select("node", "text").mapInArrow(run, "node BINARY, size LONG, elements ARRAY<LONG>")
+    return texts.select("node", "text").mapInArrow(run, "node LONG, size LONG, elements ARRAY<LONG>")
 
 
 def _size_class(size: Column) -> Column:
@@ -371,6 +372,14 @@ def _promising(pairs: DataFrame, tried: DataFrame, candidates: DataFrame) -> Dat
     )
 
 
+def _numbered(signed: DataFrame) -> DataFrame:
+    """``(same, first, node)`` per text: its digest, smallest id and node."""
+    copies = materialize(signed.groupBy("same").agg(F.min("id").alias("first")), "firsts")
+    several = copies.groupBy("first").agg(F.count("*").alias("n")).where("n > 1")
+    node = F.when(F.col("n").isNull(), F.col("first")).otherwise(F.xxhash64("first", "same"))
+    return copies.join(materialize(several, "several"), "first", "left").select("same", "first", node.alias("node"))
+
+
 def classes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -383,7 +392,7 @@ def classes(
 
     ``class_id`` is the smallest id among the texts linked to this one, directly or through
     others; equal texts are always in one class. ``kept`` marks the text of a class that
-    stands for it, at its smallest id: the one with that id, by digest if an id has several.
+    stands for it, at its smallest id: the text with that id, one of them if several are linked.
     A null text counts as an empty one, and texts without words are near duplicates of equal
     texts only. Rows with a null id are left out. Rows that repeat an id are judged by their
     own texts: equal ones are given back once each, different ones are linked only if alike,
@@ -392,9 +401,9 @@ def classes(
     """
     docs = docs.where(F.col(key).isNotNull())
     signed = materialize(sign(docs, key, text, bands, rows), "signatures")
+    copies = materialize(_numbered(signed), "copies")
     # One row per text.
-    copies = materialize(signed.groupBy("node").agg(F.min("id").alias("first")), "copies")
-    firsts = signed.join(copies.withColumnRenamed("first", "id"), ["node", "id"], "left_semi")
+    firsts = signed.join(copies.withColumnRenamed("first", "id"), ["same", "id"])
     reps = materialize(firsts.dropDuplicates(["node"]).select("node", "signature", "bands"), "reps")
     placed = reps.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -409,10 +418,11 @@ def classes(
     buckets = materialize(met.join(central, "bucket"), "met")
     candidates = materialize(reps.join(degrees, "node", "left_semi"), "candidates")
     # Copies have one text: that of the first id is read.
-    wanted = candidates.select("node").join(copies, "node").withColumnRenamed("first", "id")
+    wanted = materialize(candidates.select("node").join(copies, "node"), "wanted")
     texts = materialize(
-        docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("node"), F.col(text).alias("text"))
-        .join(wanted, ["id", "node"], "left_semi")
+        docs.select(F.col(key).cast("long").alias("first"), F.col(text).alias("text"))
+        .join(wanted, "first")
+        .where(digest("text") == F.col("same"))
         .dropDuplicates(["node"])
         .select("node", "text"),
         "candidate-texts",
@@ -442,11 +452,11 @@ def classes(
     named = labels.join(copies, "node").groupBy("label").agg(place)
     linked = labels.join(named, "label").select("node", "least")
     known = copies.join(linked, "node", "left").select(
-        "node", "first", F.coalesce("least", F.struct("first", "node")).alias("least")
+        "same", "node", "first", F.coalesce("least", F.struct("first", "node")).alias("least")
     )
-    return signed.select("id", "node").join(materialize(known, "classes"), "node").select(
+    return signed.select("id", "same").join(materialize(known, "classes"), "same").select(
         F.col("id").alias("doc_id"),
-        F.col("node").alias("digest"),
+        F.col("same").alias("digest"),
         F.col("least.first").alias("class_id"),
         ((F.col("least.node") == F.col("node")) & (F.col("id") == F.col("first"))).alias("kept"),
     )
