@@ -1,9 +1,12 @@
 """Chat formatting with schema fingerprints, in DataFrame functions only.
 
-Layouts. Records come as tables of any shape or as JSON texts of mixed shapes. The known
-nested field paths that a table or a record has are hashed; the fingerprint selects a
-declarative mapping that turns the record into canonical turns, an array of ``(role, text)``.
-Unknown further fields are ignored, so they may bear any name.
+Layouts. Records come as tables of any shape, as tables with one row per turn, or as JSON texts
+of mixed shapes. A layout is a set of nested field paths and a declarative mapping to canonical
+turns, an array of ``(role, text)``. Of the layouts whose paths a table or record has, the first
+in ``LAYOUTS`` claims them; the fingerprint, a hash of the claimed paths, selects the mapping.
+Other fields are ignored, whether or not another layout knows them: ``messages`` stand before
+``instruction`` with ``input``, and that before pairs such as ``prompt`` and ``completion``. A
+field ``system`` beside any of them becomes the first turn.
 
 Template. A turn is ``<|role|>``, a line feed, the text, ``<|end|>`` and a line feed. Control
 strings of this and of other common templates inside a text or role are broken up by percent
@@ -19,7 +22,7 @@ aggregated on the map side and shuffled once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,75 +61,85 @@ class Layout:
 
     name: str
     paths: tuple[str, ...]
-    turns: Callable[[Callable[[str, str], Column]], Column]
+    turns: Callable[[Callable[[str], Column]], Column]
 
     @property
     def fingerprint(self) -> str:
         return fingerprint(self.paths)
 
 
-def fingerprint(paths) -> str:
-    return hashlib.sha256(",".join(sorted(paths)).encode()).hexdigest()
+def _joined(paths: Iterable[str]) -> str:
+    return ",".join(sorted(paths))
 
 
-def _turn(role: str, text: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), text.alias("text"))
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.sha256(_joined(paths).encode()).hexdigest()
+
+
+def _turn(role: str | Column, text: Column) -> Column:
+    role = F.lit(role) if isinstance(role, str) else role
+    return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _single(*fields: str) -> Callable:
     """One user turn of all fields but the last, which is the answer."""
 
     def turns(get):
-        asked = F.concat_ws("\n\n", *[F.nullif(get(f, "string"), F.lit("")) for f in fields[:-1]])
-        return F.array(_turn("user", asked), _turn(ASSISTANT, F.coalesce(get(fields[-1], "string"), F.lit(""))))
+        asked = F.concat_ws("\n\n", *[F.nullif(get(f), F.lit("")) for f in fields[:-1]])
+        return F.array(_turn("user", asked), _turn(ASSISTANT, get(fields[-1])))
 
     return turns
 
 
-def _with_system(fields: tuple[str, ...]) -> Callable:
+def _list(field: str, role: str, text: str) -> Callable:
+    """A turn per element of a list."""
+
     def turns(get):
-        first = F.array(_turn("system", F.coalesce(get("system", "string"), F.lit(""))))
-        return F.concat(first, _single(*fields)(get))
+        known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+        name = lambda m: F.coalesce(known[F.lower(m[role])], m[role], F.lit(""))
+        return F.coalesce(F.transform(get(f"{field}[]"), lambda m: _turn(name(m), m[text])), F.array().cast(TURNS))
 
     return turns
 
 
-def _list(field: str, role: str, text: str) -> Callable:
-    def turns(get):
-        known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-        items = F.coalesce(get(field, f"array<struct<{role}: string, {text}: string>>"), F.array().cast(f"array<struct<{role}: string, {text}: string>>"))
-        return F.transform(
-            items,
-            lambda m: F.struct(
-                F.coalesce(known[F.lower(m[role])], m[role], F.lit("")).alias("role"),
-                F.coalesce(m[text], F.lit("")).alias("text"),
-            ),
-        )
+def _row(get) -> Column:
+    """The turn that a row of a turn table holds."""
+    return F.array(_turn(F.coalesce(get("role"), F.lit("")), get("text")))
 
-    return turns
 
+def _after_system(turns: Callable) -> Callable:
+    def after(get):
+        first = F.when(get("system").isNotNull(), F.array(_turn("system", get("system")))).otherwise(F.array().cast(TURNS))
+        return F.concat(first, turns(get))
+
+    return after
 
-LAYOUTS = [
+
+TURN_ROWS = Layout("turn-rows", ("turn", "role", "text"), _row)
+LISTS = {"messages": ("role", "content"), "conversations": ("from", "value")}
+_RECORDS = [
+    *[Layout(x, tuple(f"{x}[].{f}" for f in fields), _list(x, *fields)) for x, fields in LISTS.items()],
     *[
         Layout("-".join(fields), fields, _single(*fields))
         for fields in (
+            ("instruction", "input", "output"),
+            ("instruction", "output"),
+            ("instruction", "response"),
             ("prompt", "completion"),
             ("prompt", "response"),
             ("question", "answer"),
-            ("instruction", "output"),
-            ("instruction", "response"),
-            ("instruction", "input", "output"),
         )
     ],
-    *[
-        Layout("system-" + "-".join(fields), ("system", *fields), _with_system(fields))
-        for fields in (("prompt", "response"), ("instruction", "output"), ("instruction", "input", "output"))
-    ],
-    Layout("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content")),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
 ]
-KNOWN_PATHS = sorted({p for layout in LAYOUTS for p in layout.paths})
-TURN_ROWS = ("turn", "role", "text")
+# From the one that claims its fields first to the last.
+RECORDS = [
+    x
+    for layout in _RECORDS
+    for x in (Layout(f"system-{layout.name}", ("system", *layout.paths), _after_system(layout.turns)), layout)
+]
+LAYOUTS = [TURN_ROWS, *RECORDS]
+BY_FINGERPRINT = {x.fingerprint: x for x in LAYOUTS}
+KNOWN_PATHS = sorted({p for layout in RECORDS for p in layout.paths})
 
 
 def paths_of(kind: DataType, prefix: str = "") -> list[str]:
@@ -138,48 +151,70 @@ def paths_of(kind: DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def _layout(paths) -> Layout | None:
-    wanted = fingerprint(p for p in paths if p in KNOWN_PATHS)
-    return next((x for x in LAYOUTS if x.fingerprint == wanted), None)
+def schema_fingerprint(paths: Iterable[str]) -> str:
+    """Hash of the paths that a layout claims, or of all if none does."""
+    there = set(paths)
+    return fingerprint(next((x.paths for x in LAYOUTS if there.issuperset(x.paths)), there))
 
 
 def canonical_table(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """``(key, turns)`` of a table in any known layout, or with one row per turn."""
+    """``(key, turns)`` of a table in any known layout, or with one row per turn.
+
+    Null values count as empty, and a null ``system`` adds no turn. Records stay one row each,
+    also if they repeat a key. Turn rows of one key, null like any other, are one conversation.
+    """
     paths = paths_of(df.schema)
-    layout = _layout(paths)
-    if layout is not None:
-        return df.select(key, layout.turns(lambda path, kind: F.col(path).cast(kind)).cast(TURNS).alias("turns"))
-    if not set(TURN_ROWS) <= set(paths):
+    layout = BY_FINGERPRINT.get(schema_fingerprint(paths))
+    if layout is None:
         raise ValueError(f"no layout for the fields {', '.join(paths)}")
-    turn = F.struct(
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    ordered = F.array_sort(F.collect_list(turn))
-    rows = df.groupBy(F.col(key)).agg(ordered.alias("turns"))
-    return rows.select(key, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+    def get(path: str) -> Column:
+        if not path.endswith("[]"):
+            return F.col(path).cast("string")
+        field = path.removesuffix("[]")
+        return F.transform(F.col(field), lambda m: F.struct(*[m[x].cast("string").alias(x) for x in LISTS[field]]))
+
+    turns = layout.turns(get).cast(TURNS).alias("turns")
+    if layout is not TURN_ROWS:
+        return df.select(key, turns)
+    # Ordered by number, then role and text.
+    numbered = F.struct(F.col("turn").cast("long").alias("turn"), turns[0].alias("said"))
+    rows = df.groupBy(F.col(key)).agg(F.array_sort(F.collect_list(numbered)).alias("turns"))
+    return rows.select(key, F.transform("turns", lambda t: t["said"]).alias("turns"))
 
 
 def canonical_json(df: DataFrame, record: str = "record") -> DataFrame:
     """``df`` with ``fingerprint``, ``layout`` and ``turns`` of a JSON text per row.
 
-    Each row may have another layout. Text that is not JSON, null or of no known layout has a
-    null layout and null turns. Columns of these names are replaced.
+    Each row may have another layout, and a record may have the fields of several. Fields are
+    known by their values: a null one counts as absent, a list's field as there if any element
+    has it. Text that is not JSON, null or of no known layout has a null layout and null turns,
+    and the fingerprint of what known paths it has. Columns of these names are replaced.
     """
     value = F.try_parse_json(F.col(record))
 
-    def get(path: str, kind: str) -> Column:
-        return F.try_variant_get(value, f"$.{path}", kind)
+    def get(path: str) -> Column:
+        if not path.endswith("[]"):
+            return F.try_variant_get(value, f"$.{path}", "string")
+        field = path.removesuffix("[]")
+        kind = ", ".join(f"{x}: string" for x in LISTS[field])
+        return F.try_variant_get(value, f"$.{field}", f"array<struct<{kind}>>")
 
     def has(path: str) -> Column:
-        return get(path.replace("[].", "[0]."), "string").isNotNull()
-
-    # Fields are known by their values: a null field counts as absent.
-    present = F.array_compact(F.array(*[F.when(has(p), F.lit(p)) for p in KNOWN_PATHS]))
-    found = df.withColumn("fingerprint", F.sha2(F.array_join(present, ","), 256))
+        if "[]." not in path:
+            return get(path).isNotNull()
+        field, leaf = path.split("[].")
+        return F.coalesce(F.exists(get(f"{field}[]"), lambda m: m[leaf].isNotNull()), F.lit(False))
+
+    there = F.array_compact(F.array(*[F.when(has(p), F.lit(p)) for p in KNOWN_PATHS]))
+    found = df.withColumn("fingerprint", there)
+    claimed = [
+        F.when(F.forall(F.array(*[F.lit(p) for p in x.paths]), lambda p: F.array_contains("fingerprint", p)), F.lit(_joined(x.paths)))
+        for x in RECORDS
+    ]
+    found = found.withColumn("fingerprint", F.sha2(F.coalesce(*claimed, F.array_join("fingerprint", ",")), 256))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for x in LAYOUTS:
+    for x in RECORDS:
         chosen = F.col("fingerprint") == x.fingerprint
         layout = F.when(chosen, F.lit(x.name)).otherwise(layout)
         turns = F.when(chosen, x.turns(get).cast(TURNS)).otherwise(turns)

@@ -224,6 +224,44 @@ def test_mixed_json_layouts(spark):
     assert all(r["turns"] is None for r in found[len(records) :])
 
 
+def test_json_records_with_fields_of_several_layouts(spark):
+    said = [{"role": "system", "content": None}, {"role": "user", "content": "q"}, {"content": "a", "role": "assistant"}]
+    pair = [("user", "q"), ("assistant", "a")]
+    cases = [
+        ({"prompt": "q", "completion": "a", "system": "s"}, "system-prompt-completion", [("system", "s"), *pair]),
+        ({"question": "q", "answer": "a", "system": ""}, "system-question-answer", [("system", ""), *pair]),
+        ({"question": "q", "answer": "a", "system": None}, "question-answer", pair),
+        ({"prompt": "x", "messages": said}, "messages", [("system", ""), *pair]),
+        ({"prompt": "x", "completion": "y", "system": "s", "messages": said[1:]}, "system-messages", [("system", "s"), *pair]),
+        ({"prompt": "q", "completion": "a", "messages": []}, "prompt-completion", pair),
+        ({"prompt": "x", "instruction": "q", "output": "a", "response": "b"}, "instruction-output", pair),
+        ({"system": "s", "prompt": "q"}, None, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(cases)], "id LONG, record STRING")
+    found = chat.canonical_json(df).orderBy("id").collect()
+    assert [r["layout"] for r in found] == [layout for _, layout, _ in cases]
+    assert [r["turns"] and [tuple(t) for t in r["turns"]] for r in found] == [turns for _, _, turns in cases]
+    assert all(chat.BY_FINGERPRINT[r["fingerprint"]].name == r["layout"] for r in found[:-1])
+    assert found[-1]["fingerprint"] == chat.fingerprint(["system", "prompt"])
+
+
+def test_turn_tables_are_chosen_by_fingerprint(spark):
+    turns = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
+    wanted = chat.TURN_ROWS.fingerprint
+    assert chat.schema_fingerprint(chat.paths_of(turns.schema)) == wanted
+    clashing = turns.withColumns({"prompt": F.lit("x"), "response": F.lit("y"), "turns": F.lit(1)})
+    assert chat.schema_fingerprint(chat.paths_of(clashing.schema)) == wanted
+    assert len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
+    assert sorted(chat.canonical_table(clashing).collect()) == sorted(chat.canonical_table(turns).collect())
+
+
+def test_lists_are_read_by_name(spark):
+    kind = "conv_id LONG, messages ARRAY<STRUCT<id: INT, content: STRING, role: STRING>>, system STRING"
+    df = spark.createDataFrame([(1, [(7, "q", "user")], "s"), (2, None, None)], kind)
+    found = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical_table(df).collect()}
+    assert found == {1: [("system", "s"), ("user", "q")], 2: []}
+
+
 def test_table_layouts(spark):
     nested = spark.createDataFrame([(1, [("human", "q"), ("gpt", None)])], "conv_id LONG, conversations ARRAY<STRUCT<`from`: STRING, value: STRING>>")
     flat = spark.createDataFrame([(1, "q", "")], "conv_id LONG, prompt STRING, response STRING")
