@@ -8,9 +8,10 @@ are equal, or of equal shape, which pull their labels together. Labels are infer
 message passing. Skip edges link each token with the next equal one only, so a token that
 repeats without end costs one edge per occurrence.
 
-The weights are learned by pseudo-likelihood from the base spans of a bounded sample of
-about ``SAMPLE`` documents; the same weights are then used for every row. The search itself
-is a map over the rows: nothing is shuffled and no group is formed.
+The weights are learned by pseudo-likelihood from the base spans of a bounded sample: at most
+``SAMPLE`` documents of at most ``TOKENS`` labelled tokens together. The same weights are then
+used for every row. The search itself is a map over the rows: nothing is shuffled and no group
+is formed.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seenscope.llm.words import pieces, reachable, text_bytes
+from seenscope.plans.materialize import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 16384
+TOKENS = 1 << 20  # of the sample
+LONGEST = TOKENS // 64  # tokens of one document of the sample
 SHAPES = 1 << 12
 STEPS = 150
 RATE = 0.5
@@ -270,13 +274,19 @@ def _active(texts: pa.Array) -> np.ndarray:
     return np.concatenate(found)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """Learn the weights from the base spans of about ``sample`` rows, chosen by a hash of
-    the id (rows with a null id have one hash). An empty table gives zero weights, with which
-    nothing is added."""
+def train(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, most: int = TOKENS
+) -> Field:
+    """Learn the weights from the base spans of at most ``sample`` rows and ``most`` tokens.
+
+    Rows are chosen by a hash of id and text, so null and repeated ids are as good as others,
+    while rows equal in both count once. Texts of more than a 64th of ``most`` tokens are used
+    for the search only. An empty table gives zero weights, with which nothing is added.
+    """
     reachable(docs.sparkSession)
     total = docs.count()
     share = int(min(1.0, sample / max(total, 1)) * (1 << 32))
+    longest = max(1, most // 64)
 
     def tokens(batches):
         for batch in batches:
@@ -288,6 +298,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
             edge_at = np.searchsorted(of_edge, np.arange(len(texts) + 1))
             out = []
             for d, row in enumerate(rows.tolist()):
+                if at[d + 1] - at[d] > longest:
+                    continue
                 part = slice(at[d], at[d + 1])
                 edges = found.edges[edge_at[d] : edge_at[d + 1]] - np.array([at[d], at[d], 0])
                 out.append((batch.column(0)[row].as_py(), found.shapes[part].ravel().tolist(), found.label[part].tolist(), edges.ravel().tolist()))
@@ -298,12 +310,17 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["hash", "shapes", "label", "edges"]
                 )
 
-    chosen = docs.select(F.xxhash64(F.col(key).cast("string")).alias("hash"), F.col(text).alias("text"))
+    identity = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    chosen = docs.select(identity.alias("hash"), F.col(text).alias("text"))
     chosen = chosen.where((F.pmod("hash", F.lit(1 << 32)) < share) & F.col("text").rlike("[0-9@]"))
     rows = chosen.mapInArrow(tokens, "hash LONG, shapes ARRAY<INT>, label ARRAY<INT>, edges ARRAY<INT>")
-    got = rows.toPandas().sort_values("hash", kind="stable") if total else None
-    if got is None or not len(got):
+    rows = materialize(rows.dropDuplicates(["hash"]), "labelled-tokens")
+    # In the order of the hash, as many as the bounds leave room for.
+    sizes = rows.select("hash", F.size("label").alias("n")).orderBy("hash").limit(sample).toPandas()
+    sizes = sizes[sizes["n"].cumsum() <= most]
+    if not len(sizes):
         return _new_field()
+    got = rows.where(F.col("hash") <= int(sizes["hash"].iloc[-1])).toPandas().sort_values("hash")
     shapes = np.concatenate([np.array(x, int).reshape(-1, 2) for x in got["shapes"]])
     label = np.concatenate([np.array(x, int) for x in got["label"]])
     first = np.cumsum([len(x) for x in got["label"]]) - [len(x) for x in got["label"]]
@@ -342,7 +359,11 @@ def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document the counts and a digest of its base spans, and all spans as text."""
+    """Per document the counts and a digest of its base spans, and all spans as text.
+
+    Every row is judged by its own text, whether its id is null or repeated; a null text has
+    no spans. Further columns are ignored; an empty table gives an empty result.
+    """
     found = find(docs.select("doc_id", "text"), train(docs))
 
     def of_kind(spans: str | Column, kind: str) -> Column:
@@ -367,7 +388,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become
-    one. A null text stays null."""
+    one. A null text stays null, all rows and their other columns stay as they are, and an empty
+    table gives an empty result."""
     spans = F.array_sort(F.concat("base_spans", "added_spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     body, start = F.col(text), F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -214,6 +214,38 @@ def test_random_field_adds_what_patterns_merge(spark):
     assert found[401] == ""
 
 
+def test_what_the_field_learns_from_is_bounded(spark, monkeypatch):
+    seen = []
+    learn = pii.learn
+    monkeypatch.setattr(pii, "learn", lambda shapes, label, edges: seen.append(len(label)) or learn(shapes, label, edges, 2))
+    line = "mail a{}@b.cd now"
+    distinct = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("mail a%s@b.cd now", "id").alias("text"))
+    no_id = distinct.withColumn("doc_id", F.lit(None).cast("long"))
+    one_id = distinct.withColumn("doc_id", F.lit(5).cast("long"))
+    copies = distinct.withColumn("text", F.lit(line.format(1))).withColumn("doc_id", F.lit(1).cast("long"))
+    for df in (distinct, no_id, one_id):
+        pii.train(df, sample=100)
+    assert all(50 <= n <= 100 for n in seen)
+    del seen[:]
+    pii.train(copies)
+    assert seen == [1]  # a token with a digit or an @, once
+    pii.train(no_id, most=640)
+    assert seen[1:] == [640]
+    long_text = spark.createDataFrame([(1, line.format(1) * 50), (2, line.format(2))], "doc_id LONG, text STRING")
+    pii.train(long_text, most=640)
+    assert seen[2:] == [1]
+    assert (pii.train(distinct.where("false")).unary == 0).all()
+
+
+def test_personal_data_of_rows_without_or_with_repeated_ids(spark):
+    rows = [(None, "a@b.cd"), (None, "x"), (3, "1.2.3.4"), (3, "e@f.gh"), (3, "e@f.gh"), (4, None)]
+    found = pii.digest(spark.createDataFrame([(*r, "c") for r in rows], "doc_id LONG, text STRING, spans STRING"))
+    assert sorted((str(r["doc_id"]), r["n_email"], r["n_ip"]) for r in found.collect()) == [
+        ("3", 0, 1), ("3", 1, 0), ("3", 1, 0), ("4", 0, 0), ("None", 0, 0), ("None", 1, 0),
+    ]
+    assert pii.digest(spark.createDataFrame([], "doc_id LONG, text STRING")).count() == 0
+
+
 def test_skip_edges_make_labels_consistent():
     field = pii._new_field()
     token = pii._shapes("12345")
