@@ -6,7 +6,9 @@ and one unknown. Contexts are the words with the largest counts, the beginning o
 classes of all other words by a hash; so totals by context are small tables of fixed size,
 while the counts of words within contexts grow with the corpus and stay distributed.
 
-Words are dealt to buckets by hash. A bucket holds all contexts of its words and hence the
+Words are dealt to buckets by hash; the number of buckets grows with the training tokens, so
+that neither memory nor the result depends on how rows lie in files or on a setting of the
+session. A bucket holds all contexts of its words and hence the
 customers and tables of its words in the shared restaurant, too; a Gibbs sweep seats the
 customers of every word in every context anew, given the totals of the contexts. In the first
 pass buckets estimate the totals of the others from their own; it counts all training tokens
@@ -33,16 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seenscope.llm.words import Words, mix, reachable, split_words
+from seenscope.plans.materialize import materialize
 
 FREQUENT = 511  # words that are contexts of their own, the end token among them
 CLASSES = 64  # of all other words as contexts
 CONTEXTS = 1 + FREQUENT + CLASSES  # and the beginning of a text
-CANDIDATE_SHARE = 4096  # a candidate has more than this share of some part's tokens
+BUCKET_TOKENS = 4 << 20  # training tokens per bucket, about
 STRENGTH = 2.0  # of a context's restaurant
 SHARED_STRENGTH = 10.0
 FIRST_SWEEPS, BURN_IN, SAMPLES = 4, 2, 4
 ONE_BY_ONE = 64
 PART_BYTES = 4 << 20  # of text that is counted and sent together
+HELD = 2_000_000  # counts that a task adds up before it sends them
 STRETCH = 0.1
 SEED = 11
 
@@ -223,25 +227,41 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
-def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
-    """Hashes of the words with the largest counts in the training texts, rising, with the
-    end token. Counted are words frequent in some part of the texts, which all words that
-    are frequent as a whole are."""
+def count_words(docs: DataFrame, text: str) -> DataFrame:
+    """``(word, n)``: hash and count of every token of the texts, added up in the tasks first."""
 
     def run(batches):
+        held: list[tuple] = []
+
+        def send():
+            word, n = _summed(np.concatenate([w for w, _ in held]), np.concatenate([n for _, n in held]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
         for batch in batches:
             for words in split_words(batch.column(0), PART_BYTES):
-                word, _ = tokens(words)
-                found, n = np.unique(word, return_counts=True)
-                keep = n * CANDIDATE_SHARE > len(word)
-                yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep])], ["word", "n"])
+                held.append(np.unique(tokens(words)[0], return_counts=True))
+                if sum(len(w) for w, _ in held) > HELD:
+                    yield send()
+        if held:
+            yield send()
+
+    counted = docs.select(text).mapInArrow(run, "word LONG, n LONG")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    rows = docs.select(text).mapInArrow(run, "word LONG, n LONG").groupBy("word").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+def frequent_words(counts: DataFrame) -> np.ndarray:
+    """Hashes of the words with the largest counts (ties by hash), rising, with the end token."""
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     found = [w for w in (r["word"] % (1 << 64) for r in top) if w != END]
     return np.array(sorted([*found[: FREQUENT - 1], END]), np.uint64)
 
 
+def bucket_number(tokens: int) -> int:
+    """A power of two, so that buckets of a larger table are parts of those of a smaller one."""
+    return 1 << max(0, (tokens - 1) // BUCKET_TOKENS).bit_length()
+
+
 _TOTAL, _SCALAR, _WORD, _SHARED, _CELL = range(5)
 
 
@@ -268,7 +288,7 @@ def learn(docs: DataFrame, frequent: np.ndarray, buckets: int, text: str) -> tup
                 _, context = contexts(word, doc, frequent)
                 key, n = np.unique(word | context.astype(np.uint64), return_counts=True)
                 held.append((key, n))
-                if sum(len(k) for k, _ in held) > 2_000_000:
+                if sum(len(k) for k, _ in held) > HELD:
                     yield send()
         if held:
             yield send()
@@ -394,7 +414,7 @@ def score(docs: DataFrame, totals: Totals, log_p: np.ndarray, count: np.ndarray,
             first += len(times)
             present, where = np.unique(doc, return_inverse=True)
             sums = [np.bincount(where, x[at], len(present)) for x in (log_p, base, is_known)]
-            rows.append((bucket, number, None, None, bundle(present, sums[0].astype(np.float32), sums[1], sums[2].astype(np.uint32))))
+            rows.append((bucket, number, None, None, bundle(present, sums[0], sums[1], sums[2].astype(np.uint32))))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), part_types, strict=True)], part_names)
 
     schema = "doc_id LONG, train BOOLEAN, n_tokens LONG, n_known LONG, base_score DOUBLE, score DOUBLE"
@@ -423,14 +443,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A null text counts as an empty one, which has the end token only. Rows may repeat an id;
     further columns are ignored; an empty table gives an empty result. Without training texts
-    every word is unknown, with probability 1.
+    every word is unknown, with probability 1. The scores depend on the rows only, but for the
+    order in which parts of sums are added.
     """
-    spark = docs.sparkSession
-    reachable(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reachable(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), training(key).alias("train"), F.col(text).alias("text"))
     learned = rows.where("train").select("text")
-    frequent = frequent_words(learned, "text")
+    counts = materialize(count_words(learned, "text"), "word-counts")
+    frequent = frequent_words(counts)
+    buckets = bucket_number(counts.agg(F.sum("n")).first()[0] or 0)
     totals, log_p, count = learn(learned, frequent, buckets, "text")
     found = score(rows, totals, log_p, count, frequent, buckets)
     return found.select(

@@ -102,6 +102,93 @@ def test_base_scores(spark, documents, partitions):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_depend_on_the_rows_only(spark, documents, monkeypatch):
+    monkeypatch.setattr(hpyp, "BUCKET_TOKENS", 1 << 14)
+    known = None
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, shuffles, part in ((1, 2, 4 << 20), (7, 16, 4 << 20), (16, 5, 1 << 16)):
+            monkeypatch.setattr(hpyp, "PART_BYTES", part)
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            df = documents.select("doc_id", "text").repartition(partitions)
+            found = {r["doc_id"]: r["score"] for r in hpyp.score_documents(df).collect()}
+            known = known or found
+            assert found == pytest.approx(known, rel=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_frequent_words_are_counted_exactly(spark, documents):
+    df = documents.select("text").repartition(5)
+    counts = Counter(t for r in df.collect() for t in brute_tokens(r["text"]))
+    found = hpyp.count_words(df, "text")
+    assert sorted(r["n"] for r in found.collect()) == sorted(counts.values())
+    least = sorted(counts.values())[-hpyp.FREQUENT :][0]
+    frequent = set(hpyp.frequent_words(found).view(np.int64).tolist())
+    assert len(frequent) == min(hpyp.FREQUENT, len(counts))
+    assert all(r["word"] in frequent for r in found.where(F.col("n") > least).collect())
+    assert [hpyp.bucket_number(n * hpyp.BUCKET_TOKENS) for n in (0, 1, 2, 3, 4, 5)] == [1, 1, 2, 4, 4, 8]
+
+
+def plain_log_p(sentences, rng, sweeps):
+    """Customers seated one by one in dictionaries, with the discounts and strengths of the
+    model; log10 of the mean probabilities over ``sweeps`` after as many, by text."""
+    pairs = Counter((u, w) for s in sentences for u, w in zip(["", *s], s, strict=False))
+    words = sorted({w for _, w in pairs})
+    uniform, d = 1 / (len(words) + 1), None
+    t = {c: 1 for c in pairs}
+    t0 = {w: 1 for w in words}
+    customers = Counter()
+    for (u, _), n in pairs.items():
+        customers[u] += n
+    share = hpyp.discount(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+    out = []
+    for turn in range(2 * sweeps):
+        c0, tables = Counter(), Counter()
+        for (u, w), n in t.items():
+            c0[w] += n
+            tables[u] += n
+        d = hpyp.discount(sum(n == 1 for n in c0.values()), sum(n == 2 for n in c0.values()))
+        fresh = (hpyp.SHARED_STRENGTH + d * sum(t0.values())) * uniform
+        p0 = {w: (c0[w] - d * t0[w] + fresh) / (hpyp.SHARED_STRENGTH + sum(c0.values())) for w in words}
+        if turn >= sweeps:
+            novelty = {u: hpyp.STRENGTH + share * tables[u] for u in customers}
+            p = {c: (n - share * t[c] + novelty[c[0]] * p0[c[1]]) / (hpyp.STRENGTH + customers[c[0]]) for c, n in pairs.items()}
+            out.append(p)
+        for (u, w), n in pairs.items():
+            a, new = (hpyp.STRENGTH + share * tables[u]) * p0[w], 1
+            for i in range(1, n):
+                new += rng.random() * (a + i - share * new) < a
+            t[u, w] = new
+        c0 = Counter()
+        for (_, w), n in t.items():
+            c0[w] += n
+        for w in words:
+            new = 1
+            for i in range(1, c0[w]):
+                new += rng.random() * (fresh + i - d * new) < fresh
+            t0[w] = new
+    mean = {c: sum(p[c] for p in out) / len(out) for c in pairs}
+    return np.array([sum(math.log10(mean[c]) for c in zip(["", *s], s, strict=False)) for s in sentences])
+
+
+def test_scores_agree_with_a_plain_sampler(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    ids = [i for i in range(400) if not held_out(i, 1)]
+    texts = [" ".join(words[int(60 * rng.random() ** 2)] for _ in range(rng.randrange(1, 30))) for _ in ids]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id LONG, text STRING")
+    found = {r["doc_id"]: r["score"] for r in hpyp.score_documents(df).collect()}
+    # All words are frequent, so their scores come from the first pass. The sampling error is
+    # that of runs of the plain sampler among themselves.
+    runs = np.array([plain_log_p([brute_tokens(t) for t in texts], rng, hpyp.FIRST_SWEEPS // 2) for _ in range(40)])
+    wanted, spread = runs.mean(axis=0), runs.std(axis=0)
+    got = np.array([found[i] for i in ids])
+    off = (got - wanted) / spread
+    assert math.sqrt((off**2).mean()) <= 1.5 and abs(off).max() <= 6
+    assert got.sum() == pytest.approx(wanted.sum(), rel=0.002)
+
+
 def test_scores_edge_cases(spark, documents):
     assert hpyp.score_documents(documents.where("false")).count() == 0
     one = next(i for i in range(100) if held_out(i, 1))
