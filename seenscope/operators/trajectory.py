@@ -12,7 +12,7 @@ not depend on each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seenscope.operators.language_model import SAMPLE, probability
@@ -23,25 +23,33 @@ NUM_STEPS = 5
 DIM = 16
 
 
-def trajectory(model_cells: DataFrame, num_steps: int = NUM_STEPS, weight: float = 1.0) -> DataFrame:
+def pair_bucket() -> Column:
+    """The bucket of a word pair: one hex digit of its hash, so one of 16."""
+    pair_hash = F.md5(F.concat_ws(" ", "prev", "tok"))
+    return F.conv(F.substring(pair_hash, 1, 1), 16, 10).cast("int")
+
+
+def trajectory(
+    model_cells: DataFrame, num_steps: int = NUM_STEPS, weight: float = 1.0, dealt: bool = False
+) -> DataFrame:
     """Rows ``(sample, step)`` for step 0 to ``num_steps``: the embedding after ``step``
     updates, and the loss and gradient norm just before the last of them (none at step 0).
 
     Cells (``language_model.model_cells``) are shuffled by sample with their counts only;
     the step values are computed after that, summed to 16 rows per sample, and spread over
-    one row per step, all without another shuffle.
+    one row per step, all without another shuffle. Cells that are ``dealt`` by sample already
+    have their ``bucket`` (:func:`pair_bucket`) in place of their words.
     """
     steps = range(num_steps + 1)
     p = [
         probability(F.lit(s * weight) * F.col("n"), F.lit(s * weight) * F.col("n_prev"))
         for s in steps
     ]
-    pair_hash = F.md5(F.concat_ws(" ", "prev", "tok"))
-    # One hex digit: 16 buckets.
-    bucket = F.conv(F.substring(pair_hash, 1, 1), 16, 10).cast("int")
-    by_sample = model_cells.select(
-        *SAMPLE, "n", "n_prev", "c_pair", "c_prev", "base", bucket.alias("bucket")
-    ).repartition(*SAMPLE)
+    by_sample = model_cells
+    if not dealt:
+        by_sample = model_cells.select(
+            *SAMPLE, "n", "n_prev", "c_pair", "c_prev", "base", pair_bucket().alias("bucket")
+        ).repartition(*SAMPLE)
     per_cell = by_sample.select(
         *SAMPLE,
         "n",
