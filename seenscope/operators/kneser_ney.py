@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seenscope.functions.words import words
+from seenscope.operators import places
 from seenscope.operators.language_model import SAMPLE, START
 from seenscope.plans.joins import lookup_join
 from seenscope.plans.materialize import materialize
@@ -129,3 +130,91 @@ def sample_logprobs(items: DataFrame, found: DataFrame, max_length: int | None =
     following = word_triples(items, max_length).where("pos > 0")
     counted = following.groupBy(*SAMPLE, *GRAM).agg(F.count("*").alias("n"))
     return lookup_join(counted, found, GRAM).select(*SAMPLE, "logprob", "n")
+
+
+def _word_model(triples: DataFrame) -> DataFrame:
+    """Per word: different words before it (``k``), and as a context the sum of these of the
+    words after it (``c_short``) and the number of words after it (``k_short``); written."""
+    pairs = triples.repartition("prev", "tok").groupBy("prev", "tok").agg(F.count_distinct("prev2").alias("k"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def part(word: str, k: Column, c_short: Column, k_short: Column) -> Column:
+        return F.struct(F.col(word).alias("tok"), k.alias("k"), c_short.alias("c_short"), k_short.alias("k_short"))
+
+    parts = F.array(part("tok", one, zero, zero), part("prev", zero, F.col("k"), one))
+    sums = [F.sum(x).alias(x) for x in ("k", "c_short", "k_short")]
+    return materialize(pairs.select(F.inline(parts)).groupBy("tok").agg(*sums), "word-model")
+
+
+def place_logprobs(items: DataFrame, fitted: Column, discount: float = DISCOUNT) -> DataFrame:
+    """``token_logprobs(items, lookup(items, fit(items)))`` with ``n`` of 1, for a model of the
+    ``fitted`` ones among the items, from two shuffles of places as in
+    :mod:`seenscope.operators.places`; dealt by sample.
+
+    Where places are dealt by their word, those of a pair and of a triple meet, and as each
+    place knows the next word, a pair's counts as a context are found there, too. A place takes
+    the counts of its contexts from the place before.
+    """
+    repeated = places.has_repeated(items)
+    row = [*places.BY_SAMPLE, "_copy"] if repeated else places.BY_SAMPLE
+    listed = places.listed_words(items, repeated, fitted, None, None)
+    start = F.array(F.lit(START))
+    grams = listed.withColumns(
+        {
+            "prev": F.concat(start, F.col("tok")),
+            "prev2": F.concat(start, start, F.col("tok")),
+            "next": F.slice("tok", 2, F.greatest(F.size("tok"), F.lit(1))),
+        }
+    )
+    rows = grams.select(*row, "_fitted", F.posexplode(F.arrays_zip(*GRAM, "next")).alias("pos", "gram"))
+    rows = rows.select(*row, "_fitted", "pos", *[f"gram.{c}" for c in (*GRAM, "next")]).where("tok IS NOT NULL")
+    counts = places.word_counts(listed)
+    known = _word_model(rows.where("_fitted").select(*GRAM))
+    n_pairs, n_words = known.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count_if(F.col("k") > 0)).first()
+    total = counts.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    salts = places.hot_words(counts, total)
+    salt = F.pmod(F.xxhash64("prev"), F.coalesce("_salts", F.lit(1)))
+    by_word = (
+        rows.join(salts, "tok", "left")
+        .withColumn("_word", places.salted(salt))
+        .withColumn("_place", F.col("pos").cast("long") * 2 + F.col("_fitted").cast("long"))
+        .select(*row, "_place", "prev2", "prev", "next", "_word")
+        .repartition("_word")
+        .withColumn("_own", F.col("_place") % 2)
+    )
+    pair = Window.partitionBy("_word", "prev")
+    triple, follower = Window.partitionBy("_word", "prev", "prev2"), Window.partitionBy("_word", "prev", "next")
+
+    def different(group) -> Column:
+        """One row of each group that has a fitted place."""
+        first = F.row_number().over(group.orderBy("_own")) == 1
+        return (first & (F.sum("_own").over(group) > 0)).cast("long")
+
+    found = by_word.withColumns({"c": F.sum("_own").over(triple), "_triple": different(triple)})
+    inside = F.when(F.col("next").isNotNull(), F.col("_own")).otherwise(F.lit(0))
+    found = found.withColumns({"k_pair": F.sum("_triple").over(pair), "_c": F.sum(inside).over(pair)})
+    found = found.withColumn("_follower", F.when(F.col("next").isNotNull(), different(follower)).otherwise(F.lit(0)))
+    found = found.withColumn("_k", F.sum("_follower").over(pair))
+    values = ["k", "c_short", "k_short"]
+    every = counts.select("tok", "uses").join(known, "tok", "left").na.fill(0, values)
+    joined = found.join(places.by_salt(every, salts, *values), "_word").select(
+        *row, F.shiftright("_place", 1).cast("int").alias("pos"), F.substring_index("_word", " ", 1).alias("token"),
+        "c", "k_pair", "_c", "_k", *values,
+    )
+    order = Window.partitionBy(*row).orderBy("pos")
+    placed = joined.repartition(*SAMPLE).withColumns(
+        {f"{x}_before": F.lag(x).over(order) for x in ("_c", "_k", "c_short", "k_short")}
+    )
+    spread = discount * n_words / (n_words + 1)
+    lowest = F.lit(1.0)
+    if n_pairs:
+        lowest = (F.greatest(F.col("k") - F.lit(discount), F.lit(0.0)) + F.lit(spread)) / F.lit(n_pairs)
+
+    def within(df: DataFrame, context: str, followers: str) -> DataFrame:
+        return df.withColumns({"c_context": F.col(context), "k_context": F.col(followers)})
+
+    placed = within(placed.where("pos > 0").withColumn("p", lowest.cast("double")), "c_short_before", "k_short_before")
+    placed = placed.withColumn("p", _interpolated(F.col("k_pair"), F.col("p"), discount))
+    placed = within(placed, "_c_before", "_k_before")
+    logprob = F.log(_interpolated(F.col("c"), F.col("p"), discount))
+    return placed.select(*SAMPLE, "pos", "token", logprob.alias("logprob"), F.lit(1).cast("long").alias("n"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seenscope.operators import language_model, places, scores, trajectory
+from seenscope.operators import kneser_ney, language_model, places, scores, trajectory
 
 SCHEMA = "dataset_name STRING, id_num LONG, seen BOOLEAN, instruction_text STRING"
 TEXTS = [
@@ -71,3 +71,20 @@ def test_two_shuffles_of_places(spark):
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_COL") == 2
     assert plan.count("Exchange hashpartitioning(dataset_name") == 1
+
+
+@pytest.mark.parametrize("hot", [20_000, 4])
+@pytest.mark.parametrize("rows", [TEXTS, TEXTS + REPEATED])
+def test_order_three(spark, monkeypatch, rows, hot):
+    monkeypatch.setattr(places, "MAX_HOT_KEYS", hot)
+    items = spark.createDataFrame(rows, SCHEMA)
+    plain = kneser_ney.token_logprobs(items, kneser_ney.lookup(items, kneser_ney.fit(items)))
+    found = kneser_ney.place_logprobs(items, F.col("seen"))
+    columns = ["pos", "token", F.round("logprob", 12)]
+    assert _rows(found, *columns) == _rows(plain, *columns)
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 2
+
+
+def test_order_three_of_nothing(spark):
+    items = spark.createDataFrame(TEXTS, SCHEMA).withColumn("seen", F.lit(False))
+    assert kneser_ney.place_logprobs(items, F.col("seen")).where("logprob != 0").isEmpty()
