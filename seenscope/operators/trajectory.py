@@ -12,6 +12,7 @@ not depend on each other.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +58,38 @@ def trajectory(
         *[(F.col("n") * F.log(p[s])).alias(f"ll_{s}") for s in steps],
         *[F.pow(F.col("n_prev") * p[s] - F.col("n"), 2).alias(f"g_{s}") for s in steps[:-1]],
     )
-    sums = [f"ll_{s}" for s in steps] + [f"g_{s}" for s in steps[:-1]]
-    per_bucket = per_cell.groupBy(*SAMPLE, "bucket").agg(
-        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums]
+    return from_sums(per_cell, num_steps)
+
+
+def sum_names(num_steps: int = NUM_STEPS) -> list[str]:
+    return [f"ll_{s}" for s in range(num_steps + 1)] + [f"g_{s}" for s in range(num_steps)]
+
+
+def cell_values(
+    n: np.ndarray,
+    n_prev: np.ndarray,
+    c_pair: np.ndarray,
+    c_prev: np.ndarray,
+    base: np.ndarray,
+    num_steps: int = NUM_STEPS,
+    weight: float = 1.0,
+) -> dict[str, np.ndarray]:
+    """Each cell's share of the log-likelihood and of the squared gradient norm by step."""
+    found = {}
+    for s in range(num_steps + 1):
+        p = (c_pair + base + s * weight * n) / (c_prev + 1.0 + s * weight * n_prev)
+        found[f"ll_{s}"] = n * np.log(p)
+        if s < num_steps:
+            found[f"g_{s}"] = (n_prev * p - n) ** 2
+    return found
+
+
+def from_sums(rows: DataFrame, num_steps: int = NUM_STEPS) -> DataFrame:
+    """:func:`trajectory` from the sums (:func:`sum_names`) of parts of a sample's buckets; no
+    shuffle if rows are dealt by sample."""
+    steps = range(num_steps + 1)
+    per_bucket = rows.groupBy(*SAMPLE, "bucket").agg(
+        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sum_names(num_steps)]
     )
     spread = per_bucket.select(
         *SAMPLE,
