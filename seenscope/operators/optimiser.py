@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seenscope.operators.language_model import SAMPLE, START, word_pairs
+from seenscope.functions.words import words
+from seenscope.operators.language_model import SAMPLE, START
 from seenscope.operators.scores import last_content_token
 from seenscope.operators.trajectory import NUM_STEPS
 from seenscope.plans.materialize import materialize
@@ -31,9 +32,9 @@ EPSILON = 1e-8
 DECAY = 0.01
 
 
-def bucket(word: str) -> Column:
+def bucket(word: str | Column) -> Column:
     """One hex digit of the word's md5."""
-    return F.conv(F.substring(F.md5(word), 1, 1), 16, 10).cast("int")
+    return F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(word), 1, 1)) - 1
 
 
 def _counts(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -46,8 +47,18 @@ def _counts(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
 def start_state(pairs: DataFrame) -> DataFrame:
     """``(u, w)``: the logits of every first bucket, from fitted pairs; 16 rows, written."""
     inner = pairs.where(F.col("prev") != START).select(bucket("prev").alias("u"), bucket("tok").alias("j"), "c_pair")
+    return _start(inner)
+
+
+def fitted_state(items: DataFrame) -> DataFrame:
+    """The same from the places of the rows marked seen; only counts per pair of buckets are
+    shuffled, so no distinct word pair is counted."""
+    return _start(_bucket_pairs(items.where("seen")).groupBy("u", "j").agg(F.count("*").alias("c_pair")))
+
+
+def _start(inner: DataFrame) -> DataFrame:
     counts = _counts(inner, ["u"], F.col("c_pair"))
-    every = pairs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("u"))
+    every = inner.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("u"))
     n = F.coalesce("n", F.array_repeat(F.lit(0.0), BUCKETS))
     known = every.join(counts, "u", "left").select("u", n.alias("n"))
     total = F.aggregate("n", F.lit(0.0), lambda s, x: s + x) + F.lit(float(BUCKETS))
@@ -55,10 +66,19 @@ def start_state(pairs: DataFrame) -> DataFrame:
     return materialize(known.select("u", w.alias("w")), "start-state")
 
 
+def _bucket_pairs(items: DataFrame) -> DataFrame:
+    """``(u, j)`` of every place that follows a word; a word's bucket is found once for both."""
+    digit = F.transform(words(F.col("instruction_text")), lambda w: bucket(w))
+    listed = items.select(*SAMPLE, digit.alias("_b")).where(F.size("_b") > 1)
+    size = F.size("_b") - 1
+    pairs = F.arrays_zip(F.slice("_b", F.lit(1), size).alias("u"), F.slice("_b", F.lit(2), size).alias("j"))
+    return listed.select(*SAMPLE, F.inline(pairs))
+
+
 def _rows(items: DataFrame) -> DataFrame:
     """Per sample and first bucket: counts ``n``, whether it is that of the last content word,
     and the sample's number of pairs. Samples of fewer than two words have none."""
-    pairs = word_pairs(items).where("pos > 0").select(*SAMPLE, bucket("prev").alias("u"), bucket("tok").alias("j"))
+    pairs = _bucket_pairs(items)
     last = materialize(last_content_token(items), "last-words").select(
         *SAMPLE, bucket("last_token").alias("u"), F.lit(None).cast("int").alias("j")
     )
