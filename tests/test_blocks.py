@@ -1,9 +1,11 @@
 """Counts per block against those of the plain lookups, and what they shuffle."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seenscope.operators import blocks, language_model, scores, trajectory
+from seenscope.functions.words import words
+from seenscope.operators import blocks, language_model, optimiser, scores, trajectory
 from tests.test_places import REPEATED, SCHEMA, TEXTS, _rows
 
 MANY = [("f", i, i % 2 == 0, f"the cat {i % 7} the w{i % 11} the cat Ünï{i % 5} ran") for i in range(60)]
@@ -66,3 +68,25 @@ def test_nothing_fitted(spark):
     found = blocks.sample_logprobs(items, F.lit(False), F.col("seen"))
     assert found.select(F.explode("logprob").alias("x")).where("x != 0").isEmpty()
     assert blocks.sample_logprobs(items.where("false"), F.col("seen")).isEmpty()
+
+
+def test_start_state_without_pairs(spark):
+    """The optimiser's start state as from the model's pairs, with only bucket counts shuffled."""
+    items = spark.createDataFrame(TEXTS + MANY, SCHEMA)
+    wanted = optimiser.start_state(language_model.fit(items).pairs)
+    found = optimiser.fitted_state(items)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    plan = optimiser._bucket_pairs(items).groupBy("u", "j").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(u" in plan
+
+
+def test_words(spark):
+    """As by the expression, with blanks of all kinds, at both ends and across rows."""
+    texts = ["a\tb\n\nc", "", None, "  ", "x", "y z ", "\fü\u00a0ß  ö\x0bq\r", " Ab\u0130 \u2003w"]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    wanted = items.select("i", F.explode(words(F.col("t"))).alias("w")).orderBy("i").collect()
+    lower = pa.array([r[0] for r in items.orderBy("i").select(F.lower("t")).collect()])
+    for part in (lower, lower[3:]):
+        found, rows = blocks._words(part)
+        shift = len(lower) - len(part)
+        assert list(zip((rows + shift).tolist(), found.to_pylist())) == [tuple(r) for r in wanted if r["i"] >= shift]
