@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from seenscope.llm.components import components
 from seenscope.llm.words import Words, mix, reachable, split_words
+from seenscope.plans.joins import key_filter, split_by_filter
 from seenscope.plans.materialize import materialize
 
 SHINGLE = 5
@@ -419,9 +420,11 @@ def classes(
     candidates = materialize(reps.join(degrees, "node", "left_semi"), "candidates")
     # Copies have one text: that of the first id is read.
     wanted = materialize(candidates.select("node").join(copies, "node"), "wanted")
+    # Only texts of candidates are shuffled, and few others whose ids share a bit with theirs.
+    every = docs.select(F.col(key).cast("long").alias("first"), F.col(text).alias("text"))
+    fetched, _ = split_by_filter(every, key_filter(wanted, ["first"]), ["first"])
     texts = materialize(
-        docs.select(F.col(key).cast("long").alias("first"), F.col(text).alias("text"))
-        .join(wanted, "first")
+        fetched.join(wanted, "first")
         .where(digest("text") == F.col("same"))
         .dropDuplicates(["node"])
         .select("node", "text"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seenscope.operators import classifier, evaluate, report
 from seenscope.plans import ordering
 from seenscope.plans.carry import last_before
-from seenscope.plans.joins import lookup_join, null_safe_join
+from seenscope.plans.joins import key_filter, lookup_join, null_safe_join, split_by_filter
 from seenscope.plans.materialize import materialize, shared_folder
 from seenscope.plans.running import running_sums
 from seenscope.sources import paths
@@ -187,3 +187,16 @@ def test_shared_folder_is_read_from_the_session(spark, tmp_path):
     assert df.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(
         shared_folder(spark).split(":", 1)[-1].lstrip("/")
     )
+
+
+def test_split_by_filter(spark):
+    """Every key of the table is in the first part, few others are, and no row is shuffled."""
+    keys = [*range(0, 5000, 50), None]
+    table = spark.createDataFrame([(k,) for k in keys], "id LONG")
+    rows = spark.range(-5000, 5000).selectExpr("if(id = 7, null, id) id", "'t' text").repartition(3)
+    maybe, never = split_by_filter(rows, key_filter(table, ["id"]), ["id"])
+    first, second = ([r["id"] for r in part.collect()] for part in (maybe, never))
+    assert set(keys) <= set(first) and len(first) < len(keys) + 20
+    assert Counter(first + second) == Counter([i for i in range(-5000, 5000) if i != 7] + [None])
+    plan = never._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "BroadcastHashJoin" in plan
