@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seenscope.llm import cgk, dartminhash, language, packing, pii
+from seenscope.plans.joins import key_filter, split_by_filter
 from seenscope.plans.materialize import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,17 +32,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one text of each class, at its smallest id. Rows are told apart by id and text;
     of rows equal in both, one stays."""
-    docs = docs.select(*COLUMNS).withColumn("digest", dartminhash.digest("text"))
+    docs = docs.select(*COLUMNS)
     same = ["doc_id", "digest"]
     judged = materialize(dartminhash.classes(docs).select(*same, "kept"), "judged")
     dropped = materialize(judged.where("NOT kept").select(*same).distinct(), "dropped")
-    kept = docs.join(dropped, same, "left_anti")
     repeated = materialize(judged.where("kept").groupBy(*same).count().where("count > 1").select(*same), "repeated")
+    # Texts whose ids are neither dropped nor repeated are kept where they are, without a shuffle.
+    concerned = key_filter(dropped.union(repeated), ["doc_id"])
+    judging, untouched = split_by_filter(docs, concerned, [F.col("doc_id").cast("long")])
+    kept = judging.withColumn("digest", dartminhash.digest("text")).join(dropped, same, "left_anti")
     if repeated.isEmpty():
-        return kept.select(*COLUMNS)
+        return untouched.unionByName(kept.select(*COLUMNS))
     once = kept.join(repeated, same, "left_anti")
     copies = kept.join(repeated, same, "left_semi").dropDuplicates(same)
-    return once.unionByName(copies).select(*COLUMNS)
+    return untouched.unionByName(once.unionByName(copies).select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
