@@ -121,6 +121,27 @@ def from_sums(rows: DataFrame, num_steps: int = NUM_STEPS) -> DataFrame:
     )
 
 
+def from_listed(rows: DataFrame, num_steps: int = NUM_STEPS, keep: tuple = ()) -> DataFrame:
+    """:func:`trajectory` from one row per sample with its sums (:func:`sum_names`) and counts
+    ``n`` as arrays by bucket; found within the row, without a shuffle."""
+
+    def total(values: str, zero: Column) -> Column:
+        return F.aggregate(values, zero, lambda s, x: s + x)
+
+    tokens, nothing = F.col("_tokens"), F.lit(None).cast("double")
+    states = [
+        F.struct(
+            F.lit(s).alias("step"),
+            F.transform(f"ll_{s}", lambda x: x / tokens).alias("embedding"),
+            (-total(f"ll_{s - 1}", F.lit(0.0)) / tokens if s else nothing).alias("loss"),
+            (F.sqrt(total(f"g_{s - 1}", F.lit(0.0))) / tokens if s else nothing).alias("grad_norm"),
+        )
+        for s in range(num_steps + 1)
+    ]
+    counted = rows.withColumn("_tokens", total("n", F.lit(0).cast("long")))
+    return counted.select(*SAMPLE, *keep, F.inline(F.array(*states)))
+
+
 def with_split(trajectories: DataFrame, items: DataFrame) -> DataFrame:
     """Add each sample's split from the item table."""
     return null_safe_join(trajectories, items.select(*SAMPLE, "split"), SAMPLE, "inner").select(

@@ -1,5 +1,6 @@
 """Counts per block against those of the plain lookups, and what they shuffle."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,27 @@ def test_words(spark):
         found, rows = blocks._words(part)
         shift = len(lower) - len(part)
         assert list(zip((rows + shift).tolist(), found.to_pylist())) == [tuple(r) for r in wanted if r["i"] >= shift]
+
+
+def test_listed_trajectories_are_not_shuffled(spark):
+    """As from sums by bucket, with texts dealt by block the only shuffle."""
+    items = spark.createDataFrame(TEXTS + MANY, SCHEMA)
+    names = trajectory.sum_names()
+    listed = blocks.listed_sums(items, F.col("seen"), trajectory.cell_values, names, keep=("seen",))
+    states = trajectory.from_listed(listed, keep=("seen",))
+    plain = trajectory.from_sums(blocks.by_bucket(listed, names))
+    embedding = F.transform("embedding", lambda x: F.round(x, 11)).alias("embedding")
+    columns = ["step", F.round("loss", 11), F.round("grad_norm", 11), embedding]
+    assert _rows(states, *columns) == _rows(plain, *columns)
+    assert states._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_packed_counts_and_words():
+    """A word's many pairs and a large count take few bytes, and come back as they were."""
+    counts, sizes = np.array([3, 0, 1 << 40, 1, 1] + [1] * 5000), np.array([3, 0, 5002])
+    packed = blocks._packed(counts, sizes)
+    found, n = blocks._unpacked(packed)
+    assert found.tolist() == counts.tolist() and n.tolist() == sizes.tolist()
+    assert sum(map(len, packed.to_pylist())) < 200
+    words = pa.array(["a", "ß", "c"])
+    assert blocks._unpacked_words(blocks._packed_words(words, np.array([2, 0, 1])), np.array([2, 0, 1])).equals(words)
