@@ -372,6 +372,18 @@ def test_pipeline(spark, documents):
     assert brute_pieces(corpus_pipeline.pack(spark, kept, SF_DIR).collect(), seen["personal_data"]) > 0.9
 
 
+def test_kept_texts_are_not_shuffled(spark, documents):
+    """Rows whose ids are not dropped are kept by a branch without a join by shuffle."""
+    few = documents.orderBy("doc_id").limit(12)
+    few = few.unionByName(few.withColumn("doc_id", F.col("doc_id") + 50_000))
+    kept = corpus_pipeline.drop_near_duplicates(spark, few.coalesce(1), SF_DIR)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    branches = [i for i, line in enumerate(plan) if line.startswith((":- ", "+- "))]
+    assert plan[0].startswith("Union") and len(branches) == 2
+    assert not any("LeftAnti" in line for line in plan[: branches[1]]) and any("LeftAnti" in line for line in plan[branches[1] :])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["doc_id"] for r in few.collect() if r["doc_id"] < 50_000})
+
+
 def test_pipeline_of_nothing(spark, documents):
     kept = documents.where("false")
     for _, stage in corpus_pipeline.STAGES:
