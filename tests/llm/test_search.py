@@ -109,6 +109,16 @@ def test_near_counts_finds_all_within_the_radius(spark, monkeypatch):
         assert found[p] == sum((int(p, 16) ^ int(q, 16)).bit_count() <= simhash.RADIUS for q in prints)
 
 
+def test_probes_are_not_broadcast(spark):
+    """A query has 135 probes, which estimates leave out: however few the queries, they are dealt by bucket."""
+    rows = [(f"{random.Random(i).getrandbits(128):032x}",) for i in range(40)]
+    df = spark.createDataFrame(rows, "fingerprint STRING")
+    found = simhash.near_lists(df, df)
+    assert found.count() == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [bucket" in plan and "BuildLeft" not in plan
+
+
 def test_near_prints_names_the_edited_copies(spark):
     rng = random.Random(12)
     originals = [text(rng, 300) for _ in range(60)]
